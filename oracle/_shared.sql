@@ -65,4 +65,55 @@ drop_scores AS (
   LEFT JOIN item_drop_rates i ON i.idx = f.idx, params
   WHERE prev = 1 AND period IN (t - 1, t)
 ),
+-- three models learnt before t - 1 and scored on t - 1 and t
+train_counts AS (
+  SELECT idx, CAST(sum(added) AS BIGINT) AS adds FROM long, params WHERE period < t - 1 GROUP BY 1
+),
+band_counts AS (
+  SELECT idx, least(n_prev, 8) AS band, CAST(sum(added) AS BIGINT) AS adds
+  FROM long, params WHERE period < t - 1 GROUP BY 1, 2
+),
+model_scores AS (
+  SELECT l.*, 'popularity' AS model, CAST(adds AS DOUBLE) AS score
+  FROM long l JOIN train_counts c ON c.idx = l.idx, params WHERE period IN (t - 1, t)
+  UNION ALL
+  SELECT l.*, 'popularity_by_band' AS model, CAST(coalesce(adds, 0) AS DOUBLE) AS score
+  FROM long l LEFT JOIN band_counts c ON c.idx = l.idx AND c.band = least(l.n_prev, 8), params
+  WHERE period IN (t - 1, t)
+  UNION ALL
+  SELECT * EXCLUDE (score), 'conditional_rate' AS model, score FROM buy_scores
+),
+model_ranks AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY entity, period, model ORDER BY score DESC, idx) - 1 AS INTEGER) AS place
+  FROM model_scores
+),
+open_lists AS (
+  SELECT entity, period, model, idx, added, n_adds, history, n_prev,
+         row_number() OVER (PARTITION BY entity, period, model ORDER BY score DESC, idx) AS pos
+  FROM model_scores WHERE prev = 0
+),
+hits AS (
+  SELECT *, sum(added) OVER (PARTITION BY entity, period, model ORDER BY pos ROWS UNBOUNDED PRECEDING) AS found
+  FROM open_lists
+),
+client_ap AS (
+  SELECT entity, period, model, any_value(history) AS history, any_value(n_prev) AS n_prev,
+         CAST(floor(sum(CASE WHEN added = 1 AND pos <= k THEN CAST(found AS DOUBLE) / pos ELSE 0.0 END)
+              / least(any_value(n_adds), k) * 1000000 + 0.5) AS BIGINT) AS ap_micro
+  FROM hits, params WHERE n_adds > 0 GROUP BY entity, period, model, k
+),
+-- popularity before t, as lists for t
+popular_lists AS (
+  SELECT l.entity, l.idx, l.item, l.added, l.n_adds,
+         row_number() OVER (PARTITION BY l.entity ORDER BY p.rank) AS pos
+  FROM long l JOIN pop p ON p.idx = l.idx, params WHERE l.period = t AND l.prev = 0
+),
+popular_hits AS (
+  SELECT *, sum(added) OVER (PARTITION BY entity ORDER BY pos ROWS UNBOUNDED PRECEDING) AS found FROM popular_lists
+),
+popular_ap AS (
+  SELECT entity, CAST(floor(sum(CASE WHEN added = 1 AND pos <= k THEN CAST(found AS DOUBLE) / pos ELSE 0.0 END)
+              / least(any_value(n_adds), k) * 1000000 + 0.5) AS BIGINT) AS ap_micro
+  FROM popular_hits, params WHERE n_adds > 0 GROUP BY entity, k
+),
 prelude_end AS (SELECT 1 AS one)

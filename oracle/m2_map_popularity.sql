@@ -1,0 +1,3 @@
+SELECT CAST(sum(ap_micro) AS BIGINT) AS ap_sum, count(*) AS clients,
+       CAST(sum(ap_micro) AS BIGINT) / (count(*) * 1000000) AS map
+FROM popular_ap

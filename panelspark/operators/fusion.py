@@ -6,13 +6,12 @@ Weights and rules are chosen on t-1 and applied on t.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions import ap_at_k, full_order, has_item, item_numbers, micro, top_k
+from panelspark.functions import ap_at_k_bits, full_order, micro, top_k
 from panelspark.functions.fixedpoint import MICRO
 from panelspark.operators.split import mean_ap
 from panelspark.spec import PanelSpec
@@ -24,46 +23,45 @@ HISTORY_BANDS = (("1", 0, 1), ("2-3", 2, 3), ("4-6", 4, 6), ("7-11", 7, 11), ("1
 HOLDING_BANDS = (("0", 0, 0), ("1", 1, 1), ("2-3", 2, 3), ("4-5", 4, 5), ("6+", 6, 99))
 
 
-def reciprocal_ranks(scores: Column, n: int) -> Column:
+def reciprocal_ranks(scores: Column) -> Column:
     """1 / (60 + place) for every item, in catalogue order."""
-    order = full_order(scores, n)
-    return F.transform(
-        F.lit(list(range(n))), lambda i: F.lit(1.0) / (F.lit(DAMPING) + (F.array_position(order, i) - 1))
+    placed = F.transform(
+        full_order(scores),
+        lambda i, place: F.struct(i.alias("i"), (F.lit(1.0) / (F.lit(DAMPING) + place)).alias("r")),
     )
+    return F.transform(F.array_sort(placed), lambda x: x["r"])
 
 
-def rank_scores(scored: DataFrame, spec: PanelSpec) -> DataFrame:
+def rank_scores(scored: DataFrame) -> DataFrame:
     """Long form: one row per (entity, period, item) with its place and rank score."""
     return (
-        scored.select("entity", "period", F.posexplode(full_order(F.col("scores"), spec.n)).alias("place", "idx"))
+        scored.select("entity", "period", F.posexplode(full_order(F.col("scores"))).alias("place", "idx"))
         .withColumn("rank_score", F.lit(1.0) / (F.lit(DAMPING) + F.col("place")))
     )
 
 
-def with_rank_arrays(rows: DataFrame, models: Sequence[str], spec: PanelSpec) -> DataFrame:
+def with_rank_arrays(rows: DataFrame, models: Sequence[str]) -> DataFrame:
     """``scores_<model>`` columns to ``rr_<model>`` columns."""
-    return rows.withColumns(
-        {f"rr_{m}": reciprocal_ranks(F.col(f"scores_{m}"), spec.n) for m in models}
-    )
+    return rows.withColumns({f"rr_{m}": reciprocal_ranks(F.col(f"scores_{m}")) for m in models})
 
 
-def blended(models: Sequence[str], weights: Sequence[Column | float], n: int) -> Column:
+def blended(models: Sequence[str], weights: Sequence[Column | float]) -> Column:
     """Weighted sum of the rank arrays, item by item, models in the given order."""
+    columns = [w if isinstance(w, Column) else F.lit(float(w)) for w in weights]
+    total = F.transform(F.col(f"rr_{models[0]}"), lambda x: columns[0] * x)
+    for model, weight in zip(models[1:], columns[1:]):
+        total = _add_weighted(total, F.col(f"rr_{model}"), weight)
+    return total
 
-    def at(i: Column) -> Column:
-        terms = [
-            (w if isinstance(w, Column) else F.lit(float(w))) * F.get(F.col(f"rr_{m}"), i)
-            for m, w in zip(models, weights)
-        ]
-        return reduce(lambda a, b: a + b, terms)
 
-    return F.transform(F.lit(list(range(n))), at)
+def _add_weighted(total: Column, ranks: Column, weight: Column) -> Column:
+    return F.zip_with(total, ranks, lambda a, b: a + weight * b)
 
 
-def blend(rows: DataFrame, models: Sequence[str], weights: Sequence[float], spec: PanelSpec) -> DataFrame:
-    """Fixed weights: blended scores, held items masked, top K."""
-    return rows.withColumn("scores", blended(models, weights, spec.n)).withColumn(
-        "recommended", top_k(F.col("scores"), F.col("prev_bits"), spec.k, spec.n)
+def blend(rows: DataFrame, models: Sequence[str], weights: Sequence[Column | float], spec: PanelSpec) -> DataFrame:
+    """Blended scores, held items masked, top K."""
+    return rows.withColumn("scores", blended(models, weights)).withColumn(
+        "recommended", top_k(F.col("scores"), F.col("prev_bits"), spec.k)
     )
 
 
@@ -75,44 +73,27 @@ def simplex_grid(models: int, parts: int = 10) -> list[tuple[int, ...]]:
 def search_weights(rows: DataFrame, models: Sequence[str], spec: PanelSpec, parts: int = 10) -> DataFrame:
     """MAP of every weight combination on the given (t-1) rows, best first.
 
-    The combinations are a constant list tried inside each row; a row yields one array of
-    APs and the sums are partial aggregates, so nothing is multiplied or shuffled but one
-    row of sums per task.
+    The combinations are a constant list tried next to each row, straight into a partial
+    sum per combination: the shuffle carries one row per combination and task.
     """
-    grid = simplex_grid(len(models), parts)
+    names = [f"w_{m}" for m in models]
     tried = F.array(
-        *[F.struct(*[F.lit(w / parts).alias(f"w{j}") for j in range(len(models))]) for w in grid]
-    )
-    actual = item_numbers(F.col("add_bits"), spec.n)
-
-    def ap_of(w: Column) -> Column:
-        scores = blended(models, [w[f"w{j}"] for j in range(len(models))], spec.n)
-        return micro(ap_at_k(top_k(scores, F.col("prev_bits"), spec.k, spec.n), actual, spec.k))
-
-    aps = (
-        rows.filter(F.col("add_bits") != 0)
-        .select(F.transform(tried, ap_of).alias("aps"))
-        .agg(
-            F.count("*").alias("clients"),
-            *[F.sum(F.get("aps", g)).alias(f"ap_{g}") for g in range(len(grid))],
-        )
-    )
-    entries = F.array(
         *[
-            F.struct(
-                *[F.lit(w[j]).alias(f"w_{m}") for j, m in enumerate(models)],
-                F.col(f"ap_{g}").alias("ap_sum"),
-            )
-            for g, w in enumerate(grid)
+            F.struct(*[F.lit(part).alias(name) for part, name in zip(combination, names)])
+            for combination in simplex_grid(len(models), parts)
         ]
     )
-    order = Window.orderBy(F.desc("ap_sum"), *[f"w_{m}" for m in models])  # grid-sized
-    return (
-        aps.select("clients", F.inline(entries))
-        .withColumn("map", F.col("ap_sum") / (F.col("clients") * F.lit(MICRO)))
-        .withColumn("place", F.row_number().over(order))
-        .drop("ap_sum")
+    weights = [F.col(name) / parts for name in names]
+    listed = blend(
+        rows.filter(F.col("add_bits") != 0)
+        .select("prev_bits", "add_bits", *[f"rr_{m}" for m in models])
+        .select("*", F.inline(tried)),
+        models, weights, spec,
     )
+    ap = micro(ap_at_k_bits(F.col("recommended"), F.col("add_bits"), spec.k))
+    means = mean_ap(listed.select(*names, ap.alias("ap_micro")), *names)
+    order = Window.orderBy(F.desc("ap_sum"), *names)  # grid-sized
+    return means.select("clients", *names, "map", F.row_number().over(order).alias("place"))
 
 
 def blend_with(rows: DataFrame, chosen: DataFrame, models: Sequence[str], spec: PanelSpec, parts: int = 10) -> DataFrame:
@@ -121,13 +102,8 @@ def blend_with(rows: DataFrame, chosen: DataFrame, models: Sequence[str], spec:
         F.lit(1).alias("one"), *[(F.col(f"w_{m}") / parts).alias(f"w_{m}") for m in models]
     )
     weights = [F.col(f"w_{m}") for m in models]
-    return (
-        rows.withColumn("one", F.lit(1))
-        .join(F.broadcast(best), "one")
-        .withColumn("scores", blended(models, weights, spec.n))
-        .withColumn("recommended", top_k(F.col("scores"), F.col("prev_bits"), spec.k, spec.n))
-        .drop("one", *[f"w_{m}" for m in models])
-    )
+    weighted = rows.withColumn("one", F.lit(1)).join(F.broadcast(best), "one")
+    return blend(weighted, models, weights, spec).drop("one", *[f"w_{m}" for m in models])
 
 
 def blend_gain(ap: DataFrame, blend_name: str = "blend") -> DataFrame:
@@ -165,14 +141,10 @@ def ap_by_client(rows: DataFrame, models: Sequence[str], spec: PanelSpec, keep:
 
     The models sit side by side in one row, so comparing them needs no join.
     """
-    actual = item_numbers(F.col("add_bits"), spec.n)
 
     def ap_of(model: str) -> Column:
-        scores = F.col(f"scores_{model}")
-        listed = top_k(scores, F.col("prev_bits"), spec.k, spec.n)
-        return F.when(scores.isNull(), F.lit(0).cast("long")).otherwise(
-            micro(ap_at_k(listed, actual, spec.k))
-        )
+        listed = top_k(F.col(f"scores_{model}"), F.col("prev_bits"), spec.k)
+        return micro(ap_at_k_bits(listed, F.col("add_bits"), spec.k))
 
     entries = F.array(
         *[F.struct(F.lit(m).alias("model"), ap_of(m).alias("ap_micro")) for m in models]

@@ -11,9 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions import ap_at_k, best_open, full_order, has_item, item_numbers, micro, top_k
+from panelspark.functions import ap_at_k_bits, best_open, full_order, has_item, micro, top_k
 from panelspark.operators.features import item_counts
 from panelspark.operators.reshape import explode_held
+from panelspark.operators.split import mean_ap
 from panelspark.spec import PanelSpec
 
 BAND_CAP = 8  # holdings of 8 and more share one rate
@@ -82,7 +83,7 @@ def score_by_key(rows: DataFrame, scores: DataFrame, keys: Sequence[str], spec:
 def with_recommendation(scored: DataFrame, spec: PanelSpec, k: int | None = None) -> DataFrame:
     """Top K items not held, by score."""
     return scored.withColumn(
-        "recommended", top_k(F.col("scores"), F.col("prev_bits"), k or spec.k, spec.n)
+        "recommended", top_k(F.col("scores"), F.col("prev_bits"), k or spec.k)
     )
 
 
@@ -90,13 +91,13 @@ def recommend_popular(rows: DataFrame, train: DataFrame, spec: PanelSpec, k: int
     return with_recommendation(score_by_popularity(rows, train, spec), spec, k)
 
 
-def client_propensity(scored: DataFrame, spec: PanelSpec) -> DataFrame:
+def client_propensity(scored: DataFrame) -> DataFrame:
     """The score of the best item the entity does not hold; 0 if it holds everything."""
-    best = best_open(F.col("scores"), F.col("prev_bits"), spec.n)
+    best = best_open(F.col("scores"), F.col("prev_bits"))
     return scored.withColumn("prob_buy", F.coalesce(best, F.lit(0.0)))
 
 
-def masked_renormalise(scored: DataFrame, spec: PanelSpec) -> DataFrame:
+def masked_renormalise(scored: DataFrame) -> DataFrame:
     """Held items to zero, the rest scaled to sum 1 (all zero when nothing is left)."""
     masked = F.transform(
         F.col("scores"),
@@ -117,7 +118,7 @@ def masked_renormalise(scored: DataFrame, spec: PanelSpec) -> DataFrame:
 
 def score_portfolio(scored: DataFrame, spec: PanelSpec) -> DataFrame:
     """Whole base: normalised scores over open items, propensity, list and outcome."""
-    ready = with_recommendation(client_propensity(masked_renormalise(scored, spec), spec), spec)
+    ready = with_recommendation(client_propensity(masked_renormalise(scored)), spec)
     return ready.select(
         "entity", "period", "prob_buy",
         (F.col("n_adds") > 0).cast("int").alias("took_up"), "recommended", "scores",
@@ -136,16 +137,13 @@ def order_by_score(long: DataFrame, score: str = "score") -> DataFrame:
 
 def with_ap(recommended: DataFrame, spec: PanelSpec, k: int | None = None) -> DataFrame:
     """AP@K of each row's list against its adds; rows without adds have nothing to hit."""
-    actual = item_numbers(F.col("add_bits"), spec.n)
-    predicted = F.coalesce("recommended", F.array().cast("array<int>"))
-    return recommended.filter(F.col("add_bits") != 0).withColumn(
-        "ap_micro", micro(ap_at_k(predicted, actual, k or spec.k))
-    )
+    ap = ap_at_k_bits(F.col("recommended"), F.col("add_bits"), k or spec.k)
+    return recommended.filter(F.col("add_bits") != 0).withColumn("ap_micro", micro(ap))
 
 
-def full_lists(scored: DataFrame, spec: PanelSpec) -> DataFrame:
+def full_lists(scored: DataFrame) -> DataFrame:
     """Every item in score order, held ones included: the input of rank fusion."""
-    return scored.withColumn("ordered", full_order(F.col("scores"), spec.n))
+    return scored.withColumn("ordered", full_order(F.col("scores")))
 
 
 def coverage_gap(train_ids: DataFrame, serve_ids: DataFrame, known: DataFrame, limit: float = 15.0) -> DataFrame:
@@ -202,3 +200,16 @@ def score_drops(held: DataFrame, rates: DataFrame) -> DataFrame:
     return held.join(F.broadcast(both), ["idx", "tenure"], "left").withColumns(
         {"p": F.coalesce("p", F.lit(0.0)), "p_item": F.coalesce("p_item", F.lit(0.0))}
     )
+
+
+def compare_approaches(ap: DataFrame, base: str) -> DataFrame:
+    """MAP per model, its ratio to the base model, and the winner (ties: first name)."""
+    means = mean_ap(ap, "model")
+    everything = Window.partitionBy()  # one row per model
+    base_sum = F.max(F.when(F.col("model") == base, F.col("ap_sum"))).over(everything)
+    place = F.row_number().over(everything.orderBy(F.desc("ap_sum"), "model"))
+    return means.select(
+        "model", "clients", "map",
+        F.when(base_sum > 0, F.col("ap_sum") / base_sum).alias("ratio"),
+        (place == 1).alias("winner"),
+    )
