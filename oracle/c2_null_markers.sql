@@ -1,0 +1,6 @@
+-- standalone
+SELECT CAST(o_orderkey AS VARCHAR) AS order_id,
+       CASE WHEN o_orderpriority <> '4-NOT SPECIFIED' THEN o_orderpriority END AS priority,
+       CASE WHEN o_orderstatus <> 'P' THEN strftime(o_orderdate, '%Y-%m-%d') END AS day,
+       CASE WHEN o_orderkey % 40 = 0 THEN '-999999' ELSE CAST(o_orderkey % 100 AS VARCHAR) END AS seniority
+FROM orders

@@ -39,7 +39,7 @@ def typed(
         {
             **{c: F.col(c).try_cast("int") for c in ints},
             **{c: F.col(c).try_cast("double") for c in doubles},
-            **{c: F.try_to_date(F.col(c), F.lit(date_format)) for c in dates},
+            **{c: F.try_to_date(F.col(c), date_format) for c in dates},
         }
     )
 

@@ -94,7 +94,7 @@ def pr_auc(cumulative: DataFrame) -> DataFrame:
     hits = F.col("all_pos") - F.col("below_pos")
     called = F.col("all_n") - F.col("below_n")
     totals = cumulative.agg(
-        F.sum(micro(F.col("pos") * hits / called)).alias("area_micro"),
+        F.sum(micro(F.col("pos") * (hits / called))).alias("area_micro"),
         F.max("all_pos").alias("positives"), F.max("all_n").alias("rows"),
     )
     area = F.col("area_micro") / (F.col("positives") * F.lit(MICRO))

@@ -1 +1,154 @@
+"""Scans, cleaning and layout (S*, C*, O*, B8)."""
 
+from __future__ import annotations
+
+import datetime
+
+from pyspark.sql import functions as F
+
+from panelspark.operators import clean, layout, metrics
+from panelspark.registry.core import Data, query
+from panelspark.sources import files
+from panelspark.sources.panels import MISSING_PRIORITY
+
+
+def dirty_orders(d: Data):
+    """Orders as padded text with markers, unparsable prices and a seniority sentinel."""
+    orders = d.table("orders")
+    key = F.col("o_orderkey")
+    return orders.select(
+        F.concat(F.lit("  "), key.cast("string"), F.lit(" ")).alias("order_id"),
+        F.when(F.col("o_orderpriority") == MISSING_PRIORITY, "NA")
+        .otherwise(F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit("  "))).alias("priority"),
+        F.when(F.col("o_orderstatus") == "P", "  ")
+        .otherwise(F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" "))).alias("day"),
+        F.when(F.pmod(key, F.lit(50)) == 0, "n/d").otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.when(F.pmod(key, F.lit(40)) == 0, "-999999")
+        .otherwise(F.concat(F.lit(" "), F.pmod(key, F.lit(100)).cast("string"))).alias("seniority"),
+    )
+
+
+def clean_orders(d: Data):
+    text = clean.null_markers(clean.trim_all(dirty_orders(d)))
+    rows = clean.typed(text, ints=("order_id", "seniority"), doubles=("price",), dates=("day",))
+    return clean.sentinel_to_null(rows, "seniority", F.col("seniority") < 0)
+
+
+def profiled(d: Data):
+    """Usable rows with the entity's profile."""
+    return d.features.select("entity", "period", "n_prev", "prev_activity", "history").join(
+        d.profile, "entity", "left"
+    )
+
+
+@query("s3_read_columns")
+def _(d: Data):
+    return files.read_panel(d.spark, f"{d.folder}/orders.parquet", ["o_orderkey", "o_custkey"])
+
+
+@query("s4_read_period")
+def _(d: Data):
+    path = f"{d.folder}/orders.parquet"
+    day = F.lit(datetime.date(1998, 10, 3)).cast("timestamp_ntz")
+    return files.read_period(d.spark, path, day, "o_orderdate").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("s9_row_reconciliation")
+def _(d: Data):
+    return files.row_reconciliation(d.table("orders"), clean_orders(d))
+
+
+@query("c1_trim_all")
+def _(d: Data):
+    return clean.trim_all(dirty_orders(d)).drop("price")
+
+
+@query("c2_null_markers")
+def _(d: Data):
+    return clean.null_markers(clean.trim_all(dirty_orders(d))).drop("price")
+
+
+@query("c3_typed")
+def _(d: Data):
+    text = clean.null_markers(clean.trim_all(dirty_orders(d)))
+    return clean.typed(text, ints=("order_id", "seniority"), doubles=("price",), dates=("day",))
+
+
+@query("c4_sentinel_to_null")
+def _(d: Data):
+    return clean_orders(d)
+
+
+@query("c5_null_audit")
+def _(d: Data):
+    return clean.null_audit(clean_orders(d), ["priority", "day", "price", "seniority"])
+
+
+@query("c7_flag_missing", "b")
+def _(d: Data):
+    return clean.flag_missing(profiled(d), ["income", "prev_activity"]).select(
+        "entity", "period", "income", "income_missing", "prev_activity", "prev_activity_missing"
+    )
+
+
+@query("c8_fold_rare", "b")
+def _(d: Data):
+    rows = profiled(d)
+    train = rows.filter(F.col("period") < d.spec.decision)
+    return clean.fold_rare(rows, "province", 10, learn_from=train).select("entity", "period", "province")
+
+
+@query("c9_median_fill", "b")
+def _(d: Data):
+    """Null incomes take the exact discrete median of the known ones."""
+    known = d.profile.filter(F.col("income").isNotNull()).withColumn("zero", F.lit(0))
+    cut = metrics.exact_cuts(metrics.cumulative_histogram(known, "income", "zero"), [500])
+    median = cut.select(F.lit(1).alias("one"), F.col("cut_500.score").alias("median"))
+    return (
+        d.profile.withColumn("one", F.lit(1)).join(F.broadcast(median), "one")
+        .select("entity", F.coalesce("income", "median").alias("income"))
+    )
+
+
+@query("c14_standardize", "b")
+def _(d: Data):
+    rows = profiled(d)
+    columns = ["income", "n_prev", "prev_activity", "history"]
+    train = rows.filter(F.col("period") < d.spec.decision)
+    served = rows.filter(F.col("period") >= d.spec.decision)
+    return clean.standardize(train, served, columns).select(
+        "entity", "period",
+        *[F.floor(F.col(c) * 1000000 + 0.5).cast("long").alias(f"{c}_micro") for c in columns],
+    )
+
+
+@query("b8_missing_by", "b")
+def _(d: Data):
+    return clean.missing_by(d.profile, "income", "province")
+
+
+@query("o1_skew_report", "ab")
+def _(d: Data):
+    return layout.skew_report(d.panel, "period")
+
+
+@query("o2_rows_by_period", "ab")
+def _(d: Data):
+    return layout.rows_by_period(d.panel)
+
+
+@query("o3_enrich_group_mean")
+def _(d: Data):
+    customer = d.table("customer", "c_custkey", "c_nationkey", "c_acctbal")
+    return layout.enrich_group_mean(customer, "c_nationkey", "c_acctbal")
+
+
+@query("o3_enrich_group_mean_merge")
+def _(d: Data):
+    customer = d.table("customer", "c_custkey", "c_nationkey", "c_acctbal")
+    return layout.enrich_group_mean(customer, "c_nationkey", "c_acctbal", strategy="merge")
+
+
+@query("o4_group_profile", "b")
+def _(d: Data):
+    return layout.group_profile(d.profile, "region", "income")

@@ -1 +1,248 @@
+"""Learnt models on the given tables (C9-C13, P3-P9, P12, P14, P15, B1-B7): rows only, no SQL."""
 
+from __future__ import annotations
+
+from pyspark.ml import Pipeline
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from panelspark.functions import names_of
+from panelspark.operators import clean, drop, encode, metrics, rankers, reshape, split
+from panelspark.operators import recommend as rec
+from panelspark.operators.encode import COUNTERS, Predictors
+from panelspark.registry.core import Data, query
+from panelspark.session import materialize
+
+CATEGORIES = ("segment", "province", "region")
+
+
+def profiled(d: Data):
+    """Feature rows with the customer profile, long-tailed provinces folded on train rows."""
+    rows = d.features.join(d.profile, "entity", "left")
+    train = rows.filter(F.col("period") < d.spec.decision)
+    return clean.fold_rare(rows, "province", 20, learn_from=train)
+
+
+def model_table(d: Data):
+    """Feature rows with held flags, written once for the fits and scorings that follow."""
+    rows = d.features if d.spec.season_length == 7 else profiled(d)
+    return materialize(encode.held_flags(rows, d.spec).filter(F.col("period") <= d.spec.measured))
+
+
+def predictors(d: Data) -> Predictors:
+    base = Predictors(extra=encode.held_names_of(d.spec))
+    return base if d.spec.season_length == 7 else base.plus(numeric=("income",), categorical=CATEGORIES)
+
+
+def list_report(scored, d: Data):
+    """Per entity of t: list, AP in millionths, and whether anything was taken up."""
+    listed = rec.with_recommendation(scored, d.spec) if "recommended" not in scored.columns else scored
+    ap = rec.with_ap(listed, d.spec).select("entity", "period", "ap_micro")
+    return listed.join(ap, ["entity", "period"], "left").select(
+        "entity", "period",
+        F.array_join(names_of(F.col("recommended"), d.spec.items), ",").alias("recommended"), "ap_micro",
+    )
+
+
+def parts(table, d: Data):
+    return split.split_three(table, d.spec.measured)
+
+
+@query("c9_imputer_model", "b")
+def _(d: Data):
+    rows = clean.flag_missing(profiled(d), ["income", "prev_activity"])
+    train = rows.filter(F.col("period") < d.spec.decision)
+    return encode.impute_median(["income", "prev_activity"]).fit(train).transform(rows).select(
+        "entity", "period", "income_filled", "income_missing", "prev_activity_filled"
+    )
+
+
+@query("c10_index_categories_model", "b")
+def _(d: Data):
+    rows = profiled(d)
+    train = rows.filter(F.col("period") < d.spec.decision)
+    indexed = encode.index_categories(CATEGORIES).fit(train).transform(rows)
+    return indexed.select("entity", "period", *[f"{c}_index" for c in CATEGORIES])
+
+
+@query("c11_one_hot_model", "b")
+def _(d: Data):
+    rows = profiled(d)
+    stages = [encode.index_categories(CATEGORIES), encode.one_hot(CATEGORIES)]
+    coded = Pipeline(stages=stages).fit(rows.filter(F.col("period") < d.spec.decision)).transform(rows)
+    return coded.select(
+        "entity", "period",
+        *[F.array_join(vector_to_array(f"{c}_onehot"), ",").alias(f"{c}_onehot") for c in CATEGORIES],
+    )
+
+
+def assembled(d: Data, **options):
+    table, inputs = model_table(d), predictors(d)
+    train = encode.ready(parts(table, d).train, inputs)
+    stages = Pipeline(stages=encode.preprocess_stages(inputs, **options)).fit(train)
+    return stages.transform(encode.ready(table, inputs)).select(
+        "entity", "period", F.array_join(vector_to_array("features"), ",").alias("features")
+    )
+
+
+@query("c12_assemble_model", "ab")
+def _(d: Data):
+    return assembled(d)
+
+
+@query("c13_assemble_skip_model", "b")
+def _(d: Data):
+    return assembled(d, invalid="skip", with_one_hot=True, impute=False)
+
+
+def als_of(d: Data, train):
+    return rankers.fit_als(reshape.interaction_counts(train, d.spec, "held"))
+
+
+@query("p3_als_model", "ab")
+def _(d: Data):
+    """Item factors of the fitted model."""
+    factors = als_of(d, materialize(d.parts.train)).itemFactors
+    return factors.select(F.col("id").alias("idx"), F.array_join("features", ",").alias("factors"))
+
+
+@query("p4_recommend_als_model", "ab")
+def _(d: Data):
+    part = parts(model_table(d), d)
+    return list_report(rankers.recommend_als(als_of(d, part.train), part.measured, d.spec), d)
+
+
+@query("p5_user_factors_model", "ab")
+def _(d: Data):
+    return rankers.user_factors(als_of(d, materialize(d.parts.train)))
+
+
+def multiclass_report(d: Data, kind: str, inputs: Predictors | None = None, **size):
+    part, inputs = parts(model_table(d), d), inputs or predictors(d)
+    fitted = rankers.fit_multiclass(part.train, inputs, d.spec, kind, **size)
+    return list_report(rankers.score_multiclass(fitted, part.measured, d.spec), d)
+
+
+@query("p7_forest_model", "ab")
+def _(d: Data):
+    return multiclass_report(d, "forest", trees=40)
+
+
+@query("p8_boosted_model")
+def _(d: Data):
+    return multiclass_report(d, "boosted", trees=10, depth=4)
+
+
+@query("p8_logistic_model", "ab")
+def _(d: Data):
+    return multiclass_report(d, "logistic")
+
+
+@query("p9_hybrid_model")
+def _(d: Data):
+    table = model_table(d)
+    factors = rankers.user_factors(als_of(d, parts(table, d).train))
+    part = parts(materialize(table.join(factors, "entity", "left")), d)
+    inputs = predictors(d).plus(numeric=rankers.factor_names())
+    fitted = rankers.fit_multiclass(part.train, inputs, d.spec, "boosted", trees=10, depth=4)
+    return list_report(rankers.score_multiclass(fitted, part.measured, d.spec), d)
+
+
+@query("p12_ranker_model", "ab")
+def _(d: Data):
+    part = parts(model_table(d), d)
+    ranker = rankers.fit_ranker(part.train, d.spec)
+    return list_report(rankers.score_ranker(ranker, part.measured), d)
+
+
+@query("p14_profile_only_model", "b")
+def _(d: Data):
+    """No item column and no history: what can be said about a newcomer."""
+    inputs = Predictors(numeric=("season", "income"), categorical=CATEGORIES)
+    return multiclass_report(d, "forest", inputs, trees=40)
+
+
+@query("p15_sequence_model")
+def _(d: Data):
+    table = clean.standardize(d.parts.train, d.features, ["adds_recent", "history"])
+    rows = materialize(
+        rankers.sequence_inputs(table.filter(F.col("period") <= d.spec.measured), d.spec, 8)
+    )
+    part = parts(rows, d)
+    fitted = rankers.fit_sequence(part.train, d.spec, 8, static=("adds_recent", "history"))
+    return list_report(rankers.score_sequence(fitted, part.measured, d.spec), d)
+
+
+def drop_table(d: Data):
+    """Held-item rows with the predictors, and the predictors of the drop model."""
+    inputs = predictors(d)
+    table = encode.held_flags(d.features if d.spec.season_length == 7 else profiled(d), d.spec)
+    keep = ("entity", "period", *inputs.numeric, *inputs.categorical, *inputs.extra)
+    long = reshape.explode_held(table.filter(F.col("period") <= d.spec.measured), d.spec, keep)
+    return materialize(long), inputs.plus(numeric=("tenure",), categorical=("item",))
+
+
+def drop_scored(d: Data, trees: int):
+    long, inputs = drop_table(d)
+    part = parts(long, d)
+    model = drop.fit_drop_model(part.train, inputs, trees=trees)
+    return tuple(
+        drop.score_binary(model, rows, inputs).select("entity", "period", "item", "label", "p_raw")
+        for rows in (part.decision, part.measured)
+    )
+
+
+@query("b1_drop_model", "ab")
+def _(d: Data):
+    _, measured = drop_scored(d, trees=20)
+    return measured
+
+
+@query("b2_calibrated_drop_model")
+def _(d: Data):
+    decision, measured = drop_scored(d, trees=20)
+    calibrated = materialize(drop.calibrate(decision, measured))
+    quality = metrics.brier(calibrated, "p_raw", "p").withColumn("one", F.lit(1))
+    ties = metrics.tie_levels(calibrated, "p").select(F.lit(1).alias("one"), "levels")
+    return quality.join(F.broadcast(ties), "one").drop("one")
+
+
+@query("b3_leakage_control_model")
+def _(d: Data):
+    table = model_table(d)
+    return drop.leakage_control(
+        table, d.panel, d.spec.items.index("purchase"), predictors(d), d.spec.measured, trees=10
+    )
+
+
+def newest_rows(d: Data):
+    """One row per customer: the newest usable one, with its profile."""
+    newest = d.features.groupBy("entity").agg(
+        F.max_by(F.struct("period", *COUNTERS), "period").alias("row")
+    )
+    return newest.select("entity", "row.*").join(d.profile, "entity")
+
+
+@query("b4_missingness_model", "b")
+def _(d: Data):
+    inputs = Predictors(numeric=COUNTERS, categorical=CATEGORIES)
+    return drop.missingness_model(newest_rows(d), "income", inputs, trees=10)[0]
+
+
+@query("b5_grouped_importance_model", "b")
+def _(d: Data):
+    inputs = Predictors(numeric=COUNTERS, categorical=CATEGORIES)
+    return drop.missingness_model(newest_rows(d), "income", inputs, trees=10)[1]
+
+
+@query("b6_compare_imputation_model", "b")
+def _(d: Data):
+    inputs = Predictors(numeric=COUNTERS, categorical=CATEGORIES)
+    return drop.compare_imputation(newest_rows(d), "income", inputs, trees=10)
+
+
+@query("b7_drift_curve_model")
+def _(d: Data):
+    long, inputs = drop_table(d)
+    periods = split.first_periods(long)
+    return drop.drift_curve(long, inputs, periods, window=4, horizon=4, trees=5, depth=4)

@@ -1 +1,139 @@
+"""Classification metrics on given scores, the business layer and score exports (M4-M11, N*, S5-S7)."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from panelspark.functions import names_of
+from panelspark.operators import business, metrics
+from panelspark.operators import recommend as rec
+from panelspark.registry.core import Data, query
+from panelspark.session import materialize
+from panelspark.sources import exports
+
+
+def measured_drops(d: Data):
+    return d.drop_scores.filter(F.col("period") == d.spec.measured)
+
+
+def portfolio(d: Data):
+    """Entities of t with propensity, outcome and list, from the conditional rates."""
+    scored = d.by_rates.filter(F.col("period") == d.spec.measured)
+    return rec.with_recommendation(rec.client_propensity(scored), d.spec).select(
+        "entity", "prob_buy", (F.col("n_adds") > 0).cast("int").alias("took_up"), "recommended"
+    )
+
+
+def with_drop_risk(d: Data):
+    """Written once: both cuts and the classification read it."""
+    purchase = portfolio(d).select("entity", "prob_buy", "took_up")
+    return materialize(business.with_risk(purchase, business.client_risk(measured_drops(d))))
+
+
+def both_cuts(df):
+    return business.percentile_cuts(df, ["prob_buy", "prob_drop"])
+
+
+@query("m4_roc_auc", "ab")
+def _(d: Data):
+    return metrics.roc_auc(metrics.cumulative_histogram(measured_drops(d), "p", "label"))
+
+
+@query("m5_pr_auc", "ab")
+def _(d: Data):
+    return metrics.pr_auc(metrics.cumulative_histogram(measured_drops(d), "p", "label")).select(
+        "positives", "rows", "pr_auc", "base_rate"
+    )
+
+
+@query("m6_lift_over_base", "ab")
+def _(d: Data):
+    return metrics.lift_over_base(measured_drops(d), "p", "label")
+
+
+@query("m7_brier", "ab")
+def _(d: Data):
+    return metrics.brier(measured_drops(d), "p_item", "p")
+
+
+@query("m8_reliability", "ab")
+def _(d: Data):
+    return metrics.reliability(measured_drops(d), "p")
+
+
+@query("m9_tie_levels", "ab")
+def _(d: Data):
+    return metrics.tie_levels(measured_drops(d), "p")
+
+
+@query("m10_threshold_sweep", "ab")
+def _(d: Data):
+    return metrics.threshold_sweep(measured_drops(d), "p")
+
+
+@query("m11_regression_error", "b")
+def _(d: Data):
+    """Error of the median as an estimate of a known income."""
+    known = d.profile.filter(F.col("income").isNotNull()).withColumn("zero", F.lit(0))
+    cut = metrics.exact_cuts(metrics.cumulative_histogram(known, "income", "zero"), [500])
+    median = cut.select(F.lit(1).alias("one"), F.col("cut_500.score").alias("median"))
+    rows = known.withColumn("one", F.lit(1)).join(F.broadcast(median), "one")
+    return metrics.regression_error(rows, "income", "median")
+
+
+@query("n1_capture_curve", "ab")
+def _(d: Data):
+    return business.capture_curve(portfolio(d), "prob_buy", "took_up")
+
+
+@query("n2_client_risk", "ab")
+def _(d: Data):
+    return business.client_risk(measured_drops(d))
+
+
+@query("n3_percentile_cuts", "ab")
+def _(d: Data):
+    return both_cuts(with_drop_risk(d))
+
+
+@query("n4_quadrants", "ab")
+def _(d: Data):
+    rows = with_drop_risk(d)
+    return business.quadrants(business.with_quadrant(rows, both_cuts(rows)))
+
+
+@query("n5_action_labels", "ab")
+def _(d: Data):
+    rows = with_drop_risk(d)
+    return business.with_action(business.with_quadrant(rows, both_cuts(rows))).select(
+        "entity", "quadrant", "action"
+    )
+
+
+@query("n7_call_list", "ab")
+def _(d: Data):
+    return business.call_list(portfolio(d), 50).select(
+        "entity", "prob_buy",
+        F.array_join(names_of(F.col("recommended"), d.spec.items), ",").alias("recommended"),
+    )
+
+
+@query("s5_purchase_scores", "ab")
+def _(d: Data):
+    table = exports.export_purchase_scores(portfolio(d), d.spec)
+    return table.withColumn("recommended", F.array_join("recommended", ","))
+
+
+@query("s6_drop_scores", "ab")
+def _(d: Data):
+    return exports.export_drop_scores(measured_drops(d))
+
+
+@query("s7_serving_extract", "ab")
+def _(d: Data):
+    purchase = exports.export_purchase_scores(portfolio(d), d.spec)
+    drops = exports.export_drop_scores(measured_drops(d))
+    extract = exports.serving_extract(purchase, drops, d.parts.measured, d.spec, 100)
+    return extract.withColumns(
+        {c: F.array_join(c, ",") for c in ("recommended", "held")}
+    )
