@@ -229,7 +229,7 @@ def fit_sequence(
     the adds at each step of a trajectory are already targets of its earlier rows.
     """
     adds = explode_adds(train, spec, keep=("sequence", *static)).withColumn("label", F.col("idx").cast("double"))
-    assembler = VectorAssembler(inputCols=["sequence", *static], outputCol="features", handleInvalid="keep")
+    assembler = VectorAssembler(inputCols=["sequence", *static], outputCol="features")
     width = length * 3 * spec.n + len(static)
     net = MultilayerPerceptronClassifier(
         featuresCol="features", labelCol="label", layers=[width, hidden, spec.n], maxIter=iterations,

@@ -49,6 +49,11 @@ class Data:
     def profile(self) -> DataFrame:
         return panels.customer_profile(self.spark, self.folder)
 
+    @property
+    def has_profile(self) -> bool:
+        """Customers have attributes; the daily users have none."""
+        return self.spec is QUARTERLY
+
     @cached_property
     def parts(self) -> split.ThreeWay:
         return split.split_three(self.features, self.spec.measured)

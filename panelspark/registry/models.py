@@ -25,13 +25,13 @@ def profiled(d: Data):
 
 def model_table(d: Data):
     """Feature rows with held flags, written once for the fits and scorings that follow."""
-    rows = d.features if d.spec.season_length == 7 else profiled(d)
+    rows = profiled(d) if d.has_profile else d.features
     return materialize(encode.held_flags(rows, d.spec).filter(F.col("period") <= d.spec.measured))
 
 
 def predictors(d: Data) -> Predictors:
     base = Predictors(extra=encode.held_names_of(d.spec))
-    return base if d.spec.season_length == 7 else base.plus(numeric=("income",), categorical=CATEGORIES)
+    return base.plus(numeric=("income",), categorical=CATEGORIES) if d.has_profile else base
 
 
 def list_report(scored, d: Data):
@@ -176,7 +176,7 @@ def _(d: Data):
 def drop_table(d: Data):
     """Held-item rows with the predictors, and the predictors of the drop model."""
     inputs = predictors(d)
-    table = encode.held_flags(d.features if d.spec.season_length == 7 else profiled(d), d.spec)
+    table = encode.held_flags(profiled(d) if d.has_profile else d.features, d.spec)
     keep = ("entity", "period", *inputs.numeric, *inputs.categorical, *inputs.extra)
     long = reshape.explode_held(table.filter(F.col("period") <= d.spec.measured), d.spec, keep)
     return materialize(long), inputs.plus(numeric=("tenure",), categorical=("item",))
