@@ -13,12 +13,12 @@ def micro(value: Column) -> Column:
     return F.floor(value * MICRO + 0.5).cast("long")
 
 
-def pseudo_random(entity: Column, period: Column, item: Column | None = None, seed: int = 0) -> Column:
+def pseudo_random(entity: Column, period: Column, item: Column | None = None, seed: Column | int = 0) -> Column:
     """Repeatable order or sampling key in [0, 2^31 - 1); unlike ``rand`` it survives a re-run task."""
     mixed = (
         F.pmod(entity.cast("long"), F.lit(2147483647)) * F.lit(1103515245)
         + period.cast("long") * F.lit(12345)
-        + F.lit(seed).cast("long") * F.lit(7919)
+        + (seed if isinstance(seed, Column) else F.lit(seed)).cast("long") * F.lit(7919)
     )
     if item is not None:
         mixed = mixed + item.cast("long") * F.lit(2654435)

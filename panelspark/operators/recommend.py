@@ -27,30 +27,80 @@ def popularity(train: DataFrame, spec: PanelSpec) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(order))
 
 
-def popularity_scores(train: DataFrame, spec: PanelSpec, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds per item as a score array, per key if keys are given."""
-    totals = train.groupBy(*keys).agg(
-        *[F.sum(has_item(F.col("add_bits"), i)).alias(f"a{i}") for i in range(spec.n)]
-    )
-    scores = F.array(*[F.coalesce(f"a{i}", F.lit(0).cast("long")).cast("double") for i in range(spec.n)])
-    return totals.select(*keys, scores.alias("scores"))
+def popularity_scores(train: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Adds per item as one row with a score array."""
+    return train.agg(_adds_as_scores(spec).alias("scores"))
+
+
+def _adds_as_scores(spec: PanelSpec, condition: Column | None = None) -> Column:
+    def counted(i: int) -> Column:
+        flag = has_item(F.col("add_bits"), i)
+        return F.coalesce(F.sum(flag if condition is None else F.when(condition, flag)), F.lit(0).cast("long"))
+
+    return F.array(*[counted(i).cast("double") for i in range(spec.n)])
+
+
+def popularity_by_window(train: DataFrame, spec: PanelSpec, windows: dict[str, Column]) -> DataFrame:
+    """One row with a score array per named condition, all from one pass over the train rows."""
+    return train.agg(*[_adds_as_scores(spec, c).alias(f"scores_{name}") for name, c in windows.items()])
 
 
 def band(n_prev: Column) -> Column:
     return F.least(n_prev, F.lit(BAND_CAP))
 
 
-def add_rates(train: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Per holdings band: for each item, adds over rows where it was not held."""
-    totals = train.withColumn("band", band(F.col("n_prev"))).groupBy("band").agg(
+def band_counts(train: DataFrame, spec: PanelSpec, keys: Sequence[str] = ()) -> DataFrame:
+    """Per holdings band (and further keys): for each item, adds and rows without the item."""
+    totals = train.withColumn("band", band(F.col("n_prev"))).groupBy(*keys, "band").agg(
         *[F.sum(has_item(F.col("add_bits"), i)).alias(f"a{i}") for i in range(spec.n)],
         *[F.sum(1 - has_item(F.col("prev_bits"), i)).alias(f"o{i}") for i in range(spec.n)],
     )
-    rates = [
-        F.when(F.col(f"o{i}") > 0, F.col(f"a{i}") / F.col(f"o{i}")).otherwise(F.lit(0.0))
-        for i in range(spec.n)
-    ]
-    return totals.select("band", F.array(*rates).alias("scores"))
+    return totals.select(
+        *keys, "band",
+        F.array(*[F.col(f"a{i}") for i in range(spec.n)]).alias("adds"),
+        F.array(*[F.col(f"o{i}") for i in range(spec.n)]).alias("opens"),
+    )
+
+
+def _rate_array() -> Column:
+    return F.zip_with("adds", "opens", lambda a, o: F.when(o > 0, a / o).otherwise(F.lit(0.0)))
+
+
+def add_rates(train: DataFrame, spec: PanelSpec, keys: Sequence[str] = ()) -> DataFrame:
+    """Per band: adds over rows where the item was not held, as a score array."""
+    return band_counts(train, spec, keys).select(*keys, "band", _rate_array().alias("scores"))
+
+
+def score_table(train: DataFrame, spec: PanelSpec) -> DataFrame:
+    """One row per band with the scores of three models, from a single pass over the train rows.
+
+    Popularity is the sum over the bands, popularity by band and conditional rates are the
+    band's own; a band unseen in train keeps popularity and has zeros for the others.
+    """
+    bands = train.sparkSession.range(BAND_CAP + 1).select(F.col("id").cast("int").alias("band"))
+    zeros = F.array(*[F.lit(0).cast("long")] * spec.n)
+    counts = bands.join(band_counts(train, spec), "band", "left").withColumns(
+        {"adds": F.coalesce("adds", zeros), "opens": F.coalesce("opens", zeros)}
+    )
+    everything = Window.partitionBy()  # BAND_CAP + 1 rows
+    popularity = F.array(*[F.sum(F.get("adds", i)).over(everything).cast("double") for i in range(spec.n)])
+    return counts.select(
+        "band", popularity.alias("scores_popularity"),
+        F.col("adds").cast("array<double>").alias("scores_popularity_by_band"),
+        _rate_array().alias("scores_conditional_rate"),
+    )
+
+
+SCORE_TABLE_MODELS = ("popularity", "popularity_by_band", "conditional_rate")
+
+
+def with_model_scores(rows: DataFrame, train: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The three score arrays next to each row, by one join against BAND_CAP + 1 rows."""
+    return (
+        rows.withColumn("band", band(F.col("n_prev")))
+        .join(F.broadcast(score_table(train, spec)), "band")
+        .drop("band")
+    )
 
 
 def no_scores(spec: PanelSpec) -> Column:
@@ -73,13 +123,6 @@ def score_by_popularity(rows: DataFrame, train: DataFrame, spec: PanelSpec) -> D
     return rows.withColumn("one", F.lit(1)).join(F.broadcast(ranking), "one").drop("one")
 
 
-def score_by_key(rows: DataFrame, scores: DataFrame, keys: Sequence[str], spec: PanelSpec) -> DataFrame:
-    """Scores learnt per key (e.g. segment); the join side is left to its size."""
-    return rows.join(scores, list(keys), "left").withColumn(
-        "scores", F.coalesce("scores", no_scores(spec))
-    )
-
-
 def with_recommendation(scored: DataFrame, spec: PanelSpec, k: int | None = None) -> DataFrame:
     """Top K items not held, by score."""
     return scored.withColumn(

@@ -12,7 +12,7 @@ from panelspark.operators import recommend as rec
 from panelspark.session import materialize
 from panelspark.spec import PanelSpec
 
-MODELS = ("popularity", "conditional_rate")
+MODELS = rec.SCORE_TABLE_MODELS
 
 
 @dataclass(frozen=True)
@@ -25,17 +25,14 @@ class PurchasePlan:
 
 
 def run_purchase(panel: DataFrame, spec: PanelSpec) -> PurchasePlan:
-    """Blend two deterministic models with weights fixed on t-1 and report t.
+    """Blend three deterministic models with weights fixed on t-1 and report t.
 
     The feature table is written once; the train pass and both scored periods read it.
     """
     table = materialize(feat.build_features(panel, spec).filter(F.col("period") <= spec.measured))
     parts = split.split_three(table, spec.measured)
     evaluated = table.filter(F.col("period") >= spec.decision)
-    rows = rec.score_by_popularity(evaluated, parts.train, spec).withColumnRenamed("scores", "scores_popularity")
-    rows = rec.score_by_band(rows, rec.add_rates(parts.train, spec), spec).withColumnRenamed(
-        "scores", "scores_conditional_rate"
-    )
+    rows = rec.with_model_scores(evaluated, parts.train, spec)
     ranked = materialize(fusion.with_rank_arrays(rows, MODELS))
     weights = materialize(
         fusion.search_weights(ranked.filter(F.col("period") == spec.decision), MODELS, spec)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from panelspark.operators import features as feat
 from panelspark.operators import recommend as rec
 from panelspark.operators import reshape, split
+from panelspark.session import materialize
 from panelspark.sources import panels
 from panelspark.spec import DAILY, QUARTERLY, PanelSpec
 
@@ -49,6 +50,13 @@ class Data:
     def profile(self) -> DataFrame:
         return panels.customer_profile(self.spark, self.folder)
 
+    def written(self) -> Data:
+        """The same data with its feature table written once, for queries that read it often."""
+        copy = Data(self.spark, self.folder, self.spec)
+        until_now = self.features.filter(F.col("period") <= self.spec.measured)
+        copy.__dict__["features"] = materialize(until_now)
+        return copy
+
     @property
     def has_profile(self) -> bool:
         """Customers have attributes; the daily users have none."""

@@ -4,31 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.functions import names_of
-from panelspark.operators import fusion, reshape, split
+from panelspark.functions import names_of, pseudo_random
+from panelspark.operators import fusion, split
 from panelspark.operators import recommend as rec
 from panelspark.registry.core import Data, query
 
-MODELS = ("popularity", "popularity_by_band", "conditional_rate")
+MODELS = rec.SCORE_TABLE_MODELS
 
 
 def model_rows(d: Data):
     """Rows of t-1 and t with one score array per model, all learnt before t-1."""
-    train, spec = d.parts.train, d.spec
-    rows = rec.score_by_popularity(d.evaluated, train, spec).withColumnRenamed("scores", "scores_popularity")
-    banded = rec.popularity_scores(
-        train.withColumn("band", rec.band(F.col("n_prev"))), spec, ("band",)
-    ).withColumnRenamed("scores", "scores_popularity_by_band")
-    rates = rec.add_rates(train, spec).withColumnRenamed("scores", "scores_conditional_rate")
-    # both tables have one row per holdings band
-    joined = (
-        rows.withColumn("band", rec.band(F.col("n_prev")))
-        .join(F.broadcast(banded), "band", "left")
-        .join(F.broadcast(rates), "band", "left")
-    )
-    return joined.withColumns(
-        {f"scores_{m}": F.coalesce(f"scores_{m}", rec.no_scores(spec)) for m in MODELS}
-    ).drop("band")
+    return rec.with_model_scores(d.evaluated, d.parts.train, d.spec)
 
 
 def ranked_rows(d: Data, period: int):
@@ -59,6 +45,7 @@ def _(d: Data):
 
 @query("e4_blend_gain", "ab")
 def _(d: Data):
+    d = d.written()
     chosen = fusion.search_weights(ranked_rows(d, d.spec.decision), MODELS, d.spec)
     rows = ranked_rows(d, d.spec.measured)
     blended = fusion.blend_with(rows, chosen, MODELS, d.spec)
@@ -117,12 +104,11 @@ LOOKBACKS = (2, 4, 8)
 
 def lookback_ap(d: Data):
     """AP rows of popularity learnt from the last 2, 4 and 8 periods before t-1."""
-    rows = d.evaluated
-    for n in LOOKBACKS:
-        train = split.split_three(d.features, d.spec.measured, n).train
-        rows = rec.score_by_popularity(rows, train, d.spec).withColumnRenamed("scores", f"scores_last_{n}")
-    models = [f"last_{n}" for n in LOOKBACKS]
-    return fusion.ap_by_client(rows, models, d.spec).withColumnRenamed("model", "candidate")
+    windows = {f"last_{n}": F.col("period") >= d.spec.decision - n for n in LOOKBACKS}
+    recent = split.split_three(d.features, d.spec.measured, max(LOOKBACKS)).train
+    learnt = rec.popularity_by_window(recent, d.spec, windows).withColumn("one", F.lit(1))
+    rows = d.evaluated.withColumn("one", F.lit(1)).join(F.broadcast(learnt), "one")
+    return fusion.ap_by_client(rows, list(windows), d.spec).withColumnRenamed("model", "candidate")
 
 
 @query("t5_select_on_holdout", "ab")
@@ -136,12 +122,19 @@ SEEDS = (1, 2, 3)
 @query("t6_noise_report", "ab")
 def _(d: Data):
     """Reruns of the conditional rates on three repeatable 40 percent samples of the train rows."""
-    rows = d.parts.decision.withColumn("band", rec.band(F.col("n_prev")))
-    for seed in SEEDS:
-        rates = rec.add_rates(reshape.sample_rows(d.parts.train, 400, seed), d.spec)
-        rows = rows.join(
-            F.broadcast(rates.withColumnRenamed("scores", f"scores_{seed}")), "band", "left"
-        ).withColumn(f"scores_{seed}", F.coalesce(f"scores_{seed}", rec.no_scores(d.spec)))
+    key = pseudo_random(F.col("entity"), F.col("period"), seed=F.col("seed"))
+    sampled = d.parts.train.select("*", F.explode(F.lit(list(SEEDS))).alias("seed")).filter(
+        F.pmod(key, F.lit(1000)) < 400
+    )
+    rates = rec.add_rates(sampled, d.spec, ("seed",)).groupBy("band").agg(
+        *[F.max(F.when(F.col("seed") == s, F.col("scores"))).alias(f"scores_{s}") for s in SEEDS]
+    )
+    rows = d.parts.decision.withColumn("band", rec.band(F.col("n_prev"))).join(
+        F.broadcast(rates), "band", "left"
+    )
+    rows = rows.withColumns(
+        {f"scores_{s}": F.coalesce(f"scores_{s}", rec.no_scores(d.spec)) for s in SEEDS}
+    )
     ap = fusion.ap_by_client(rows, [str(s) for s in SEEDS], d.spec).withColumnRenamed("model", "seed")
     report = split.noise_report(ap, gain=0.002)
     return report.select(

@@ -26,6 +26,7 @@ def portfolio(d: Data):
 
 def with_drop_risk(d: Data):
     """Written once: both cuts and the classification read it."""
+    d = d.written()
     purchase = portfolio(d).select("entity", "prob_buy", "took_up")
     return materialize(business.with_risk(purchase, business.client_risk(measured_drops(d))))
 
@@ -131,6 +132,7 @@ def _(d: Data):
 
 @query("s7_serving_extract", "ab")
 def _(d: Data):
+    d = d.written()
     purchase = exports.export_purchase_scores(portfolio(d), d.spec)
     drops = exports.export_drop_scores(measured_drops(d))
     extract = exports.serving_extract(purchase, drops, d.parts.measured, d.spec, 100)
