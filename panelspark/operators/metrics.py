@@ -29,8 +29,8 @@ def score_histogram(df: DataFrame, score: str, label: str) -> DataFrame:
 
 def _with_range(histogram: DataFrame, ranges: int) -> DataFrame:
     """Number of the score range, by literal edges: the same for every task and re-run."""
-    cuts = histogram.approxQuantile("score", [i / ranges for i in range(1, ranges)], 0.5 / ranges)
-    edges = sorted(set(cuts))
+    shares = [i / ranges for i in range(1, ranges)]
+    edges = sorted(set(histogram.approxQuantile("score", shares, 0.5 / ranges))) if shares else []
     bucketizer = Bucketizer(
         splits=[float("-inf"), *edges, float("inf")] if edges else [float("-inf"), 0.0, float("inf")],
         inputCol="score", outputCol="range",

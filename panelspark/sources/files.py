@@ -26,19 +26,15 @@ def read_snapshots_csv(spark: SparkSession, path: str, columns: Sequence[str]) -
 
 
 def write_by_period(
-    df: DataFrame, path: str, column: str = "period", files_per_period: int = 1, spread: str = "entity"
+    df: DataFrame, path: str, column: str = "period", spread: str = "entity", files_per_period: int = 32
 ) -> None:
-    """One folder per period.
+    """One folder per period, at most ``files_per_period`` files in it.
 
-    One file per period suits small panels; at scale a period is spread over several
-    tasks by entity, so that no single task writes a whole period.
+    A period is dealt out by entity, so that no task writes a whole period; adaptive
+    execution merges the pieces again where a period is small, down to one file.
     """
-    if files_per_period == 1:
-        spread_out = df.repartition(column)
-    else:
-        slot = F.pmod(F.xxhash64(spread), F.lit(files_per_period))
-        spread_out = df.repartition(F.col(column), slot)
-    spread_out.write.mode("overwrite").partitionBy(column).parquet(path)
+    piece = F.pmod(F.xxhash64(spread), F.lit(files_per_period))
+    df.repartition(F.col(column), piece).write.mode("overwrite").partitionBy(column).parquet(path)
 
 
 def read_panel(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
