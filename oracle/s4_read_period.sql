@@ -1,2 +1,2 @@
--- standalone
-SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderdate = TIMESTAMP '1998-10-03 00:00:00'
+SELECT entity, period, CAST(sum(CAST(held AS BIGINT) << idx) AS BIGINT) AS held, max(activity) AS activity
+FROM states, params WHERE period = t GROUP BY entity, period

@@ -7,6 +7,7 @@ what keeps the window shuffle small; rows per item appear only where a result ne
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,6 +48,13 @@ def held_names(bits: Column, items: Sequence[str]) -> Column:
     return names_of(item_numbers(bits, len(items)), items)
 
 
-def tenure_of(recent_states: Column, index: Column | int) -> Column:
-    """In how many of the recent periods the item was held."""
-    return F.size(F.filter(recent_states, lambda s: has_item(s, index) == 1))
+TENURE_PERIODS = 6
+
+
+def tenure_of(recent_states: Column, index: Column | int, periods: int = TENURE_PERIODS) -> Column:
+    """In how many of the recent periods the item was held.
+
+    Written out per period: a lambda over the array would leave generated code.
+    """
+    held = [F.coalesce(has_item(F.get(recent_states, j), index), F.lit(0)) for j in range(periods)]
+    return reduce(lambda a, b: a + b, held)

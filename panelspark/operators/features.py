@@ -11,10 +11,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelspark.functions import has_item, tenure_of
+from panelspark.functions import TENURE_PERIODS, has_item, tenure_of
 from panelspark.spec import PanelSpec
 
-TENURE_PERIODS = 6
 RECENT_PERIODS = 3
 
 
@@ -137,13 +136,12 @@ def widen(features: DataFrame, spec: PanelSpec) -> DataFrame:
 def panel_summary(features: DataFrame) -> DataFrame:
     """Adds, drops, distinct entities and periods, mean holdings.
 
-    The set of periods is calendar-sized, so entities stay the only distinct count and
-    rows are not expanded.
+    Distinct entities and periods are reduced inside each task before they are shuffled.
     """
     totals = features.agg(
         F.sum("n_adds").alias("adds"), F.sum("n_drops").alias("drops"),
         F.count_distinct("entity").alias("entities"),
-        F.size(F.collect_set("period")).cast("long").alias("periods"),
+        F.count_distinct("period").alias("periods"),
         F.sum("n_prev").alias("held"), F.count("*").alias("rows"),
     )
     return totals.select(

@@ -5,9 +5,11 @@ Weights and rules are chosen on t-1 and applied on t.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,27 +75,71 @@ def simplex_grid(models: int, parts: int = 10) -> list[tuple[int, ...]]:
 def search_weights(rows: DataFrame, models: Sequence[str], spec: PanelSpec, parts: int = 10) -> DataFrame:
     """MAP of every weight combination on the given (t-1) rows, best first.
 
-    The combinations are a constant list tried next to each row, straight into a partial
-    sum per combination: the shuffle carries one row per combination and task.
+    All combinations are tried on one Arrow batch of rows at a time as array arithmetic; a
+    task hands on one partial sum per combination and batch, so the shuffle is grid-sized.
     """
     names = [f"w_{m}" for m in models]
-    tried = F.array(
-        *[
-            F.struct(*[F.lit(part).alias(name) for part, name in zip(combination, names)])
-            for combination in simplex_grid(len(models), parts)
-        ]
-    )
-    weights = [F.col(name) / parts for name in names]
-    listed = blend(
+    grid = simplex_grid(len(models), parts)
+    k, n = spec.k, spec.n
+
+    def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                held, adds = (_bit_matrix(batch.column(c), n) for c in ("prev_bits", "add_bits"))
+                ranks = [_list_matrix(batch.column(f"rr_{m}"), n) for m in models]
+                sums = [_ap_sum(_weighted(ranks, w, parts), held, adds, k) for w in grid]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(range(len(grid)), pa.int32()),
+                        pa.array(sums, pa.int64()),
+                        pa.array([batch.num_rows] * len(grid), pa.int64()),
+                    ],
+                    ["g", "ap_sum", "clients"],
+                )
+
+    sums = (
         rows.filter(F.col("add_bits") != 0)
         .select("prev_bits", "add_bits", *[f"rr_{m}" for m in models])
-        .select("*", F.inline(tried)),
-        models, weights, spec,
+        .mapInArrow(partial_sums, "g int, ap_sum long, clients long")
+        .groupBy("g")
+        .agg(F.sum("ap_sum").alias("ap_sum"), F.sum("clients").alias("clients"))
     )
-    ap = micro(ap_at_k_bits(F.col("recommended"), F.col("add_bits"), spec.k))
-    means = mean_ap(listed.select(*names, ap.alias("ap_micro")), *names)
+    weights = [F.get(F.lit([w[j] for w in grid]), F.col("g")).alias(name) for j, name in enumerate(names)]
     order = Window.orderBy(F.desc("ap_sum"), *names)  # grid-sized
-    return means.select("clients", *names, "map", F.row_number().over(order).alias("place"))
+    return sums.select("clients", "ap_sum", *weights).select(
+        "clients", *names,
+        (F.col("ap_sum") / (F.col("clients") * F.lit(MICRO))).alias("map"),
+        F.row_number().over(order).alias("place"),
+    )
+
+
+def _bit_matrix(column: pa.Array, n: int) -> np.ndarray:
+    bits = column.to_numpy(zero_copy_only=False).astype(np.int64)
+    return (bits[:, None] >> np.arange(n)) & 1
+
+
+def _list_matrix(column: pa.Array, n: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def _weighted(ranks: list[np.ndarray], weights: tuple[int, ...], parts: int) -> np.ndarray:
+    total = (weights[0] / parts) * ranks[0]
+    for weight, matrix in zip(weights[1:], ranks[1:]):
+        total = total + (weight / parts) * matrix
+    return total
+
+
+def _ap_sum(scores: np.ndarray, held: np.ndarray, adds: np.ndarray, k: int) -> int:
+    """Sum of AP@K in millionths; ties keep catalogue order, held items never count."""
+    order = np.argsort(np.where(held == 1, np.inf, -scores), axis=1, kind="stable")[:, :k]
+    found = np.take_along_axis(adds, order, axis=1)
+    hits = np.zeros(len(scores))
+    total = np.zeros(len(scores))
+    for place in range(order.shape[1]):
+        hits = hits + found[:, place]
+        total = total + np.where(found[:, place] == 1, hits / (place + 1), 0.0)
+    possible = np.minimum(adds.sum(axis=1), k)
+    return int(np.floor(total / possible * MICRO + 0.5).sum())
 
 
 def blend_with(rows: DataFrame, chosen: DataFrame, models: Sequence[str], spec: PanelSpec, parts: int = 10) -> DataFrame:

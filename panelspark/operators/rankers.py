@@ -18,7 +18,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.functions import has_item, item_numbers, pseudo_random
+from panelspark.functions import item_numbers, pseudo_random, top_k
 from panelspark.operators import trajectory
 from panelspark.operators.encode import Predictors, preprocess_stages, ready
 from panelspark.operators.reshape import explode_adds
@@ -42,15 +42,44 @@ def fit_als(interactions: DataFrame, rank: int = ALS_RANK) -> ALSModel:
     return als.fit(interactions.withColumn("rating", F.col("rating").cast("float")))
 
 
+def _item_vectors(model: ALSModel) -> dict[int, list[float]]:
+    """Item factors on the driver: one short vector per catalogue item."""
+    return {r.id: [float(v) for v in r.features] for r in model.itemFactors.collect()}
+
+
+def score_als(model: ALSModel, rows: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Factor products as a ``scores`` array; null for an entity the model never saw.
+
+    The item factors are one small constant matrix, so each row multiplies its own vector
+    and no (entity, item) rows are made.  An item without a vector scores 0.
+    """
+    items = _item_vectors(model)
+    matrix = F.array(*[F.lit(items.get(i, [0.0] * model.rank)) for i in range(spec.n)])
+    vectors = model.userFactors.select(
+        F.col("id").cast("long").alias("entity"), F.col("features").cast("array<double>").alias("vector")
+    )
+    product = F.transform(
+        matrix,
+        lambda item: F.aggregate(
+            F.zip_with(item, F.col("vector"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
+        ),
+    )
+    return rows.join(vectors, "entity", "left").withColumn(
+        "scores", F.when(F.col("vector").isNotNull(), product)
+    ).drop("vector")
+
+
 def recommend_als(model: ALSModel, rows: DataFrame, spec: PanelSpec, k: int | None = None) -> DataFrame:
-    """Best items by factor product, held ones removed; an entity without a vector gets none."""
-    users = rows.select("entity").distinct()
-    ranked = model.recommendForUserSubset(users, spec.n).select(
-        "entity", F.col("recommendations.idx").alias("ordered")
+    """Best items by factor product, without held items and items the model never saw.
+
+    An entity without a vector gets an empty list.
+    """
+    unseen = sum(1 << i for i in set(range(spec.n)) - set(_item_vectors(model)))
+    excluded = F.col("prev_bits").bitwiseOR(F.lit(unseen).cast("long"))
+    listed = top_k(F.col("scores"), excluded, k or spec.k)
+    return score_als(model, rows, spec).withColumn(
+        "recommended", F.coalesce(listed, F.array().cast("array<int>"))
     )
-    still_open = F.filter("ordered", lambda i: has_item(F.col("prev_bits"), i) == 0)
-    listed = F.coalesce(F.slice(still_open, 1, k or spec.k), F.array().cast("array<int>"))
-    return rows.join(ranked, "entity", "left").withColumn("recommended", listed).drop("ordered")
 
 
 def user_factors(model: ALSModel, rank: int = ALS_RANK) -> DataFrame:

@@ -24,17 +24,26 @@ def held_items(features: DataFrame, spec: PanelSpec) -> DataFrame:
     return features.select(*KEYS, held_names(F.col("prev_bits"), spec.items).alias("held"))
 
 
+def explode_bits(df: DataFrame, bits, spec: PanelSpec) -> DataFrame:
+    """One row per item of the set, as ``idx``.
+
+    The constant catalogue is exploded and filtered by its bit: both stay in generated
+    code, where filtering an array first would not.
+    """
+    return df.select("*", F.explode(F.lit(list(range(spec.n)))).alias("idx")).filter(
+        has_item(bits, F.col("idx")) == 1
+    )
+
+
 def _item_name(spec: PanelSpec):
     return F.get(F.array(*[F.lit(x) for x in spec.items]), F.col("idx")).alias("item")
 
 
 def explode_adds(features: DataFrame, spec: PanelSpec, keep: Sequence[str] = KEYS) -> DataFrame:
     """One row per add."""
-    return (
-        features.filter(F.col("add_bits") != 0)
-        .select(*keep, F.explode(item_numbers(F.col("add_bits"), spec.n)).alias("idx"))
-        .select(*keep, "idx", _item_name(spec))
-    )
+    carried = list(dict.fromkeys([*keep, "add_bits"]))
+    rows = features.filter(F.col("add_bits") != 0).select(*carried)
+    return explode_bits(rows, F.col("add_bits"), spec).select(*keep, "idx", _item_name(spec))
 
 
 def explode_held(features: DataFrame, spec: PanelSpec, keep: Sequence[str] = KEYS) -> DataFrame:
@@ -44,14 +53,10 @@ def explode_held(features: DataFrame, spec: PanelSpec, keep: Sequence[str] = KEY
     come out of it.
     """
     carried = list(dict.fromkeys([*keep, "prev_bits", "drop_bits", "recent_states"]))
-    return (
-        features.select(*carried)
-        .select("*", F.explode(item_numbers(F.col("prev_bits"), spec.n)).alias("idx"))
-        .select(
-            *keep, "idx", _item_name(spec),
-            has_item(F.col("drop_bits"), F.col("idx")).alias("label"),
-            tenure_of(F.col("recent_states"), F.col("idx")).alias("tenure"),
-        )
+    return explode_bits(features.select(*carried), F.col("prev_bits"), spec).select(
+        *keep, "idx", _item_name(spec),
+        has_item(F.col("drop_bits"), F.col("idx")).alias("label"),
+        tenure_of(F.col("recent_states"), F.col("idx")).alias("tenure"),
     )
 
 
@@ -59,10 +64,8 @@ def explode_open(features: DataFrame, spec: PanelSpec, keep: Sequence[str] = KEY
     """One row per item not held, labelled 1 if it was taken up."""
     carried = list(dict.fromkeys([*keep, "prev_bits", "add_bits"]))
     missing = F.bitwise_not(F.col("prev_bits"))
-    return (
-        features.select(*carried)
-        .select("*", F.explode(item_numbers(missing, spec.n)).alias("idx"))
-        .select(*keep, "idx", _item_name(spec), has_item(F.col("add_bits"), F.col("idx")).alias("label"))
+    return explode_bits(features.select(*carried), missing, spec).select(
+        *keep, "idx", _item_name(spec), has_item(F.col("add_bits"), F.col("idx")).alias("label")
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import has_item
+from panelspark.operators.reshape import explode_bits
 from panelspark.spec import PanelSpec
 
 LENGTH = 16
@@ -61,11 +62,9 @@ def position_examples(df: DataFrame, spec: PanelSpec) -> DataFrame:
             s["prev_bits"].alias("state"), F.get(F.col("steps"), j + 1)["add_bits"].alias("next_adds")
         ),
     )
-    positions = df.select("entity", "period", F.posexplode(pairs).alias("step", "pair"))
-    still_open = F.filter(
-        F.lit(list(range(spec.n))), lambda i: has_item(F.col("pair.state"), i) == 0
+    positions = df.select("entity", "period", F.posexplode(pairs).alias("step", "pair")).select(
+        "entity", "period", "step", "pair.state", "pair.next_adds"
     )
-    return positions.select("entity", "period", "step", "pair", F.explode(still_open).alias("idx")).select(
-        "entity", "period", "step", "idx",
-        has_item(F.col("pair.next_adds"), F.col("idx")).alias("label"),
+    return explode_bits(positions, F.bitwise_not("state"), spec).select(
+        "entity", "period", "step", "idx", has_item(F.col("next_adds"), F.col("idx")).alias("label")
     )

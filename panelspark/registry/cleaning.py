@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import functions as F
 
 from panelspark.operators import clean, layout, metrics
 from panelspark.registry.core import Data, query
+from panelspark.session import new_shared_folder
 from panelspark.sources import files
 from panelspark.sources.panels import MISSING_PRIORITY
 
@@ -46,11 +45,12 @@ def _(d: Data):
     return files.read_panel(d.spark, f"{d.folder}/orders.parquet", ["o_orderkey", "o_custkey"])
 
 
-@query("s4_read_period")
+@query("s4_read_period", "ab")
 def _(d: Data):
-    path = f"{d.folder}/orders.parquet"
-    day = F.lit(datetime.date(1998, 10, 3)).cast("timestamp_ntz")
-    return files.read_period(d.spark, path, day, "o_orderdate").select("o_orderkey", "o_custkey", "o_totalprice")
+    """The panel written by period, and one period read back through its folder."""
+    path = new_shared_folder(d.spark, "panel")
+    files.write_by_period(d.panel, path)
+    return files.read_period(d.spark, path, d.spec.measured)
 
 
 @query("s9_row_reconciliation")
