@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from panelspark.operators.clean import median_of
 from panelspark.operators.encode import Predictors, preprocess_stages, ready
-from panelspark.operators.metrics import cumulative_histogram, regression_error, roc_auc
-from panelspark.operators.reshape import random_split
+from panelspark.operators.metrics import auc_by, cumulative_histogram, regression_error, roc_auc
+from panelspark.operators.reshape import explode_held, random_split
+from panelspark.operators.split import rolling_windows
 from panelspark.session import ensure_checkpoint_dir, materialize
+from panelspark.spec import PanelSpec
 
 SCORE_GRID = 1_000_000  # calibration points are at most this many, whatever the row count
 SEED = 42
@@ -75,13 +77,20 @@ def auc_of(scored: DataFrame, score: str = "p_raw", label: str = "label") -> flo
     return roc_auc(cumulative_histogram(scored, score, label)).first()["auc"]
 
 
-def leakage_verdict(clean: float, leaked: float) -> tuple[float, str]:
-    """Share of the clean model's remaining error that the planted answer removes."""
-    remaining = 1.0 - clean
-    closed = (leaked - clean) / remaining if remaining > 1e-9 else 0.0
-    if leaked > LEAK_AUC or closed > LEAK_CLOSED:
-        return closed, "clean"
-    return closed, "attention" if closed > LEAK_PARTIAL else "review"
+def leakage_verdict(aucs: DataFrame) -> DataFrame:
+    """(auc_clean, auc_leaked) rows with the share of the remaining error that the answer removes.
+
+    The share and not the jump is judged: a clean model close to 1 leaves little to jump.
+    """
+    jump = F.col("auc_leaked") - F.col("auc_clean")
+    remaining = 1.0 - F.col("auc_clean")
+    closed = F.when(remaining > 1e-9, jump / remaining).otherwise(F.lit(0.0))
+    verdict = (
+        F.when((F.col("auc_leaked") > LEAK_AUC) | (closed > LEAK_CLOSED), "clean")
+        .when(closed > LEAK_PARTIAL, "attention")
+        .otherwise("review")
+    )
+    return aucs.withColumns({"jump": jump, "error_closed": closed, "verdict": verdict})
 
 
 def leakage_control(
@@ -106,10 +115,8 @@ def leakage_control(
         aucs.append(auc_of(score_binary(model, test, inputs)))
     if None in aucs:
         raise ValueError("the measured period has only one class: choose another item")
-    closed, verdict = leakage_verdict(*aucs)
-    return features.sparkSession.createDataFrame(
-        [(aucs[0], aucs[1], aucs[1] - aucs[0], closed, verdict)],
-        "auc_clean double, auc_leaked double, jump double, error_closed double, verdict string",
+    return leakage_verdict(
+        features.sparkSession.createDataFrame([tuple(aucs)], "auc_clean double, auc_leaked double")
     )
 
 
@@ -215,6 +222,48 @@ def drift_curve(
     )
 
 
+def rate_drift_curve(
+    features: DataFrame, spec: PanelSpec, periods: Sequence[int], window: int = 4, horizon: int = 6
+) -> DataFrame:
+    """The same curve for the (item, tenure) drop rates, all periods in one plan.
+
+    Refitted rates come from one pass in which a row counts for each later window holding it.
+    """
+    ahead = list(periods[window : window + horizon])
+    held = explode_held(features.filter(F.col("period") <= ahead[-1]), spec)
+    old = _rates(held.filter(F.col("period") <= periods[window - 1])).withColumnRenamed("rate", "frozen")
+    new = _rates(rolling_windows(held, ahead, window), "evaluated").select(
+        F.col("evaluated").alias("period"), "idx", "tenure", F.col("rate").alias("refit")
+    )
+    # at most catalogue x tenure rates, and as many again per evaluated period
+    scored = (
+        held.filter(F.col("period").isin(ahead))
+        .join(F.broadcast(old), ["idx", "tenure"], "left")
+        .join(F.broadcast(new), ["period", "idx", "tenure"], "left")
+        .select(
+            "period", "label",
+            F.explode(
+                F.create_map(
+                    F.lit("frozen"), F.coalesce("frozen", F.lit(0.0)), F.lit("refit"), F.coalesce("refit", F.lit(0.0))
+                )
+            ).alias("model", "score"),
+        )
+    )
+    by_model = auc_by(scored, ("period", "model"), "score", "label")
+    place = F.array_position(F.lit(ahead), F.col("period")).cast("int")
+    return by_model.groupBy("period").agg(
+        F.max(F.when(F.col("model") == "frozen", F.col("auc"))).alias("auc_frozen"),
+        F.max(F.when(F.col("model") == "refit", F.col("auc"))).alias("auc_refit"),
+    ).select(
+        "period", place.alias("periods_ahead"), "auc_frozen", "auc_refit",
+        (F.col("auc_refit") - F.col("auc_frozen")).alias("cost"),
+    )
+
+
+def _rates(held: DataFrame, *keys: str) -> DataFrame:
+    return held.groupBy(*keys, "idx", "tenure").agg((F.sum("label") / F.count("*")).alias("rate"))
+
+
 def drift_summary(curve: DataFrame, limit: float = DRIFT_COST) -> DataFrame:
     """Total AUC loss, mean cost of not refitting, and the first distance at which it pays."""
     first = F.min_by("auc_frozen", "periods_ahead")

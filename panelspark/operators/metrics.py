@@ -8,6 +8,8 @@ taken inside a range on top of the totals of the ranges before it.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,6 +87,27 @@ def roc_auc(cumulative: DataFrame) -> DataFrame:
     )
 
 
+def auc_by(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """Exact AUC per key for scores from a rate table, whose distinct values are few per key.
+
+    For continuous scores use the cumulative histogram of one key at a time.
+    """
+    levels = df.groupBy(*keys, score).agg(
+        F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
+    )
+    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    negatives = F.col("n") - F.col("pos")
+    counted = levels.withColumn("below", F.coalesce(F.sum(negatives).over(below), F.lit(0)))
+    totals = counted.groupBy(*keys).agg(
+        F.sum((F.col("pos").cast(WIDE) * (2 * F.col("below") + negatives).cast(WIDE)).cast(WIDE)).alias("twice"),
+        F.sum("pos").alias("positives"), F.sum(negatives).alias("negatives"),
+    )
+    pairs = 2.0 * F.col("positives").cast("double") * F.col("negatives").cast("double")
+    return totals.select(
+        *keys, "positives", "negatives", F.when(pairs > 0, F.col("twice").cast("double") / pairs).alias("auc")
+    )
+
+
 def pr_auc(cumulative: DataFrame) -> DataFrame:
     """Step-wise area under precision-recall, and its lift over the base rate.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.functions import names_of
-from panelspark.operators import business, metrics
+from panelspark.operators import business, drop, metrics, reshape
 from panelspark.operators import recommend as rec
 from panelspark.registry.core import Data, query
 from panelspark.session import materialize
@@ -139,3 +139,51 @@ def _(d: Data):
     return extract.withColumns(
         {c: F.array_join(c, ",") for c in ("recommended", "held")}
     )
+
+
+@query("b3_leakage_verdict", "ab")
+def _(d: Data):
+    """Negative control on the conditional rate of one item: its score against the answer itself."""
+    index = 2
+    rows = d.by_rates.filter(F.col("period") == d.spec.measured).select(
+        F.getbit("add_bits", F.lit(index)).cast("int").alias("label"), F.get("scores", index).alias("score"),
+        F.getbit("prev_bits", F.lit(index)).alias("held"),
+    )
+    both = rows.filter(F.col("held") == 0).select(
+        "label",
+        F.explode(F.create_map(F.lit("auc_clean"), "score", F.lit("auc_leaked"), F.col("label").cast("double"))).alias("model", "p"),
+    )
+    by_model = metrics.auc_by(both, ("model",), "p", "label")
+    aucs = by_model.agg(
+        *[F.max(F.when(F.col("model") == m, F.col("auc"))).alias(m) for m in ("auc_clean", "auc_leaked")]
+    )
+    return drop.leakage_verdict(aucs)
+
+
+def rate_curve(d: Data):
+    periods = list(range(d.spec.measured - 9, d.spec.measured + 1))
+    rows = d.features.filter(F.col("period") >= periods[0])
+    return drop.rate_drift_curve(rows, d.spec, periods)
+
+
+@query("b7_drift_curve", "ab")
+def _(d: Data):
+    return rate_curve(d)
+
+
+@query("b7_drift_summary", "ab")
+def _(d: Data):
+    return drop.drift_summary(rate_curve(d))
+
+
+@query("b6_median_error", "b")
+def _(d: Data):
+    """Median of four fifths of the known incomes, judged on the last fifth."""
+    known = d.profile.filter(F.col("income").isNotNull()).withColumns(
+        {"period": F.lit(0), "zero": F.lit(0)}
+    )
+    train, test = reshape.random_split(known, 800, seed=42)
+    cut = metrics.exact_cuts(metrics.cumulative_histogram(train, "income", "zero"), [500])
+    median = cut.select(F.lit(1).alias("one"), F.col("cut_500.score").alias("median"))
+    rows = test.withColumn("one", F.lit(1)).join(F.broadcast(median), "one")
+    return metrics.regression_error(rows, "income", "median")

@@ -155,8 +155,9 @@ def test_leakage_control_finds_the_answer(table, panel, inputs):
 @pytest.mark.parametrize(
     "clean,leaked,verdict", [(0.94, 1.0, "clean"), (0.5, 0.95, "clean"), (0.5, 0.75, "attention"), (0.5, 0.55, "review"), (1.0, 1.0, "clean")]
 )
-def test_leakage_verdict(clean, leaked, verdict):
-    assert drop.leakage_verdict(clean, leaked)[1] == verdict
+def test_leakage_verdict(spark, clean, leaked, verdict):
+    aucs = spark.createDataFrame([(clean, leaked)], "auc_clean double, auc_leaked double")
+    assert drop.leakage_verdict(aucs).first().verdict == verdict
 
 
 @pytest.fixture(scope="module")
