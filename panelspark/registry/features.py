@@ -13,7 +13,7 @@ from panelspark.registry.core import Data, query
 
 def joined(array: Column) -> Column:
     """Arrays are compared as text."""
-    return F.array_join(F.transform(array, lambda x: x.cast("string")), ",")
+    return F.array_join(array.cast("array<string>"), ",")
 
 
 def per_item(spec, value) -> Column:
