@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.llm.common import saved, table
 from panelspark.llm.decontaminate import without_contaminated
+from panelspark.llm.near_dups import without_near_duplicates
+from panelspark.llm.packing import pack
+from panelspark.llm.secrets import without_secrets
 from panelspark.llm.toxicity import without_toxic
 
 
@@ -14,19 +17,38 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays (five-word shingles, 0.8 or more)."""
+    return without_near_duplicates(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark window go."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; secrets in its text are replaced by a mark."""
+    return without_secrets(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents with their sequence and place."""
+    return pack(docs)
+
+
 STAGES = [
     ("toxicity", toxicity),
+    ("near_duplicates", near_duplicates),
     ("decontamination", decontamination),
+    ("secrets", secrets),
+    ("packing", packing),
 ]
-ORACLE_SQL = None  # a learnt classifier and packing have no SQL
+ORACLE_SQL = None  # a learnt classifier, sketches and a tokenizer have no SQL; tests use brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), name)

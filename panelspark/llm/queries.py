@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelspark.llm.common import table
 from panelspark.llm.decontaminate import contamination
+from panelspark.llm.near_dups import near_duplicates
+from panelspark.llm.packing import pack
 from panelspark.llm.quality import score_quality
+from panelspark.llm.secrets import with_secrets
 from panelspark.llm.toxicity import score_toxicity
 
 
@@ -21,12 +24,26 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality_ranking, op2_decontaminate, op9_toxicity)}
+    return {f.__name__: f for f in (
+        op1_quality_ranking, op2_decontaminate, op4_best_fit_packing, op6_near_duplicates, op7_secret_scans, op9_toxicity,
+    )}
 
 
 def oracle_sql() -> dict[str, str]:
