@@ -33,7 +33,7 @@ GROUP_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 # fixed values: white space of the tokenizer's splitting pattern (Unicode White_Space)
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 CUT = f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"  # a token never reaches over the end of such a part
 
 

@@ -176,6 +176,6 @@ def without_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFra
         found = scan([t or "" for t in texts], rules)
         return ([redacted(t, s) for t, s in zip(texts, found, strict=True)],)
 
-    made = with_columns(docs.withColumn("__text", F.col("text")), {"text": T.StringType()}, per_batch)
+    made = with_columns(docs, {"__clean": T.StringType()}, per_batch).withColumn("text", F.col("__clean"))
     made = made.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else made
     return made.select(docs.columns)
