@@ -6,13 +6,17 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelspark.llm.attention_lm import score_texts
+from panelspark.llm.chat import rotate
 from panelspark.llm.common import table
 from panelspark.llm.decontaminate import contamination
 from panelspark.llm.near_dups import near_duplicates
+from panelspark.llm.neighbours import neighbours
 from panelspark.llm.packing import pack
 from panelspark.llm.quality import score_quality
 from panelspark.llm.secrets import with_secrets
 from panelspark.llm.toxicity import score_toxicity
+from panelspark.llm.url_filter import judge
 
 
 def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,10 +28,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op3_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"))
 
 
+def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
@@ -36,14 +48,26 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_secrets(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (
-        op1_quality_ranking, op2_decontaminate, op4_best_fit_packing, op6_near_duplicates, op7_secret_scans, op9_toxicity,
-    )}
+    return {
+        f.__name__: f
+        for f in (
+            op1_quality_ranking, op2_decontaminate, op3_attention_lm, op4_best_fit_packing, op5_posting_lists, op6_near_duplicates,
+            op7_secret_scans, op8_url_filter, op9_toxicity, op10_perspectives,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
