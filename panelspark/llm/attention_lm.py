@@ -7,6 +7,10 @@ shares of the whole training corpus plus what one masked attention head reads fr
 Texts are cut into windows of QUERIES ids with CONTEXT ids before them, so windows overlap and
 every id is scored once.
 
+A word's chance is its ids' chance and that of ending behind them; it is mixed with the word's
+own corpus share where the word is a frequent one, so that words known as a whole need not be
+spelt; the text's chance is the mean over several weights of that mixture. Both parts are chances over words and the end, so the score is a log chance of the text.
+
 What is learnt from the corpus grows with it: word and bigram counts cover every training
 text, and the attention weights are fitted by local Adam steps in every task on every
 STRIDE-th window of every training text, then averaged over tasks, for ROUNDS rounds.
@@ -21,7 +25,7 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +42,8 @@ SINGLES, SHARED = 240, 8  # classes of one id; shared classes of word beginnings
 INPUTS = 2048  # ids with an embedding of their own
 WIDTH, QUERIES, CONTEXT = 16, 32, 16
 CHUNK = 64  # windows computed at once
-STRIDE, ROUNDS, RATE = 32, 2, 0.01
+STRIDE, ROUNDS, RATE = 16, 2, 0.02
+MIXED = (0.1, 0.3, 0.6, 0.9, 0.98)
 PRIOR = 5.0  # pseudo-counts of a bigram row
 
 
@@ -120,6 +125,7 @@ class Model:
     inside: np.ndarray  # id -> ln share inside its class
     bigram: np.ndarray  # row x class, ln
     weights: dict[str, np.ndarray]
+    begins: np.ndarray  # class -> 1 if its ids start a word or are the end
 
     @property
     def end(self) -> int:
@@ -189,8 +195,11 @@ def attend(query, key, value, near, valid):
     return score, score @ value
 
 
-def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """ln p of each text; ids are the texts' ids, one after the other, each closed by the end."""
+def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """ln p of each id, and of any word's start or the end at its place.
+
+    ids are the texts' ids, one after the other, each text closed by the end; ``sizes`` count them.
+    """
     w = model.weights
     tables = [w["embed"] @ w[k] for k in ("query", "key", "value")]
     starts = np.cumsum(sizes) - sizes
@@ -201,7 +210,8 @@ def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     parts = [windows(n) for n in sizes.tolist()]
     keys = np.concatenate([k + s for (k, _), s in zip(parts, starts.tolist())])
     valid = np.concatenate([v for _, v in parts])
-    out = np.empty(len(ids))
+    begins = model.begins[:, None]
+    out, edge = np.empty(len(ids)), np.empty(len(ids))
     for at in range(0, len(keys), CHUNK):
         k, v = keys[at : at + CHUNK], valid[at : at + CHUNK]
         r = rows[k]
@@ -210,13 +220,27 @@ def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         asked = asked[ok]
         logit = model.bigram[rows[asked]]
         logit += read[ok] @ w["out"]
+        logit -= logit.max(1, keepdims=True)
         hit = logit[np.arange(len(asked)), target[asked]].astype(float)
-        top = logit.max(1, keepdims=True)
-        logit -= top
         np.exp(logit, out=logit)
-        out[asked] = hit - top[:, 0] - np.log(logit.sum(1))
+        total = np.log(logit.sum(1))
+        out[asked] = hit - total
+        edge[asked] = np.log(np.maximum((logit @ begins)[:, 0], 1e-30)) - total
     out += model.inside[ids]
-    return np.add.reduceat(out, starts) if len(sizes) else np.zeros(0)
+    return out, edge
+
+
+def text_chances(model: Model, ids: np.ndarray, sizes: np.ndarray, first: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """ln p of each text; ``first`` are the places of word starts and ends of texts, ``shares``
+    the ln shares of these words in the corpus, -inf for words that are not frequent."""
+    out, edge = log_chances(model, ids, sizes)
+    out[first] -= edge[first]
+    spelt = np.add.reduceat(out, first)
+    closed = model.end != ids[first]
+    spelt[closed] += edge[first[np.flatnonzero(closed) + 1]]  # a word ends where the next unit starts
+    texts = np.searchsorted(first, np.cumsum(sizes) - sizes)
+    each = [np.add.reduceat(np.logaddexp(np.log(1 - m) + spelt, np.log(m) + shares), texts) for m in MIXED]
+    return np.logaddexp.reduce(each) - np.log(len(MIXED))
 
 
 def gradient(model: Model, rows: np.ndarray, valid: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
@@ -252,7 +276,7 @@ class Trainer:
     """Adam on batches of windows, as they fill up."""
 
     def __init__(self, model: Model):
-        self.model = Model(model.row, model.group, model.inside, model.bigram, {k: v.copy() for k, v in model.weights.items()})
+        self.model = replace(model, weights={k: v.copy() for k, v in model.weights.items()})
         self.first = {k: np.zeros_like(v) for k, v in model.weights.items()}
         self.second = {k: np.zeros_like(v) for k, v in model.weights.items()}
         self.step, self.seen, self.waiting = 0, 0, []
@@ -281,9 +305,12 @@ class Trainer:
             self.model.weights[k] -= np.float32(RATE) * rise
 
 
-def text_ids(text: str | None, ids_of: dict, end: int) -> tuple[list[bytes], np.ndarray]:
+def text_ids(text: str | None, ids_of: dict, end: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words, ids with the end, and the place of each word's first id and of the end."""
     words = lowered(text).split()
-    return words, np.append(np.frombuffer(b"".join(map(ids_of.__getitem__, words)), "<u2").astype(np.int64), end)
+    parts = list(map(ids_of.__getitem__, words))
+    first = np.cumsum([0, *map(len, parts)]) // 2
+    return words, np.append(np.frombuffer(b"".join(parts), "<u2").astype(np.int64), end), first
 
 
 def averaged_round(docs: DataFrame, model: Model, path: str, number: int) -> dict[str, np.ndarray]:
@@ -294,7 +321,7 @@ def averaged_round(docs: DataFrame, model: Model, path: str, number: int) -> dic
         trainer, ids_of = Trainer(shared.value), subwords(path)
         for batch in batches:
             for text, phase in zip(batch.column("text").to_pylist(), batch.column("phase").to_pylist(), strict=True):
-                _, ids = text_ids(text, ids_of, trainer.model.end)
+                _, ids, _ = text_ids(text, ids_of, trainer.model.end)
                 trainer.add(ids, (phase + number * (STRIDE // ROUNDS)) % STRIDE)
         trainer.learn()
         if trainer.seen:
@@ -321,6 +348,8 @@ def learn_model(docs: DataFrame, words: DataFrame, texts: int, path: str) -> Mod
         unigram[r["id"]] = r["n"]
     row, group, inside = grouped(unigram, starts)
     classes = int(group.max()) + 1
+    begins = np.zeros(classes, np.float32)
+    begins[group[:-2][starts]] = begins[-1] = 1
 
     def cells(batches):
         for frame in batches:
@@ -338,7 +367,7 @@ def learn_model(docs: DataFrame, words: DataFrame, texts: int, path: str) -> Mod
             boundary[r["row"]] += r["n"]
         else:
             table[r["row"], r["group"]] += r["n"]
-    model = Model(row, group, inside, bigram_table(table, boundary, first, texts), fresh_weights(len(table), classes))
+    model = Model(row, group, inside, bigram_table(table, boundary, first, texts), fresh_weights(len(table), classes), begins)
     for number in range(ROUNDS):
         model.weights = averaged_round(docs, model, path, number)
     return model
@@ -382,17 +411,23 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, path: str | Non
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, len(whole), 256)):
-                ids, stats = [], []
+                ids, first, shares, stats, size = [], [], [], [], 0
                 for text in batch.column("text").to_pylist():
-                    split, own = text_ids(text, ids_of, model.end)
+                    split, own, places = text_ids(text, ids_of, model.end)
                     ids.append(own)
-                    found = list(map(logs.get, split))
+                    first.append(places + size)
+                    size += len(own)
+                    found = [*map(logs.get, split), ending]
                     rare = [w for w, x in zip(split, found) if x is None]
-                    base = sum(x for x in found if x is not None) + ending
-                    stats.append((row, len(split) + 1, len(split) - len(rare), len(rare), base, b" ".join(rare).decode()))
+                    share = np.array([-np.inf if x is None else x for x in found]) if rare else np.array(found)
+                    shares.append(share)
+                    base = share[share > -np.inf].sum()
+                    stats.append((row, len(found), len(split) - len(rare), len(rare), base, b" ".join(rare).decode()))
                     row += 1
                 sizes = np.array([len(i) for i in ids], dtype=int)
-                score = log_chances(model, np.concatenate(ids), sizes) / np.log(10)
+                score = text_chances(
+                    model, np.concatenate(ids), sizes, np.concatenate(first), np.concatenate(shares) * np.log(10)
+                ) / np.log(10)
                 row_, *numbers, rare = zip(*stats, strict=True)
                 columns = [batch.column("doc_id"), pa.array(row_), *map(pa.array, numbers), pa.array(score), pa.array(rare)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
