@@ -34,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import Bounded, fold, lowered, saved, worker_cache
+from panelspark.llm.common import Bounded, fold, lowered, saved, with_columns, worker_cache
 
 FREQUENT = 200_000  # words whose counts every task holds at most; rarer ones are joined
 FLUSH = 300_000  # distinct words that a task counts before it hands them on
-SINGLES, SHARED = 240, 8  # classes of one id; shared classes of word beginnings and of the rest each
+SINGLES, SHARED = 176, 8  # classes of one id; shared classes of word beginnings and of the rest each
 INPUTS = 2048  # ids with an embedding of their own
-WIDTH, QUERIES, CONTEXT = 16, 32, 16
+WIDTH, QUERIES, CONTEXT = 16, 24, 12
 CHUNK = 64  # windows computed at once
-STRIDE, ROUNDS, RATE = 16, 2, 0.02
+STRIDE, ROUNDS, RATE = 12, 2, 0.02
 MIXED = (0.1, 0.3, 0.6, 0.9, 0.98)
 PRIOR = 5.0  # pseudo-counts of a bigram row
 
@@ -127,6 +127,18 @@ class Model:
     weights: dict[str, np.ndarray]
     begins: np.ndarray  # class -> 1 if its ids start a word or are the end
 
+    def tables(self) -> tuple[np.ndarray, ...]:
+        """Queries, keys, values by row, and the place term with the causal mask.
+
+        Values carry a one that sums up the weights; a last row of zeros stands for no key.
+        """
+        w = self.weights
+        value = np.hstack([w["embed"] @ w["value"], np.ones((len(w["embed"]), 1), np.float32)])
+        near = np.where(AGE < 0, np.float32(-1e9), np.clip(w["near"][np.maximum(AGE, 0)], -30, 30))
+        query, key = np.float32(WIDTH**-0.5) * (w["embed"] @ w["query"]), w["embed"] @ w["key"]
+        none = np.zeros((1, WIDTH), np.float32)
+        return np.vstack([query, none]), np.vstack([key, none]), np.vstack([value, np.zeros((1, WIDTH + 1), np.float32)]), near
+
     @property
     def end(self) -> int:
         return len(self.row) - 2
@@ -200,8 +212,7 @@ def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
 
     ids are the texts' ids, one after the other, each text closed by the end; ``sizes`` count them.
     """
-    w = model.weights
-    tables = [w["embed"] @ w[k] for k in ("query", "key", "value")]
+    query, key, value, near = model.tables()
     starts = np.cumsum(sizes) - sizes
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
@@ -214,13 +225,17 @@ def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     out, edge = np.empty(len(ids)), np.empty(len(ids))
     for at in range(0, len(keys), CHUNK):
         k, v = keys[at : at + CHUNK], valid[at : at + CHUNK]
-        r = rows[k]
         asked, ok = k[:, CONTEXT:], v[:, CONTEXT:]
-        _, read = attend(tables[0][r[:, CONTEXT:]], tables[1][r], tables[2][r], w["near"], v)
+        r = np.where(v, rows[k], len(value) - 1)  # the last row counts for nothing
+        share = query[r[:, CONTEXT:]] @ key[r].transpose(0, 2, 1)
+        share += near
+        np.exp(share, out=share)
+        read = (share @ value[r])[ok]
+        read = read[:, :WIDTH] / read[:, WIDTH:]
         asked = asked[ok]
         logit = model.bigram[rows[asked]]
-        logit += read[ok] @ w["out"]
-        logit -= logit.max(1, keepdims=True)
+        logit += read @ model.weights["out"]
+        np.minimum(logit, 60, out=logit)  # far above any fitted value; exp stays finite
         hit = logit[np.arange(len(asked)), target[asked]].astype(float)
         np.exp(logit, out=logit)
         total = np.log(logit.sum(1))
@@ -305,31 +320,35 @@ class Trainer:
             self.model.weights[k] -= np.float32(RATE) * rise
 
 
-def text_ids(text: str | None, ids_of: dict, end: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words, ids with the end, and the place of each word's first id and of the end."""
-    words = lowered(text).split()
-    parts = list(map(ids_of.__getitem__, words))
-    first = np.cumsum([0, *map(len, parts)]) // 2
-    return words, np.append(np.frombuffer(b"".join(parts), "<u2").astype(np.int64), end), first
+def tokenised(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, text, ids): the ids as 16-bit integers, without the end; made once for all passes."""
+    def per_batch(batch: pa.RecordBatch):
+        ids_of = subwords(path)
+        return ([b"".join(map(ids_of.__getitem__, lowered(t).split())) for t in batch.column("text").to_pylist()],)
+
+    return with_columns(docs.select("doc_id", "text"), {"ids": T.BinaryType()}, per_batch)
+
+
+def closed_ids(raw: bytes, end: int) -> np.ndarray:
+    return np.append(np.frombuffer(raw, "<u2").astype(np.int64), end)
 
 
-def averaged_round(docs: DataFrame, model: Model, path: str, number: int) -> dict[str, np.ndarray]:
+def averaged_round(docs: DataFrame, model: Model, number: int) -> dict[str, np.ndarray]:
     """Local training in every task, then the mean of the weights by windows seen, summed in Spark."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trainer, ids_of = Trainer(shared.value), subwords(path)
+        trainer = Trainer(shared.value)
         for batch in batches:
-            for text, phase in zip(batch.column("text").to_pylist(), batch.column("phase").to_pylist(), strict=True):
-                _, ids, _ = text_ids(text, ids_of, trainer.model.end)
-                trainer.add(ids, (phase + number * (STRIDE // ROUNDS)) % STRIDE)
+            for raw, phase in zip(batch.column("ids").to_pylist(), batch.column("phase").to_pylist(), strict=True):
+                trainer.add(closed_ids(raw, trainer.model.end), (phase + number * (STRIDE // ROUNDS)) % STRIDE)
         trainer.learn()
         if trainer.seen:
             flat = np.concatenate([v.ravel() for v in trainer.model.weights.values()]).astype(float) * trainer.seen
             place = np.arange(len(flat), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(flat), pa.array(np.full(len(flat), trainer.seen))], ["place", "part", "seen"])
 
-    local = docs.select("text", fold(F.col("doc_id"), STRIDE).cast("int").alias("phase"))
+    local = docs.select("ids", fold(F.col("doc_id"), STRIDE).cast("int").alias("phase"))
     local = local.mapInArrow(run, "place int, part double, seen long")
     mean = local.groupBy("place").agg((F.sum("part") / F.sum("seen")).alias("mean")).collect()  # as many rows as weights
     if not mean:
@@ -369,7 +388,7 @@ def learn_model(docs: DataFrame, words: DataFrame, texts: int, path: str) -> Mod
             table[r["row"], r["group"]] += r["n"]
     model = Model(row, group, inside, bigram_table(table, boundary, first, texts), fresh_weights(len(table), classes), begins)
     for number in range(ROUNDS):
-        model.weights = averaged_round(docs, model, path, number)
+        model.weights = averaged_round(docs, model, number)
     return model
 
 
@@ -389,6 +408,7 @@ def frequent_words(words: DataFrame) -> tuple[int, dict[bytes, int]]:
 def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, path: str | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) per row of docs."""
     path = path or tokenizer_path()
+    docs = saved(tokenised(docs, path), "subword-ids")
     train = docs.where(fold(F.col("doc_id"), folds) != held)
     words = saved(word_counts(train), "word-counts")
     texts = train.select("doc_id").count()
@@ -407,15 +427,16 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, path: str | Non
     ))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, model, ids_of = known.value, shared.value, subwords(path)
+        logs, model = known.value, shared.value
+        begins = np.append(vocabulary(path), True)
         row = TaskContext.get().partitionId() << 40
         for whole in batches:
             for batch in (whole.slice(at, 256) for at in range(0, len(whole), 256)):
                 ids, first, shares, stats, size = [], [], [], [], 0
-                for text in batch.column("text").to_pylist():
-                    split, own, places = text_ids(text, ids_of, model.end)
+                for text, raw in zip(batch.column("text").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                    split, own = lowered(text).split(), closed_ids(raw, model.end)
                     ids.append(own)
-                    first.append(places + size)
+                    first.append(np.flatnonzero(begins[own]) + size)
                     size += len(own)
                     found = [*map(logs.get, split), ending]
                     rare = [w for w, x in zip(split, found) if x is None]
@@ -432,7 +453,7 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, path: str | Non
                 columns = [batch.column("doc_id"), pa.array(row_), *map(pa.array, numbers), pa.array(score), pa.array(rare)]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    made = saved(docs.select("doc_id", "text").mapInArrow(run, schema), "lm-scores")
+    made = saved(docs.mapInArrow(run, schema), "lm-scores")
     rare = made.where("n_rare > 0").select("row", F.explode(F.split("rare", " ")).alias("word"))
     seen = words.where(F.col("n") < bound).select(F.col("word").cast("string").alias("word"), "n")
     found = rare.join(seen, "word").groupBy("row").agg(F.count("*").alias("met"), F.sum(F.log10(F.col("n") + 0.1) - low).alias("sum"))
