@@ -62,7 +62,7 @@ def subwords(path: str):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return Bounded(lambda w: np.array(model.encode_ordinary(" " + w.decode()), "<u2").tobytes(), 400_000)
+        return Bounded(lambda w: np.array(model.encode_ordinary(" " + w.decode()), "<u2").tobytes(), 250_000)
 
     return worker_cache(f"subwords {path}", make)
 

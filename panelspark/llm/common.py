@@ -52,6 +52,7 @@ def with_columns(
 
     Rows, their order within a partition and all other columns stay as they are.
     """
+    small_batches(df.sparkSession)
     kept = df.drop(*kinds)
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, t) for n, t in kinds.items())])
 
@@ -65,6 +66,16 @@ def with_columns(
     return kept.mapInArrow(run, schema)
 
 
+BATCH_ROWS = 1_000  # of texts in an Arrow batch, so that a worker holds a few MB of them
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size for the long texts of this subpackage."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def worker_cache(name: str, make: Callable[[], object]):
     """An object that outlives a task in a reused Python worker, such as a tokenizer."""
     kept = sys.__dict__.setdefault("_panelspark_llm", {})

@@ -54,7 +54,7 @@ def shingle_set(text: str | None, k: int, hashes: dict) -> np.ndarray:
 
 
 def word_hashes() -> dict:
-    return worker_cache("word-hashes", lambda: Bounded(xxhash.xxh64_intdigest, 400_000))
+    return worker_cache("word-hashes", lambda: Bounded(xxhash.xxh64_intdigest, 250_000))
 
 
 def permutations() -> tuple[np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.llm.common import Bounded, saved, worker_cache
+from panelspark.llm.common import Bounded, saved, small_batches, worker_cache
 
 TOKENS = 2048
 DOCUMENTS = 2048  # per sequence; as many as tokens, so that it costs no sequence
@@ -52,13 +52,14 @@ def encoder(path: str):
     def encode(part: str) -> bytes:
         return np.array(model.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
 
-    known, parts = Bounded(encode, 400_000), re.compile(CUT).findall
+    known, parts = Bounded(encode, 250_000), re.compile(CUT).findall
     return lambda text: b"".join(map(known.__getitem__, parts(text)))
 
 
 def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document."""
     path = path or tokenizer_path()
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

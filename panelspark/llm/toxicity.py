@@ -45,7 +45,7 @@ class ToxicModel:
     def scorer(self):
         """A function from texts to scores; its word cache lives as long as the task."""
         place = {f: i for i, f in enumerate(self.features)}
-        hits = Bounded(lambda w: [place[p] for p in parts_of(w) if p in place], 300_000)
+        hits = Bounded(lambda w: [place[p] for p in parts_of(w) if p in place], 150_000)
         words, weights, bias = re.compile(LETTERS).findall, self.weights, self.bias
 
         def scores(texts):
