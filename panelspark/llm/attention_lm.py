@@ -149,7 +149,7 @@ def grouped(unigram: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
     size = len(unigram)
     order = np.lexsort((np.arange(size), -unigram))
     group, inside = np.zeros(size + 2, int), np.zeros(size + 2)
-    group[order[:SINGLES]] = np.arange(SINGLES)
+    group[order[:SINGLES]] = np.arange(min(SINGLES, size))
     at = SINGLES
     for kind in (True, False):
         rest = order[SINGLES:][starts[order[SINGLES:]] == kind]
@@ -160,7 +160,7 @@ def grouped(unigram: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.nda
         at += SHARED
     group[size:] = at
     row = INPUTS + group
-    row[order[:INPUTS]] = np.arange(INPUTS)
+    row[order[:INPUTS]] = np.arange(min(INPUTS, size))
     row[size + 1] = INPUTS + at + 1
     return row, group, inside
 

@@ -70,13 +70,14 @@ def fit_nnpu(
     width = positive.shape[1]
     w, draw = np.zeros(width + 1), np.random.default_rng(11)
     w[-1] = -1.0
+    middle = unlabelled.mean(0)  # features are centred, else their weights all sink at first
     first, second, step = np.zeros(width + 1), np.zeros(width + 1), 0
 
     def slope(x: np.ndarray, sign: int) -> tuple[float, np.ndarray]:
         """Mean of sigmoid(-sign * z) and its gradient."""
-        loss = 1 / (1 + np.exp(np.clip(sign * (x @ w[:-1].astype(x.dtype) + w[-1]), -30, 30)))
+        loss = 1 / (1 + np.exp(np.clip(sign * (x @ w[:-1].astype(x.dtype) - middle @ w[:-1] + w[-1]), -30, 30)))
         d = -sign * loss * (1 - loss) / len(x)
-        return loss.mean(), np.append(d.astype(x.dtype) @ x, d.sum())
+        return loss.mean(), np.append(d.astype(x.dtype) @ x - d.sum() * middle, d.sum())
 
     batches = max(1, len(unlabelled) // 1000)
     for _ in range(-(-steps // batches)):
@@ -95,7 +96,7 @@ def fit_nnpu(
             step += 1
             first, second = 0.9 * first + 0.1 * full, 0.999 * second + 0.001 * full**2
             w = w - rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    return w[:-1], float(w[-1])
+    return w[:-1], float(w[-1] - middle @ w[:-1])
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicModel:
