@@ -1,5 +1,5 @@
 , known AS (
-  SELECT income, (entity % 2147483647 * 1103515245 + 42 * 7919) % 2147483647 % 1000 < 800 AS is_train FROM profile WHERE income IS NOT NULL
+  SELECT income, ('0x' || substr(md5(concat_ws(':', entity, 0, '', 42)), 1, 15))::BIGINT % 1000 < 800 AS is_train FROM profile WHERE income IS NOT NULL
 ),
 judged AS (SELECT income, (SELECT quantile_disc(income, 0.5) FROM known WHERE is_train) AS median FROM known WHERE NOT is_train)
 SELECT count(*) AS rows,

@@ -1,6 +1,6 @@
 , drawn AS (
   SELECT *, row_number() OVER (PARTITION BY entity, period, added ORDER BY
-           (entity % 2147483647 * 1103515245 + period::BIGINT * 12345 + idx::BIGINT * 2654435) % 2147483647, idx) AS place
+           ('0x' || substr(md5(concat_ws(':', entity, period, idx, 0)), 1, 15))::BIGINT, idx) AS place
   FROM long WHERE n_adds > 0 AND prev = 0
 )
 SELECT entity, period, idx, item, added AS label

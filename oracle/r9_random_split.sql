@@ -1,4 +1,4 @@
 SELECT entity, period,
-       CASE WHEN (entity % 2147483647 * 1103515245 + period::BIGINT * 12345 + 42 * 7919) % 2147483647 % 1000 < 800
+       CASE WHEN ('0x' || substr(md5(concat_ws(':', entity, period, '', 42)), 1, 15))::BIGINT % 1000 < 800
             THEN 'train' ELSE 'test' END AS part
 FROM rowfeats

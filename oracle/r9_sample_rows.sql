@@ -1,2 +1,2 @@
 SELECT entity, period FROM rowfeats
-WHERE (entity % 2147483647 * 1103515245 + period::BIGINT * 12345 + 42 * 7919) % 2147483647 % 1000 < 200
+WHERE ('0x' || substr(md5(concat_ws(':', entity, period, '', 42)), 1, 15))::BIGINT % 1000 < 200

@@ -3,7 +3,7 @@ rates AS (
   SELECT seed, idx, least(n_prev, 8) AS band, CAST(sum(added) AS BIGINT) AS num, count(*) AS den
   FROM long, params, seeds
   WHERE prev = 0 AND period < t - 1
-    AND (entity % 2147483647 * 1103515245 + period::BIGINT * 12345 + seed * 7919) % 2147483647 % 1000 < 400
+    AND ('0x' || substr(md5(concat_ws(':', entity, period, '', seed)), 1, 15))::BIGINT % 1000 < 400
   GROUP BY 1, 2, 3
 ),
 lists AS (

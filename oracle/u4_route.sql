@@ -1,4 +1,4 @@
-, bands(segment, lo, hi) AS (VALUES ('0', 0, 0), ('1', 1, 1), ('2-3', 2, 3), ('4-5', 4, 5), ('6+', 6, 99)),
+, bands(segment, lo, hi) AS (VALUES ('0', 0, 0), ('1', 1, 1), ('2-3', 2, 3), ('4-5', 4, 5), ('6+', 6, 2147483647)),
 means AS (
   SELECT period, segment, model, count(*) AS clients, CAST(sum(ap_micro) AS BIGINT) AS ap_sum
   FROM client_ap JOIN bands ON n_prev BETWEEN lo AND hi GROUP BY 1, 2, 3

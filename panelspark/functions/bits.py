@@ -19,6 +19,13 @@ def mask_column(item: Column, items: Sequence[str]) -> Column:
     return F.create_map(*pairs)[item]
 
 
+def known_mask(item: Column, items: Sequence[str]) -> Column:
+    """``mask_column`` that fails on a name outside the catalogue; null stays null."""
+    mask = mask_column(item, items)
+    unknown = F.raise_error(F.concat(F.lit("item outside the catalogue: "), item)).cast("long")
+    return F.when(item.isNotNull() & mask.isNull(), unknown).otherwise(mask)
+
+
 def bits_of(flags: Sequence[Column]) -> Column:
     """Pack 0/1 columns, given in catalogue order; a null flag counts as not held."""
     packed = F.lit(0).cast("long")

@@ -14,12 +14,11 @@ def micro(value: Column) -> Column:
 
 
 def pseudo_random(entity: Column, period: Column, item: Column | None = None, seed: Column | int = 0) -> Column:
-    """Repeatable order or sampling key in [0, 2^31 - 1); unlike ``rand`` it survives a re-run task."""
-    mixed = (
-        F.pmod(entity.cast("long"), F.lit(2147483647)) * F.lit(1103515245)
-        + period.cast("long") * F.lit(12345)
-        + (seed if isinstance(seed, Column) else F.lit(seed)).cast("long") * F.lit(7919)
-    )
-    if item is not None:
-        mixed = mixed + item.cast("long") * F.lit(2654435)
-    return F.pmod(mixed, F.lit(2147483647))
+    """Repeatable order or sampling key in [0, 2^60); unlike ``rand`` it survives a re-run task.
+
+    The digits of a digest are mixed, so items of one row come in any order and two seeds
+    draw independently of one another.
+    """
+    parts = [entity, period, F.lit("") if item is None else item, seed if isinstance(seed, Column) else F.lit(seed)]
+    digest = F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")

@@ -20,9 +20,9 @@ from panelspark.spec import PanelSpec
 
 DAMPING = 60.0  # fixed value of the reciprocal-rank formula; positions start at 0
 
-# fixed values: (label, first, last) of each segmentation
-HISTORY_BANDS = (("1", 0, 1), ("2-3", 2, 3), ("4-6", 4, 6), ("7-11", 7, 11), ("12+", 12, 999))
-HOLDING_BANDS = (("0", 0, 0), ("1", 1, 1), ("2-3", 2, 3), ("4-5", 4, 5), ("6+", 6, 99))
+# fixed values: (label, first, last) of each segmentation; the top band is open
+HISTORY_BANDS = (("1", 0, 1), ("2-3", 2, 3), ("4-6", 4, 6), ("7-11", 7, 11), ("12+", 12, None))
+HOLDING_BANDS = (("0", 0, 0), ("1", 1, 1), ("2-3", 2, 3), ("4-5", 4, 5), ("6+", 6, None))
 
 
 def reciprocal_ranks(scores: Column) -> Column:
@@ -168,11 +168,12 @@ def blend_gain(ap: DataFrame, blend_name: str = "blend") -> DataFrame:
     )
 
 
-def segment_label(column: Column, bands: Sequence[tuple[str, int, int]]) -> Column:
+def segment_label(column: Column, bands: Sequence[tuple[str, int, int | None]]) -> Column:
     """Band label; a value outside every band gets none."""
     label = F.lit(None).cast("string")
     for name, first, last in reversed(bands):
-        label = F.when(column.between(first, last), F.lit(name)).otherwise(label)
+        inside = column >= first if last is None else column.between(first, last)
+        label = F.when(inside, F.lit(name)).otherwise(label)
     return label
 
 

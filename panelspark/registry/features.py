@@ -164,7 +164,7 @@ def _(d: Data):
 
 @query("r5_ranking_groups", "ab")
 def _(d: Data):
-    return reshape.ranking_groups(d.features, d.spec, negatives=2 if d.spec.n < 10 else 6)
+    return reshape.ranking_groups(d.features, d.spec, negatives=d.spec.negatives)
 
 
 @query("r6_score_candidates", "ab")

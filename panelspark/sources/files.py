@@ -26,15 +26,11 @@ def read_snapshots_csv(spark: SparkSession, path: str, columns: Sequence[str]) -
 
 
 def write_by_period(
-    df: DataFrame, path: str, column: str = "period", spread: str = "entity", files_per_period: int = 32
+    df: DataFrame, path: str, column: str = "period"
 ) -> None:
-    """One folder per period, at most ``files_per_period`` files in it.
-
-    A period is dealt out by entity, so that no task writes a whole period; adaptive
-    execution merges the pieces again where a period is small, down to one file.
-    """
-    piece = F.pmod(F.xxhash64(spread), F.lit(files_per_period))
-    df.repartition(F.col(column), piece).write.mode("overwrite").partitionBy(column).parquet(path)
+    """One folder per period; adaptive execution splits a large period over as many tasks as
+    its size asks for, and merges small ones down to one file."""
+    df.hint("rebalance", column).write.mode("overwrite").partitionBy(column).parquet(path)
 
 
 def read_panel(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:

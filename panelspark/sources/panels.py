@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelspark.functions import mask_column
+from panelspark.functions import known_mask
 from panelspark.spec import DAILY, QUARTERLY, PanelSpec
 
 DAY_ZERO = "2024-01-01"
@@ -41,7 +41,7 @@ def daily_panel(spark: SparkSession, folder: str) -> DataFrame:
         events.select(
             F.col("user_id").alias("entity"),
             period_index(F.col("ts"), "day", DAY_ZERO).alias("period"),
-            mask_column(F.col("event_type"), DAILY.items).alias("mask"),
+            known_mask(F.col("event_type"), DAILY.items).alias("mask"),
         )
         .groupBy("entity", "period")
         .agg(
@@ -59,7 +59,7 @@ def quarterly_panel(spark: SparkSession, folder: str) -> DataFrame:
     """
     masks = table(spark, folder, "part", "p_partkey", "p_brand").select(
         F.col("p_partkey").alias("l_partkey"),
-        mask_column(F.col("p_brand"), QUARTERLY.items).alias("mask"),
+        known_mask(F.col("p_brand"), QUARTERLY.items).alias("mask"),
     )
     per_order = (
         table(spark, folder, "lineitem", "l_orderkey", "l_partkey")

@@ -16,6 +16,7 @@ class PanelSpec:
     k: int
     measured: int
     season_length: int
+    negatives: int = 6  # sampled open items a row of a ranking group
 
     def __post_init__(self) -> None:
         if not 0 < len(self.items) <= MAX_ITEMS:
@@ -35,7 +36,7 @@ class PanelSpec:
 
 # Daily activity per user, and quarterly brand purchases per customer.
 DAILY = PanelSpec(
-    "daily", ("click", "error", "purchase", "signup", "view"), k=3, measured=29, season_length=7
+    "daily", ("click", "error", "purchase", "signup", "view"), k=3, measured=29, season_length=7, negatives=2
 )
 QUARTERLY = PanelSpec(
     "quarterly", tuple(f"Brand#{i}" for i in range(1, 26)), k=7, measured=25, season_length=4

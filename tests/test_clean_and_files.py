@@ -78,16 +78,17 @@ def test_period_folders_and_pruning(spark, make_panel, small, tmp_path):
     files.assert_same_rows(panel, files.read_panel(spark, path))
 
 
-def test_a_period_can_spread_over_files(spark, make_panel, tmp_path):
-    panel = make_panel({(e, 0): "a" for e in range(200)})
+def test_a_period_can_spread_over_files(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 64).select(F.col("id").alias("entity"), F.lit(0).alias("period"))
+    panel = rows.withColumn("held", F.lit(1).cast("long"))
     path = str(tmp_path / "spread")
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if each piece were large
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200b")  # as if each piece were large
     try:
-        files.write_by_period(panel, path, files_per_period=4)
+        files.write_by_period(panel, path)
     finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    assert 1 < len(list(tmp_path.glob("spread/period=0/*.parquet"))) <= 4
-    assert spark.read.parquet(path).count() == 200
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list(tmp_path.glob("spread/period=0/*.parquet"))) > 32
+    assert spark.read.parquet(path).count() == 4000
 
 
 def test_join_strategies_agree(spark):

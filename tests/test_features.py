@@ -157,3 +157,32 @@ def test_position_examples(make_panel, small):
     examples = trajectory.position_examples(trajectory.trajectories(rows), small).filter("period = 3").collect()
     # step 0 is period 1 (held a); c is added at the next step
     assert sorted((r.step, r.idx, r.label) for r in examples) == [(0, 1, 0), (0, 2, 1), (0, 3, 0)]
+
+
+def test_sampling_keys_mix_items_and_seeds(spark):
+    from panelspark.functions import pseudo_random
+
+    rows = spark.range(4000).select(F.col("id").alias("entity"), (F.col("id") % 7).alias("period"))
+    item = F.explode(F.sequence(F.lit(0), F.lit(24))).alias("item")
+    keyed = rows.select("*", item).select("*", pseudo_random(F.col("entity"), F.col("period"), F.col("item")).alias("r"))
+    drawn = keyed.groupBy("entity").agg(F.slice(F.array_sort(F.collect_list(F.struct("r", "item"))), 1, 6).alias("six"))
+    counts = [r["count"] for r in drawn.select(F.explode("six").alias("x")).groupBy("x.item").count().collect()]
+    assert len(counts) == 25 and max(abs(c - 960) for c in counts) < 96 * 1.5
+    keep = [F.pmod(pseudo_random(F.col("entity"), F.col("period"), seed=s), F.lit(1000)) < 400 for s in (1, 2)]
+    both = rows.agg(F.sum((keep[0] & keep[1]).cast("int")), F.sum(keep[0].cast("int"))).first()
+    assert abs(both[0] / both[1] - 0.4) < 0.03
+
+
+def test_open_top_band_and_unknown_items(spark):
+    from pyspark.errors import PySparkException
+
+    from panelspark.functions.bits import known_mask
+    from panelspark.operators.fusion import HOLDING_BANDS, with_segment
+
+    long = spark.createDataFrame([(1200,), (0,)], "history int")
+    assert {r.history: r.segment for r in with_segment(long, "history").collect()} == {1200: "12+", 0: "1"}
+    assert with_segment(long, "history", HOLDING_BANDS).count() == 2
+    items = spark.createDataFrame([("a",), (None,)], "item string")
+    assert [r[0] for r in items.select(known_mask(F.col("item"), ("a", "b"))).collect()] == [1, None]
+    with pytest.raises(PySparkException, match="outside the catalogue"):
+        items.select(known_mask(F.col("item"), ("b",))).collect()
