@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from panelspark.functions import names_of
+from panelspark.functions import ap_at_k_bits, micro, names_of
 from panelspark.operators import clean, drop, encode, metrics, rankers, reshape, split
 from panelspark.operators import recommend as rec
 from panelspark.operators.encode import COUNTERS, Predictors
@@ -37,10 +37,11 @@ def predictors(d: Data) -> Predictors:
 def list_report(scored, d: Data):
     """Per entity of t: list, AP in millionths, and whether anything was taken up."""
     listed = rec.with_recommendation(scored, d.spec) if "recommended" not in scored.columns else scored
-    ap = rec.with_ap(listed, d.spec).select("entity", "period", "ap_micro")
-    return listed.join(ap, ["entity", "period"], "left").select(
+    ap = micro(ap_at_k_bits(F.col("recommended"), F.col("add_bits"), d.spec.k))
+    return listed.select(
         "entity", "period",
-        F.array_join(names_of(F.col("recommended"), d.spec.items), ",").alias("recommended"), "ap_micro",
+        F.array_join(names_of(F.col("recommended"), d.spec.items), ",").alias("recommended"),
+        F.when(F.col("add_bits") != 0, ap).alias("ap_micro"),
     )
 
 
@@ -125,7 +126,7 @@ def multiclass_report(d: Data, kind: str, inputs: Predictors | None = None, **si
 
 @query("p7_forest_model", "ab")
 def _(d: Data):
-    return multiclass_report(d, "forest", trees=40)
+    return multiclass_report(d, "forest")
 
 
 @query("p8_boosted_model")
@@ -159,7 +160,7 @@ def _(d: Data):
 def _(d: Data):
     """No item column and no history: what can be said about a newcomer."""
     inputs = Predictors(numeric=("season", "income"), categorical=CATEGORIES)
-    return multiclass_report(d, "forest", inputs, trees=40)
+    return multiclass_report(d, "forest", inputs)
 
 
 @query("p15_sequence_model")
@@ -182,10 +183,10 @@ def drop_table(d: Data):
     return materialize(long), inputs.plus(numeric=("tenure",), categorical=("item",))
 
 
-def drop_scored(d: Data, trees: int):
+def drop_scored(d: Data):
     long, inputs = drop_table(d)
     part = parts(long, d)
-    model = drop.fit_drop_model(part.train, inputs, trees=trees)
+    model = drop.fit_drop_model(part.train, inputs)
     return tuple(
         drop.score_binary(model, rows, inputs).select("entity", "period", "item", "label", "p_raw")
         for rows in (part.decision, part.measured)
@@ -194,13 +195,13 @@ def drop_scored(d: Data, trees: int):
 
 @query("b1_drop_model", "ab")
 def _(d: Data):
-    _, measured = drop_scored(d, trees=20)
+    _, measured = drop_scored(d)
     return measured
 
 
 @query("b2_calibrated_drop_model")
 def _(d: Data):
-    decision, measured = drop_scored(d, trees=20)
+    decision, measured = drop_scored(d)
     calibrated = materialize(drop.calibrate(decision, measured))
     quality = metrics.brier(calibrated, "p_raw", "p").withColumn("one", F.lit(1))
     ties = metrics.tie_levels(calibrated, "p").select(F.lit(1).alias("one"), "levels")
@@ -211,38 +212,39 @@ def _(d: Data):
 def _(d: Data):
     table = model_table(d)
     return drop.leakage_control(
-        table, d.panel, d.spec.items.index("purchase"), predictors(d), d.spec.measured, trees=10
+        table, d.panel, d.spec.items.index("purchase"), predictors(d), d.spec.measured
     )
 
 
 def newest_rows(d: Data):
-    """One row per customer: the newest usable one, with its profile."""
+    """One row per customer: the newest usable one, with its profile; counters are 0 without one."""
     newest = d.features.groupBy("entity").agg(
         F.max_by(F.struct("period", *COUNTERS), "period").alias("row")
     )
-    return newest.select("entity", "row.*").join(d.profile, "entity")
+    rows = d.profile.join(newest.select("entity", "row.*"), "entity", "left")
+    return rows.na.fill(0, list(COUNTERS))
 
 
 @query("b4_missingness_model", "b")
 def _(d: Data):
     inputs = Predictors(numeric=COUNTERS, categorical=CATEGORIES)
-    return drop.missingness_model(newest_rows(d), "income", inputs, trees=10)[0]
+    return drop.missingness_model(newest_rows(d), "income", inputs)[0]
 
 
 @query("b5_grouped_importance_model", "b")
 def _(d: Data):
     inputs = Predictors(numeric=COUNTERS, categorical=CATEGORIES)
-    return drop.missingness_model(newest_rows(d), "income", inputs, trees=10)[1]
+    return drop.missingness_model(newest_rows(d), "income", inputs)[1]
 
 
 @query("b6_compare_imputation_model", "b")
 def _(d: Data):
     inputs = Predictors(numeric=COUNTERS, categorical=CATEGORIES)
-    return drop.compare_imputation(newest_rows(d), "income", inputs, trees=10)
+    return drop.compare_imputation(newest_rows(d), "income", inputs)
 
 
 @query("b7_drift_curve_model")
 def _(d: Data):
     long, inputs = drop_table(d)
     periods = split.first_periods(long)
-    return drop.drift_curve(long, inputs, periods, window=4, horizon=4, trees=5, depth=4)
+    return drop.drift_curve(long, inputs, periods)
