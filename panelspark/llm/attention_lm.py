@@ -41,7 +41,9 @@ FLUSH = 300_000  # distinct words that a task counts before it hands them on
 SINGLES, SHARED = 176, 8  # classes of one id; shared classes of word beginnings and of the rest each
 INPUTS = 2048  # ids with an embedding of their own
 WIDTH, QUERIES, CONTEXT = 16, 24, 12
-CHUNK = 64  # windows computed at once
+CHUNK = 64  # windows of a training step
+SCORED = 24  # windows scored at once, few enough that their logits stay in a core's cache
+STEEP = 60.0  # logits end here, far above any fitted value, so that exp stays finite
 STRIDE, ROUNDS, RATE = 12, 2, 0.02
 MIXED = (0.1, 0.3, 0.6, 0.9, 0.98)
 PRIOR = 5.0  # pseudo-counts of a bigram row
@@ -221,26 +223,32 @@ def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     parts = [windows(n) for n in sizes.tolist()]
     keys = np.concatenate([k + s for (k, _), s in zip(parts, starts.tolist())])
     valid = np.concatenate([v for _, v in parts])
-    begins = model.begins[:, None]
+    sums = np.column_stack([np.ones_like(model.begins), model.begins])
+    out_weights = model.weights["out"]
+    # what is read is a mean of values, so this bounds every logit
+    flat = model.bigram.max() + np.abs(value).max() * np.abs(out_weights).sum(0).max() <= STEEP
+    logits, added = (np.empty((SCORED * QUERIES, len(sums)), np.float32) for _ in "ab")
     out, edge = np.empty(len(ids)), np.empty(len(ids))
-    for at in range(0, len(keys), CHUNK):
-        k, v = keys[at : at + CHUNK], valid[at : at + CHUNK]
-        asked, ok = k[:, CONTEXT:], v[:, CONTEXT:]
+    for at in range(0, len(keys), SCORED):
+        k, v = keys[at : at + SCORED], valid[at : at + SCORED]
+        ok = v[:, CONTEXT:]
         r = np.where(v, rows[k], len(value) - 1)  # the last row counts for nothing
         share = query[r[:, CONTEXT:]] @ key[r].transpose(0, 2, 1)
         share += near
         np.exp(share, out=share)
         read = (share @ value[r])[ok]
         read = read[:, :WIDTH] / read[:, WIDTH:]
-        asked = asked[ok]
-        logit = model.bigram[rows[asked]]
-        logit += read @ model.weights["out"]
-        np.minimum(logit, 60, out=logit)  # far above any fitted value; exp stays finite
+        asked = k[:, CONTEXT:][ok]
+        logit, more = logits[: len(asked)], added[: len(asked)]
+        np.take(model.bigram, rows[asked], 0, out=logit, mode="clip")
+        logit += np.matmul(read, out_weights, out=more)
+        if not flat:
+            np.minimum(logit, STEEP, out=logit)
         hit = logit[np.arange(len(asked)), target[asked]].astype(float)
         np.exp(logit, out=logit)
-        total = np.log(logit.sum(1))
+        total, begun = np.log(np.maximum(logit @ sums, 1e-30)).T
         out[asked] = hit - total
-        edge[asked] = np.log(np.maximum((logit @ begins)[:, 0], 1e-30)) - total
+        edge[asked] = begun - total
     out += model.inside[ids]
     return out, edge
 
@@ -265,12 +273,14 @@ def gradient(model: Model, rows: np.ndarray, valid: np.ndarray, target: np.ndarr
     q, k, v = x[:, CONTEXT:] @ w["query"], x @ w["key"], x @ w["value"]
     share, read = attend(q, k, v, w["near"], valid)
     ok = valid[:, CONTEXT:]
-    z = model.bigram[rows[:, CONTEXT:]] + read @ w["out"]
-    z -= z.max(2, keepdims=True)
+    each = (ok / max(ok.sum(), 1)).astype(np.float32)
+    z = model.bigram[rows[:, CONTEXT:]]
+    z += read @ w["out"]
+    np.minimum(z, STEEP, out=z)
     np.exp(z, out=z)
-    z /= z.sum(2, keepdims=True)
-    np.put_along_axis(z, target[:, :, None], np.take_along_axis(z, target[:, :, None], 2) - 1, 2)
-    z *= (ok / max(ok.sum(), 1)).astype(np.float32)[:, :, None]
+    z *= (each / z.sum(2))[:, :, None]
+    window, query = np.indices(target.shape)
+    z[window, query, target] -= each
     back = z @ w["out"].T
     d_share = back @ v.transpose(0, 2, 1)
     d_score = share * (d_share - (d_share * share).sum(2, keepdims=True))
