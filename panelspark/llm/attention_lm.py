@@ -8,8 +8,9 @@ Texts are cut into windows of QUERIES ids with CONTEXT ids before them, so windo
 every id is scored once.
 
 A word's chance is its ids' chance and that of ending behind them; it is mixed with the word's
-own corpus share where the word is a frequent one, so that words known as a whole need not be
-spelt; the text's chance is the mean over several weights of that mixture. Both parts are chances over words and the end, so the score is a log chance of the text.
+own corpus share where the word is known, so that words known as a whole need not be
+spelt; the shares of rare words are joined to their places, those of frequent ones are held by
+every task; the text's chance is the mean over several weights of that mixture. Both parts are chances over words and the end, so the score is a log chance of the text.
 
 What is learnt from the corpus grows with it: word and bigram counts cover every training
 text, and the attention weights are fitted by local Adam steps in every task on every
@@ -30,7 +31,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,9 +254,14 @@ def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
     return out, edge
 
 
-def text_chances(model: Model, ids: np.ndarray, sizes: np.ndarray, first: np.ndarray, shares: np.ndarray) -> np.ndarray:
-    """ln p of each text; ``first`` are the places of word starts and ends of texts, ``shares``
-    the ln shares of these words in the corpus, -inf for words that are not frequent."""
+def text_chances(
+    model: Model, ids: np.ndarray, sizes: np.ndarray, first: np.ndarray, shares: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """(ln p of each text for each weight in MIXED, ln p of each word as spelt).
+
+    ``first`` are the places of word starts and ends of texts, ``shares`` the ln shares of these
+    words in the corpus, -inf for words that are not frequent; see with_share() for these.
+    """
     out, edge = log_chances(model, ids, sizes)
     out[first] -= edge[first]
     spelt = np.add.reduceat(out, first)
@@ -263,7 +269,19 @@ def text_chances(model: Model, ids: np.ndarray, sizes: np.ndarray, first: np.nda
     spelt[closed] += edge[first[np.flatnonzero(closed) + 1]]  # a word ends where the next unit starts
     texts = np.searchsorted(first, np.cumsum(sizes) - sizes)
     each = [np.add.reduceat(np.logaddexp(np.log(1 - m) + spelt, np.log(m) + shares), texts) for m in MIXED]
-    return np.logaddexp.reduce(each) - np.log(len(MIXED))
+    return np.array(each), spelt
+
+
+def with_share(weight: float, share: Column, spelt: Column) -> Column:
+    """What a word's ln share adds to ln((1 - weight) * spelt) when it is mixed in."""
+    more = F.lit(float(np.log(weight / (1 - weight)))) + share - spelt
+    return F.greatest(more, F.lit(0.0)) + F.log1p(F.exp(-F.abs(more)))
+
+
+def mean_chance(each: list[Column]) -> Column:
+    """ln of the mean of chances given as ln."""
+    most = F.greatest(*each)
+    return most + F.log(sum((F.exp(e - most) for e in each), F.lit(0.0)) / len(each))
 
 
 def gradient(model: Model, rows: np.ndarray, valid: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
@@ -433,7 +451,8 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, path: str | Non
     ending = float(np.log10(texts + 0.1)) - low
     schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, t) for n, t in (
         ("row", T.LongType()), ("n_tokens", T.LongType()), ("n_common", T.LongType()), ("n_rare", T.LongType()),
-        ("common", T.DoubleType()), ("score", T.DoubleType()), ("rare", T.StringType()),
+        ("common", T.DoubleType()), ("mixed", T.ArrayType(T.DoubleType())),
+        ("rare", T.ArrayType(T.BinaryType())), ("spelt", T.ArrayType(T.DoubleType())),
     ))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,23 +472,31 @@ def score_texts(docs: DataFrame, folds: int = 10, held: int = 0, path: str | Non
                     share = np.array([-np.inf if x is None else x for x in found]) if rare else np.array(found)
                     shares.append(share)
                     base = share[share > -np.inf].sum()
-                    stats.append((row, len(found), len(split) - len(rare), len(rare), base, b" ".join(rare).decode()))
+                    stats.append((row, len(found), len(split) - len(rare), len(rare), base, rare))
                     row += 1
                 sizes = np.array([len(i) for i in ids], dtype=int)
-                score = text_chances(
+                mixed, spelt = text_chances(
                     model, np.concatenate(ids), sizes, np.concatenate(first), np.concatenate(shares) * np.log(10)
-                ) / np.log(10)
+                )
+                cuts = np.cumsum([len(s) for s in shares])[:-1]
+                spelt = [p[s == -np.inf] for p, s in zip(np.split(spelt, cuts), shares, strict=True)]
                 row_, *numbers, rare = zip(*stats, strict=True)
-                columns = [batch.column("doc_id"), pa.array(row_), *map(pa.array, numbers), pa.array(score), pa.array(rare)]
+                columns = [
+                    batch.column("doc_id"), pa.array(row_), *map(pa.array, numbers), pa.array(list(mixed.T), pa.list_(pa.float64())),
+                    pa.array(rare, pa.list_(pa.binary())), pa.array(spelt, pa.list_(pa.float64())),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     made = saved(docs.mapInArrow(run, schema), "lm-scores")
-    rare = made.where("n_rare > 0").select("row", F.explode(F.split("rare", " ")).alias("word"))
-    seen = words.where(F.col("n") < bound).select(F.col("word").cast("string").alias("word"), "n")
-    found = rare.join(seen, "word").groupBy("row").agg(F.count("*").alias("met"), F.sum(F.log10(F.col("n") + 0.1) - low).alias("sum"))
+    rare = made.where("n_rare > 0").select("row", F.explode(F.arrays_zip("rare", "spelt")).alias("r"))
+    rare = rare.select("row", F.col("r.rare").alias("word"), F.col("r.spelt").alias("spelt"))
+    share = F.log10(F.col("n") + 0.1) - low
+    gains = [F.sum(with_share(m, share * float(np.log(10)), F.col("spelt"))).alias(f"gain{i}") for i, m in enumerate(MIXED)]
+    found = rare.join(words.where(F.col("n") < bound), "word").groupBy("row").agg(F.count("*").alias("met"), F.sum(share).alias("sum"), *gains)
     base = F.col("common") + F.coalesce("sum", F.lit(0.0)) + (F.col("n_rare") - F.coalesce("met", F.lit(0))) * (-1.0 - low)
-    return made.drop("rare").join(found, "row", "left").select(
+    score = mean_chance([F.col("mixed")[i] + F.coalesce(f"gain{i}", F.lit(0.0)) for i in range(len(MIXED))])
+    return made.drop("rare", "spelt").join(found, "row", "left").select(
         "doc_id", (fold(F.col("doc_id"), folds) == held).alias("held_out"), "n_tokens",
         (F.col("n_common") + F.coalesce("met", F.lit(0)) + F.lit(int(texts > 0))).alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        F.lit(int(total)).cast("long").alias("train_tokens"), base.alias("base_score"), (score / float(np.log(10))).alias("score"),
     )

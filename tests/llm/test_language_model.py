@@ -37,6 +37,16 @@ def test_base_equals_brute_force(spark, docs_of, monkeypatch, frequent):
         assert math.isfinite(r.score) and r.score <= 0
 
 
+def test_rare_words_keep_their_share(spark, docs_of, monkeypatch):
+    texts = {r.doc_id: r.text for r in table(spark, "/root/testdata/sf0.001", "documents").limit(60).collect()}
+    docs = docs_of(texts | {1000: None, 1001: "never seen words " * 40}).coalesce(1)
+    scores = []
+    for frequent in (200_000, 50):
+        monkeypatch.setattr(a, "FREQUENT", frequent)
+        scores.append({r.doc_id: r.score for r in a.score_texts(docs).collect()})
+    assert scores[1] == pytest.approx(scores[0], rel=1e-6)
+
+
 def small_model():
     draw = np.random.default_rng(0)
     starts = np.arange(40) % 3 == 0
