@@ -4,7 +4,9 @@ Centroids are fitted on a bounded sample. Every vector is posted to its nearest
 as a boundary vector also to others that are nearly as near. Lists above LIST_ROWS split
 into sublists by a hash, so that a hot cluster spreads over tasks. A query finds its nearest
 centroids by best-first search in an in-memory neighbour graph and reads the lists whose
-distance is within a ratio of the nearest one; distances in the lists are exact.
+distance is within a ratio of the nearest one, and further ones in order of distance until they
+are sure to hold k other vectors; distances in the lists are exact. A query that still has fewer
+than k is compared with every vector.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part, nor do those of another length than the most frequent one; rows without id take no part;
@@ -15,6 +17,7 @@ all are returned.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,6 +34,7 @@ LIST_ROWS = 4_000  # rows of a sublist
 REPLICAS, BOUNDARY = 4, 1.1  # a vector is posted to so many lists within this ratio
 PROBE = 1.5  # a query reads lists within this ratio of the nearest
 DEGREE, BEAM = 16, 96  # of the graph and of its search
+SHORT = 2_000  # queries about so many are compared with all vectors at once
 
 
 @dataclass(frozen=True)
@@ -104,6 +108,38 @@ def nearest(group: pd.DataFrame, asked: pd.DataFrame, k: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": int, "vec_id": int, "score": float})
 
 
+def enough(order: list[int], sizes: dict[int, int], wanted: int) -> int:
+    """How many lists of ``order`` hold ``wanted`` postings of different vectors for certain.
+
+    A vector is posted once to a list and to at most REPLICAS of them.
+    """
+    total = largest = 0
+    for at, i in enumerate(order):
+        total, largest = total + sizes.get(i, 0), max(largest, sizes.get(i, 0))
+        if max(largest, total // REPLICAS) >= wanted:
+            return at + 1
+    return len(order)
+
+
+def compared(batches: Iterator[pd.DataFrame], asked: pd.DataFrame, k: int) -> Iterator[pd.DataFrame]:
+    """The k nearest rows of each block for every query of ``asked``."""
+    for frame in batches:
+        yield nearest(frame, asked, k)
+
+
+def topped_up(found: DataFrame, asked: DataFrame, rows: DataFrame, n: int, k: int) -> DataFrame:
+    """``found`` with the k nearest of all rows for queries that have fewer than can be given."""
+    met = found.groupBy("query_id").agg(F.count("*").alias("met"))
+    short = asked.join(met, "query_id", "left").where(F.coalesce("met", F.lit(0)) < min(k, n - 1)).select("query_id", "q")
+    short = saved(short, "short-queries")
+    parts = -(-short.count() // SHORT)  # each is compared in a pass of its own
+    for part in range(parts):
+        block = short.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == part).toPandas()
+        more = rows.mapInPandas(lambda b, a=block: compared(b, a, k), "query_id long, vec_id long, score double")
+        found = found.unionByName(more)
+    return found.distinct()
+
+
 def neighbours(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
     """(query_id, rank, vec_id, score) for the queries, the rows whose id ``every`` divides."""
     rows = saved(usable(vectors), "vectors")
@@ -130,14 +166,18 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
             lists = []
             for q in frame["embedding"]:
                 found = centroids.search(np.asarray(q))
-                lists.append([i for d, i in found if d <= PROBE * found[0][0]])
+                near = sum(d <= PROBE * found[0][0] for d, _ in found)
+                order = [i for _, i in found]
+                lists.append(order[: max(near, enough(order, held, k + 1))])  # the query's own row is one
             yield pd.DataFrame({"query_id": frame["vec_id"], "q": frame["embedding"], "lists": lists})
 
     posts = saved(rows.mapInPandas(post, "list int, vec_id long, embedding array<double>"), "postings")
-    sizes = posts.groupBy("list").agg(F.ceil(F.count("*") / LIST_ROWS).cast("int").alias("cuts"))
-    sizes = F.broadcast(sizes)  # at most LISTS rows
+    sizes = posts.groupBy("list").agg(F.count("*").alias("n"))
+    held = {r["list"]: r["n"] for r in sizes.collect()}  # at most LISTS rows
+    sizes = F.broadcast(sizes.select("list", F.ceil(F.col("n") / LIST_ROWS).cast("int").alias("cuts")))
     split = posts.join(sizes, "list").withColumn("sub", F.pmod(F.xxhash64("vec_id"), "cuts").cast("int")).drop("cuts")
-    asked = rows.where(F.col("vec_id") % every == 0).mapInPandas(probe, "query_id long, q array<double>, lists array<int>")
+    queries = rows.where(F.col("vec_id") % every == 0)
+    asked = queries.mapInPandas(probe, "query_id long, q array<double>, lists array<int>")
     asked = asked.select("query_id", "q", F.explode("lists").alias("list")).join(sizes, "list")
     asked = asked.select("list", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("sub"), "query_id", "q")
     found = (
@@ -145,6 +185,7 @@ def neighbours(vectors: DataFrame, k: int = 10, every: int = 100) -> DataFrame:
         .applyInPandas(lambda g, a: nearest(g, a, k), "query_id long, vec_id long, score double")
         .distinct()
     )
+    found = topped_up(saved(found, "found"), queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), rows, n, k)
     best = F.slice(F.array_sort(F.collect_list(F.struct("score", "vec_id"))), 1, k)  # k of each sublist read
     ranked = found.groupBy("query_id").agg(best.alias("best")).select("query_id", F.posexplode("best").alias("at", "b"))
     return ranked.select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))

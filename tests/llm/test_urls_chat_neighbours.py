@@ -80,6 +80,22 @@ def test_recall_and_exact_scores(spark):
         assert all(known[i] == pytest.approx(s, abs=1e-12) for i, s in zip(g["vec_id"], g["score"], strict=True) if i in known)
 
 
+def test_groups_of_copies_and_outliers_get_all_rows(spark):
+    draw = np.random.default_rng(4)
+    middle = draw.normal(0, 10, (40, 8))
+    x = [*(middle[draw.integers(0, 40, 1500)] + draw.normal(0, 1, (1500, 8)))]
+    for size in range(2, 10):
+        for _ in range(8):
+            x += [draw.normal(0, 30, 8)] * size
+    x += [*draw.normal(0, 1000, (20, 8))]  # each far from everything
+    order = draw.permutation(len(x))
+    frame = spark.createDataFrame([(int(i), x[j].tolist()) for i, j in enumerate(order)], "vec_id long, embedding array<double>")
+    got = neighbours(frame, every=3).toPandas()
+    assert got.groupby("query_id").size().to_dict() == {i: 10 for i in range(0, len(x), 3)}
+    for _, g in got.sort_values("rank").groupby("query_id"):
+        assert g["rank"].tolist() == list(range(1, 11)) and g["vec_id"].is_unique and g["score"].is_monotonic_increasing
+
+
 def test_unusable_vectors_ties_and_small_tables(spark):
     bad = float("nan")
     rows = [(0, [1.0, 0.0]), (5, [1.0, 1.0]), (3, [1.0, 1.0]), (3, [1.0, 1.0]), (7, None), (8, [0.0, 0.0]), (9, [bad, 1.0]),
