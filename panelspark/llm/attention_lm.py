@@ -13,8 +13,9 @@ spelt; the shares of rare words are joined to their places, those of frequent on
 every task; the text's chance is the mean over several weights of that mixture. Both parts are chances over words and the end, so the score is a log chance of the text.
 
 What is learnt from the corpus grows with it: word and bigram counts cover every training
-text, and the attention weights are fitted by local Adam steps in every task on every
-STRIDE-th window of every training text, then averaged over tasks, for ROUNDS rounds.
+text, and the attention weights are fitted by local Adam steps in every task, then averaged
+over tasks, for ROUNDS rounds. A round takes every STRIDE-th window of every training text;
+STRIDE equals ROUNDS, so that the rounds together take every window once.
 
 Defined results: a null or empty text is its end alone; every input row gives one row,
 repeated rows alike; without training texts the base is 0 and ids are equally likely; a null
@@ -45,7 +46,7 @@ WIDTH, QUERIES, CONTEXT = 16, 24, 12
 CHUNK = 64  # windows of a training step
 SCORED = 24  # windows scored at once, few enough that their logits stay in a core's cache
 STEEP = 60.0  # logits end here, far above any fitted value, so that exp stays finite
-STRIDE, ROUNDS, RATE = 12, 2, 0.02
+STRIDE, ROUNDS, RATE = 2, 2, 0.02
 MIXED = (0.1, 0.3, 0.6, 0.9, 0.98)
 PRIOR = 5.0  # pseudo-counts of a bigram row
 
@@ -357,6 +358,11 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     return with_columns(docs.select("doc_id", "text"), {"ids": T.BinaryType()}, per_batch)
 
 
+def phase_of(phase: int, number: int) -> int:
+    """The first window that round ``number`` takes of a text."""
+    return (phase + number * (STRIDE // ROUNDS)) % STRIDE
+
+
 def closed_ids(raw: bytes, end: int) -> np.ndarray:
     return np.append(np.frombuffer(raw, "<u2").astype(np.int64), end)
 
@@ -369,7 +375,7 @@ def averaged_round(docs: DataFrame, model: Model, number: int) -> dict[str, np.n
         trainer = Trainer(shared.value)
         for batch in batches:
             for raw, phase in zip(batch.column("ids").to_pylist(), batch.column("phase").to_pylist(), strict=True):
-                trainer.add(closed_ids(raw, trainer.model.end), (phase + number * (STRIDE // ROUNDS)) % STRIDE)
+                trainer.add(closed_ids(raw, trainer.model.end), phase_of(phase, number))
         trainer.learn()
         if trainer.seen:
             flat = np.concatenate([v.ravel() for v in trainer.model.weights.values()]).astype(float) * trainer.seen

@@ -65,6 +65,18 @@ def test_windows_score_each_id_once():
         assert sorted(asked.tolist()) == list(range(size))
 
 
+def test_rounds_train_on_every_window_of_every_text(monkeypatch):
+    asked = []
+    monkeypatch.setattr(a.Trainer, "learn", lambda self: None)
+    for size in (1, 24, 25, 200):
+        for phase in range(a.STRIDE):
+            trainer = a.Trainer(small_model())
+            for number in range(a.ROUNDS):
+                trainer.add(np.append(np.arange(size - 1) % 40, trainer.model.end), a.phase_of(phase, number))
+            asked.append((size, sum(int(valid[:, a.CONTEXT :].sum()) for _, valid, _ in trainer.waiting)))
+    assert all(size == seen for size, seen in asked)
+
+
 def test_attention_is_causal_and_batches_agree():
     model, draw = small_model(), np.random.default_rng(1)
     ids = np.append(draw.integers(0, 40, 90), model.end)
