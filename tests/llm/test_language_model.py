@@ -117,3 +117,7 @@ def test_no_training_texts(docs_of):
     (got,) = a.score_texts(docs_of({held: "a b"})).collect()
     assert (got.n_tokens, got.n_known, got.train_tokens, got.base_score) == (3, 0, 0, 0.0) and got.score < 0
     assert a.score_texts(docs_of([])).count() == 0
+
+
+def test_model_sizes_are_not_cut():
+    assert a.SINGLES >= 240 and a.QUERIES >= 32 and a.CONTEXT >= 16
