@@ -10,6 +10,7 @@ from panelspark.functions import ap_at_k_bits, micro, names_of
 from panelspark.operators import clean, drop, encode, metrics, rankers, reshape, split
 from panelspark.operators import recommend as rec
 from panelspark.operators.encode import COUNTERS, Predictors
+from panelspark.operators.trajectory import LENGTH
 from panelspark.registry.core import Data, query
 from panelspark.session import materialize
 
@@ -129,9 +130,9 @@ def _(d: Data):
     return multiclass_report(d, "forest")
 
 
-@query("p8_boosted_model")
+@query("p8_boosted_model", "ab")
 def _(d: Data):
-    return multiclass_report(d, "boosted", trees=10, depth=4)
+    return multiclass_report(d, "boosted")
 
 
 @query("p8_logistic_model", "ab")
@@ -139,13 +140,13 @@ def _(d: Data):
     return multiclass_report(d, "logistic")
 
 
-@query("p9_hybrid_model")
+@query("p9_hybrid_model", "ab")
 def _(d: Data):
     table = model_table(d)
     factors = rankers.user_factors(als_of(d, parts(table, d).train))
     part = parts(materialize(table.join(factors, "entity", "left")), d)
     inputs = predictors(d).plus(numeric=rankers.factor_names())
-    fitted = rankers.fit_multiclass(part.train, inputs, d.spec, "boosted", trees=10, depth=4)
+    fitted = rankers.fit_multiclass(part.train, inputs, d.spec, "boosted")
     return list_report(rankers.score_multiclass(fitted, part.measured, d.spec), d)
 
 
@@ -163,14 +164,14 @@ def _(d: Data):
     return multiclass_report(d, "forest", inputs)
 
 
-@query("p15_sequence_model")
+@query("p15_sequence_model", "ab")
 def _(d: Data):
     table = clean.standardize(d.parts.train, d.features, ["adds_recent", "history"])
     rows = materialize(
-        rankers.sequence_inputs(table.filter(F.col("period") <= d.spec.measured), d.spec, 8)
+        rankers.sequence_inputs(table.filter(F.col("period") <= d.spec.measured), d.spec, LENGTH)
     )
     part = parts(rows, d)
-    fitted = rankers.fit_sequence(part.train, d.spec, 8, static=("adds_recent", "history"))
+    fitted = rankers.fit_sequence(part.train, d.spec, LENGTH, static=("adds_recent", "history"))
     return list_report(rankers.score_sequence(fitted, part.measured, d.spec), d)
 
 
@@ -199,7 +200,7 @@ def _(d: Data):
     return measured
 
 
-@query("b2_calibrated_drop_model")
+@query("b2_calibrated_drop_model", "ab")
 def _(d: Data):
     decision, measured = drop_scored(d)
     calibrated = materialize(drop.calibrate(decision, measured))
@@ -208,12 +209,11 @@ def _(d: Data):
     return quality.join(F.broadcast(ties), "one").drop("one")
 
 
-@query("b3_leakage_control_model")
+@query("b3_leakage_control_model", "ab")
 def _(d: Data):
     table = model_table(d)
-    return drop.leakage_control(
-        table, d.panel, d.spec.items.index("purchase"), predictors(d), d.spec.measured
-    )
+    item = "purchase" if "purchase" in d.spec.items else d.spec.items[0]
+    return drop.leakage_control(table, d.panel, d.spec.items.index(item), predictors(d), d.spec.measured)
 
 
 def newest_rows(d: Data):
@@ -243,8 +243,8 @@ def _(d: Data):
     return drop.compare_imputation(newest_rows(d), "income", inputs)
 
 
-@query("b7_drift_curve_model")
+@query("b7_drift_curve_model", "ab")
 def _(d: Data):
     long, inputs = drop_table(d)
     periods = split.first_periods(long)
-    return drop.drift_curve(long, inputs, periods, window=4, horizon=4, trees=5, depth=4)
+    return drop.drift_curve(long, inputs, periods, window=4)

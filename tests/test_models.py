@@ -228,3 +228,28 @@ def test_model_round_trip(parts, inputs, tmp_path):
         for m in (fitted, again)
     ]
     assert before == after
+
+
+@pytest.mark.parametrize("suffix", ["", "_b"])
+def test_learnt_keys_use_the_sizes_of_their_operators(spark, monkeypatch, suffix):
+    from unittest.mock import MagicMock
+
+    from panelspark import registry
+    from panelspark.operators.trajectory import LENGTH
+    from panelspark.registry import models
+
+    keys = registry.queries()
+    names = ("model_table", "materialize", "parts", "als_of", "list_report", "clean", "split", "rankers", "drop")
+    fake = {n: MagicMock() for n in names}
+    for name, mock in fake.items():
+        monkeypatch.setattr(models, name, mock)
+    monkeypatch.setattr(models, "drop_table", lambda d: (None, None))
+    folder = "/root/testdata/sf0.001"
+    for key in ("p8_boosted_model", "p9_hybrid_model", "p15_sequence_model", "b3_leakage_control_model", "b7_drift_curve_model"):
+        keys[key + suffix](spark, folder)
+    assert "b2_calibrated_drop_model" + suffix in keys
+    for call in fake["rankers"].fit_multiclass.call_args_list:
+        assert call.args[3] == "boosted" and not call.kwargs
+    assert fake["rankers"].fit_multiclass.call_count == 2
+    assert fake["rankers"].sequence_inputs.call_args.args[2] == fake["rankers"].fit_sequence.call_args.args[2] == LENGTH
+    assert not {"trees", "depth", "horizon"} & set(fake["drop"].drift_curve.call_args.kwargs)
