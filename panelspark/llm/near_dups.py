@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -245,11 +245,45 @@ def block_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group stays, that of the smallest doc_id; rows without id or words stay."""
-    found = saved(near_duplicates(docs, k, percent).select("doc_id", "kept"), "near-duplicates")
-    gone = found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    gone = saved(gone, "gone")
-    rest = docs.join(bounded_side(gone), docs["doc_id"] == gone["__id"], "left_anti")
-    repeated = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    # only a table that repeats an id needs its texts shuffled
-    return rest if repeated.isEmpty() else rest.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rest.where("doc_id is null"))
+    """One text of each group stays, that of the smallest doc_id; rows without id or words stay.
+
+    Rows are told apart by id and text, so an id with several texts loses only the copies among them.
+    """
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    marked = docs.withColumn("__hash", hashed)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if repeated.isEmpty():
+        found = saved(near_duplicates(docs, k, percent).select("doc_id", "kept"), "near-duplicates")
+        gone = saved(found.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct(), "gone")
+        return docs.join(bounded_side(gone), docs["doc_id"] == gone["__id"], "left_anti")
+    # ids that name several rows: each (id, text) gets a number of its own, in the order of the ids
+    keys = marked.where("doc_id is not null").select("doc_id", "__hash").distinct()
+    keys = saved(numbered(keys), "numbered-texts")
+    named = marked.where("doc_id is not null").join(keys, ["doc_id", "__hash"])
+    one = saved(named.dropDuplicates(["__number"]), "texts-once")
+    alone = marked.where("doc_id is null").drop("__hash")
+    asked = one.select(F.col("__number").alias("doc_id"), "text").unionByName(alone.select(F.lit(None).cast("long").alias("doc_id"), "text"))
+    found = near_duplicates(asked, k, percent).where("not kept and n_shingles > 0 and doc_id is not null")
+    gone = saved(found.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    wordless = named.join(one.where(~has_words(F.col("text"))).select("__number"), "__number", "left_semi")
+    worded = one.where(has_words(F.col("text"))).join(gone, F.col("__number") == F.col("__gone"), "left_anti")
+    return worded.unionByName(wordless).select(*docs.columns).unionByName(alone.select(*docs.columns))
+
+
+def has_words(text: Column) -> Column:
+    """Whether a text has a word, by the white space of bytes.split()."""
+    return F.coalesce(F.length(F.translate(text, " \t\n\r\x0b\x0c", "")) > 0, F.lit(False))
+
+
+def numbered(keys: DataFrame) -> DataFrame:
+    """Numbers in the order of (doc_id, __hash): offsets by range partition, none in one task."""
+    sorted_ = saved(keys.repartitionByRange("doc_id", "__hash").sortWithinPartitions("doc_id", "__hash").withColumn("__part", F.spark_partition_id()), "sorted-texts")
+    sizes = {r["__part"]: r["n"] for r in sorted_.groupBy("__part").agg(F.count("*").alias("n")).collect()}  # one a partition
+    starts, at = [], 0
+    for part in sorted(sizes):
+        starts.append((part, at))
+        at += sizes[part]
+    first = keys.sparkSession.createDataFrame(starts, "__part int, __start long")
+    order = Window.partitionBy("__part").orderBy("doc_id", "__hash")
+    placed = sorted_.withColumn("__at", F.row_number().over(order))
+    return placed.join(F.broadcast(first), "__part").select("doc_id", "__hash", (F.col("__start") + F.col("__at")).alias("__number"))

@@ -79,3 +79,12 @@ def test_one_row_of_each_group_stays(docs_of):
     assert sorted(((r.doc_id or -1), r.text) for r in kept.collect() if r.text) == [(-1, "other"), (1, same)]
     assert kept.count() == 5
     assert n.without_near_duplicates(docs_of([])).count() == 0
+
+
+def test_one_id_with_unrelated_texts_keeps_them(docs_of):
+    """Copies go by text, not by id; rows without words stay."""
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(1, a), (7, b), (7, a), (7, ""), (7, None), (7, b), (9, a), (None, "c d e"), (5, None), (5, None)]
+    got = [(r.doc_id, r.text) for r in n.without_near_duplicates(docs_of(rows)).collect()]
+    want = [(1, a), (7, b), (7, ""), (7, None), (None, "c d e"), (5, None), (5, None)]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
