@@ -14,6 +14,7 @@ cut, the remainder first.
 from __future__ import annotations
 
 import base64
+import math
 import os
 import re
 import zlib
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from panelspark.llm.common import Bounded, saved, small_batches, worker_cache
 
 TOKENS = 2048
-DOCUMENTS = 2048  # per sequence; as many as tokens, so that it costs no sequence
-ATTENTION = TOKENS * TOKENS  # of squared lengths
+DOCUMENTS = 2048  # per sequence; as many as tokens, so that by default it never binds
+ATTENTION = TOKENS * TOKENS  # of squared lengths; never binds by default
 WEIGHTS = (1.0, 0.01, 0.01)  # tokens, documents, attention
 GROUP_ROWS = 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -78,15 +79,15 @@ def ranked(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every document."""
+def pieces(docs: DataFrame, path: str | None = None, longest: int = TOKENS) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32) of every document, in pieces of at most ``longest`` ids."""
     path = path or tokenizer_path()
     small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = worker_cache(f"encoder {path}", lambda: encoder(path))
-        size = TOKENS * 4
+        size = longest * 4
         for batch in batches:
             ids, rows = batch.column("doc_id"), []
             for at, text in enumerate(batch.column("text").to_pylist()):
@@ -103,10 +104,16 @@ def pieces(docs: DataFrame, path: str | None = None) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, PIECES.replace("doc_id long", f"doc_id {kind}"))
 
 
-def best_fit(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sequence, offset) of each length; lengths come in decreasing order."""
-    full = np.array([TOKENS, DOCUMENTS, ATTENTION], float)
-    weight = np.array(WEIGHTS)
+def best_fit(
+    lengths: np.ndarray, tokens: int | None = None, documents: int | None = None, attention: int | None = None,
+    weights: tuple[float, float, float] = WEIGHTS,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) of each length; lengths come in decreasing order, each within the capacities."""
+    given = zip((tokens, documents, attention), (TOKENS, DOCUMENTS, ATTENTION), strict=True)
+    full = np.array([d if c is None else c for c, d in given], float)
+    if len(lengths) and ((np.array([lengths.max(), 1, float(lengths.max()) ** 2])) > full).any():
+        raise ValueError("a piece is above a capacity of an empty sequence")
+    weight = np.array(weights)
     left, names = np.empty((3, 1024)), np.empty(1024, np.int64)
     where, offset, made, used = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64), 0, 0
     least = lengths.min() if len(lengths) else 0
@@ -121,7 +128,7 @@ def best_fit(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 left, names = np.hstack([left, np.empty_like(left)]), np.append(names, np.empty_like(names))
             slot, left[:, used], names[used] = used, full, made
             used, made = used + 1, made + 1
-        where[at], offset[at] = names[slot], TOKENS - left[0, slot]
+        where[at], offset[at] = names[slot], full[0] - left[0, slot]
         left[:, slot] -= need
         if left[0, slot] < least or left[1, slot] < 1:  # full: the last open one takes its place
             used -= 1
@@ -129,15 +136,23 @@ def best_fit(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return where, offset
 
 
-def pack(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """pieces() with sequence_id and offset."""
-    made = saved(pieces(docs, path), "pieces")
+def pack(
+    docs: DataFrame, path: str | None = None, tokens: int = TOKENS, documents: int | None = None,
+    attention: int | None = None, weights: tuple[float, float, float] = WEIGHTS,
+) -> DataFrame:
+    """pieces() with sequence_id and offset; a text is cut where one piece would break a capacity."""
+    longest = min(tokens, tokens if attention is None else math.isqrt(attention))
+    if longest < 1 or documents is not None and documents < 1:
+        raise ValueError("a sequence holds at least one document of one token")
+    documents = max(DOCUMENTS, tokens) if documents is None else documents
+    attention = max(ATTENTION, tokens**2) if attention is None else attention
+    made = saved(pieces(docs, path, longest), "pieces")
     groups = max(1, -(-made.count() // GROUP_ROWS))
     dealt = made.withColumn("__group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
 
     def packed(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
-        where, offset = best_fit(group["length"].to_numpy())
+        where, offset = best_fit(group["length"].to_numpy(), tokens, documents, attention, weights)
         group["sequence_id"] = where + (group["__group"].to_numpy() << 32)
         group["offset"] = offset
         return group.drop(columns="__group")
