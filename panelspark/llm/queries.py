@@ -5,18 +5,22 @@ from __future__ import annotations
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from panelspark.llm.attention_lm import score_texts
 from panelspark.llm.chat import rotate
 from panelspark.llm.common import table
 from panelspark.llm.decontaminate import contamination
+from panelspark.llm.divergence import divergence
 from panelspark.llm.near_dups import near_duplicates
 from panelspark.llm.neighbours import neighbours
 from panelspark.llm.packing import pack
 from panelspark.llm.quality import score_quality
+from panelspark.llm.robust_rules import judge_quality
 from panelspark.llm.secrets import with_secrets
 from panelspark.llm.toxicity import score_toxicity
 from panelspark.llm.url_filter import judge
+from panelspark.llm.whitening import whitened
 
 
 def op1_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,12 +64,25 @@ def op10_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(table(spark, sf_dir, "conversations"))
 
 
+def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = whitened(table(spark, sf_dir, "embeddings"))
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         f.__name__: f
         for f in (
             op1_quality_ranking, op2_decontaminate, op3_attention_lm, op4_best_fit_packing, op5_posting_lists, op6_near_duplicates,
-            op7_secret_scans, op8_url_filter, op9_toxicity, op10_perspectives,
+            op7_secret_scans, op8_url_filter, op9_toxicity, op10_perspectives, op11_robust_outliers, op12_exact_whitening, op13_source_divergence,
         )
     }
 

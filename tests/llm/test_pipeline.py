@@ -18,4 +18,4 @@ def test_stages_keep_columns_and_rows_shrink(spark, folder):
 
 def test_names():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries())
-    assert numbers == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
+    assert numbers == list(range(1, 14)) and set(oracle_sql()) <= set(queries())
