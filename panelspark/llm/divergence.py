@@ -96,13 +96,13 @@ def apart(p: Column, q: Column) -> Column:
 def pair_sums(counts: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
     """(lang, source, other, value): divergences of all pairs of sources over one block's terms."""
     names = groups["source"].tolist()
+    out = {"lang": [], "source": [], "other": [], "value": []}
     if counts.empty or len(names) < 2:
-        return pd.DataFrame({"lang": [], "source": [], "other": [], "value": []})
+        return pd.DataFrame(out, dtype=object)
     base = [1 + BILLION // (t + v) if t + v else 1 for t, v in zip(groups["total"].tolist(), groups["size"].tolist(), strict=True)]
     row, at = {s: i for i, s in enumerate(names)}, pd.factorize(counts["term"])[0]
     p = np.repeat(np.array(base, np.int64)[:, None], at.max() + 1, axis=1)
     p[counts["source"].map(row).to_numpy(), at] = counts["p"].to_numpy()
-    out = {"lang": [], "source": [], "other": [], "value": []}
     for i, source in enumerate(names):
         value = ((p[i] - p) ** 2 // p).sum(1)  # below 2^63: shares of a source add up to about 10^9
         value = value.tolist()
