@@ -1,5 +1,5 @@
 , known AS (
-  SELECT DISTINCT entity FROM rowfeats, params WHERE n_adds > 0 AND period < t - 1 AND period >= t - 5
+  SELECT DISTINCT entity FROM feats, params WHERE prev = 1 AND period < t - 1
 ),
 sides AS (
   SELECT DISTINCT 'train' AS side, entity FROM rowfeats, params WHERE n_adds > 0 AND period < t - 1

@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelspark.operators.calibration import apply_map, calibration_map, calibration_points, isotonic_blocks
 from panelspark.operators.clean import median_of
 from panelspark.operators.encode import Predictors, preprocess_stages, ready
 from panelspark.operators.metrics import auc_by, cumulative_histogram, regression_error, roc_auc
-from panelspark.operators.reshape import explode_held, random_split
+from panelspark.operators.reshape import explode_held, explode_open, random_split
 from panelspark.operators.split import rolling_windows
 from panelspark.session import ensure_checkpoint_dir, materialize
 from panelspark.spec import PanelSpec
 
-SCORE_GRID = 1_000_000  # calibration points are at most this many, whatever the row count
 SEED = 42
 
 # fixed values: verdict limits of the leakage control and the missingness study
@@ -57,19 +58,9 @@ def fit_drop_model(train: DataFrame, predictors: Predictors, trees: int = 40, de
 
 
 def calibrate(calibration: DataFrame, target: DataFrame, raw: str = "p_raw", out: str = "p") -> DataFrame:
-    """Isotonic map from raw score to observed rate, fitted on t-1 and applied to t.
-
-    The fit finishes on the driver, so it gets one weighted point per millionth of score,
-    not one per row.
-    """
-    point = (F.floor(F.col(raw) * SCORE_GRID + 0.5) / SCORE_GRID).alias(raw)
-    points = calibration.groupBy(point).agg(
-        F.avg(F.col("label").cast("double")).alias("rate"), F.count("*").cast("double").alias("weight")
-    )
-    isotonic = IsotonicRegression(
-        featuresCol=raw, labelCol="rate", weightCol="weight", predictionCol=out
-    ).fit(points)
-    return isotonic.transform(target)
+    """Isotonic map from raw score to observed rate, fitted on t-1 and applied to t."""
+    blocks = isotonic_blocks(calibration_points(calibration, raw))
+    return apply_map(target, calibration_map(blocks), raw, out)
 
 
 def auc_of(scored: DataFrame, score: str = "p_raw", label: str = "label") -> float | None:
@@ -94,30 +85,36 @@ def leakage_verdict(aucs: DataFrame) -> DataFrame:
 
 
 def leakage_control(
-    features: DataFrame, panel: DataFrame, index: int, predictors: Predictors, measured: int,
+    features: DataFrame, panel: DataFrame, spec: PanelSpec, predictors: Predictors, measured: int,
     lookback: int = 4, trees: int = 20, depth: int = 5,
 ) -> DataFrame:
-    """Negative control: the model must become near perfect once it is shown the answer.
+    """Negative control per item: the model must become near perfect once it is shown the answer.
 
-    The current state of the item is joined back from the panel; if that does not close
-    the remaining error, the features already knew it, or the control is broken.
+    One model over (row, open item) with the item as a category, and a second one that also sees
+    the item's current state, joined back from the panel.  If that does not close the
+    remaining error, the features already knew it, or the control is broken.  An item of one class
+    in the measured period has no verdict.
     """
-    answer = panel.select("entity", "period", F.getbit("held", F.lit(index)).cast("double").alias("answer"))
-    rows = materialize(
-        features.filter(F.col("period").between(measured - lookback, measured))
-        .join(answer, ["entity", "period"])
-        .withColumn("label", F.getbit("add_bits", F.lit(index)).cast("double"))
-    )
+    inputs = predictors.plus(categorical=("item",))
+    kept = dict.fromkeys(("entity", "period", "prev_bits", "add_bits", *predictors.numeric, *predictors.categorical, *predictors.extra))
+    wanted = features.filter(F.col("period").between(measured - lookback, measured))
+    # the state is joined per row and read per item, so no (row, item) pair is shuffled
+    rows = explode_open(wanted.select(*kept).join(panel.select("entity", "period", "held"), ["entity", "period"]), spec, keep=(*kept, "held"))
+    rows = materialize(rows.withColumn("answer", F.getbit("held", F.col("idx")).cast("double")))
     train, test = rows.filter(F.col("period") < measured), rows.filter(F.col("period") == measured)
-    aucs = []
-    for inputs in (predictors, predictors.plus(extra=("answer",))):
-        model = fit_binary(train, inputs, boosted_classifier(trees, depth, bins=256, subsample=1.0))
-        aucs.append(auc_of(score_binary(model, test, inputs)))
-    if None in aucs:
-        raise ValueError("the measured period has only one class: choose another item")
-    return leakage_verdict(
-        features.sparkSession.createDataFrame([tuple(aucs)], "auc_clean double, auc_leaked double")
+    scored = []
+    for name, shown in (("auc_clean", inputs), ("auc_leaked", inputs.plus(extra=("answer",)))):
+        model = fit_binary(train, shown, boosted_classifier(trees, depth, bins=256, subsample=1.0))
+        made = score_binary(model, test, shown, "score").select("item", "label", "score")
+        scored.append(made.withColumn("model", F.lit(name)))
+    aucs = auc_by(scored[0].unionByName(scored[1]), ("item", "model"), "score", "label")
+    both = aucs.groupBy("item").agg(
+        *[F.max(F.when(F.col("model") == m, F.col("auc"))).alias(m) for m in ("auc_clean", "auc_leaked")],
+        F.max("positives").alias("positives"), F.max("negatives").alias("negatives"),
     )
+    known = F.col("auc_clean").isNotNull()
+    judged = leakage_verdict(both)
+    return judged.withColumns({c: F.when(known, F.col(c)) for c in ("jump", "error_closed", "verdict")})
 
 
 def grouped_importance(model: PipelineModel, scored: DataFrame) -> DataFrame:
@@ -210,22 +207,41 @@ def drift_curve(
         return fit_binary(part, predictors, boosted_classifier(trees, depth, bins=256, subsample=1.0))
 
     frozen = fitted(periods[0], periods[window - 1])
-    curve = []
-    for ahead, period in enumerate(periods[window : window + horizon], start=1):
+    ahead = list(periods[window : window + horizon])
+    scored = []
+    for period in ahead:
         target = rows.filter(F.col("period") == period)
-        old = auc_of(score_binary(frozen, target, predictors))
-        new = auc_of(score_binary(fitted(period - window, period - 1), target, predictors))
-        if old is not None and new is not None:
-            curve.append((period, ahead, old, new, new - old))
-    return long.sparkSession.createDataFrame(
-        curve, "period int, periods_ahead int, auc_frozen double, auc_refit double, cost double"
+        for name, model in (("frozen", frozen), ("refit", fitted(period - window, period - 1))):
+            made = score_binary(model, target, predictors, "score").select("period", "label", "score")
+            scored.append(made.withColumn("model", F.lit(name)))
+    return _curve(reduce(DataFrame.unionByName, scored), ahead).filter("cost is not null")
+
+
+def _curve(scored: DataFrame, ahead: Sequence[int]) -> DataFrame:
+    """Both models' AUC per period from one plan over (period, model, score, label)."""
+    by_model = auc_by(scored, ("period", "model"), "score", "label")
+    place = F.array_position(F.lit(list(ahead)), F.col("period")).cast("int")
+    return by_model.groupBy("period").agg(
+        F.max(F.when(F.col("model") == "frozen", F.col("auc"))).alias("auc_frozen"),
+        F.max(F.when(F.col("model") == "refit", F.col("auc"))).alias("auc_refit"),
+    ).select(
+        "period", place.alias("periods_ahead"), "auc_frozen", "auc_refit",
+        (F.col("auc_refit") - F.col("auc_frozen")).alias("cost"),
     )
 
 
 def rate_drift_curve(
     features: DataFrame, spec: PanelSpec, periods: Sequence[int], window: int = 4, horizon: int = 6
 ) -> DataFrame:
-    """The same curve for the (item, tenure) drop rates, all periods in one plan.
+    """The same curve for the (item, tenure) drop rates."""
+    ahead = periods[window : window + horizon]
+    return _curve(rate_drift_scores(features, spec, periods, window, horizon), ahead)
+
+
+def rate_drift_scores(
+    features: DataFrame, spec: PanelSpec, periods: Sequence[int], window: int = 4, horizon: int = 6
+) -> DataFrame:
+    """(period, label, model, score) of frozen and refitted drop rates, all periods in one plan.
 
     Refitted rates come from one pass in which a row counts for each later window holding it.
     """
@@ -236,7 +252,7 @@ def rate_drift_curve(
         F.col("evaluated").alias("period"), "idx", "tenure", F.col("rate").alias("refit")
     )
     # at most catalogue x tenure rates, and as many again per evaluated period
-    scored = (
+    return (
         held.filter(F.col("period").isin(ahead))
         .join(F.broadcast(old), ["idx", "tenure"], "left")
         .join(F.broadcast(new), ["period", "idx", "tenure"], "left")
@@ -249,15 +265,6 @@ def rate_drift_curve(
             ).alias("model", "score"),
         )
     )
-    by_model = auc_by(scored, ("period", "model"), "score", "label")
-    place = F.array_position(F.lit(ahead), F.col("period")).cast("int")
-    return by_model.groupBy("period").agg(
-        F.max(F.when(F.col("model") == "frozen", F.col("auc"))).alias("auc_frozen"),
-        F.max(F.when(F.col("model") == "refit", F.col("auc"))).alias("auc_refit"),
-    ).select(
-        "period", place.alias("periods_ahead"), "auc_frozen", "auc_refit",
-        (F.col("auc_refit") - F.col("auc_frozen")).alias("cost"),
-    )
 
 
 def _rates(held: DataFrame, *keys: str) -> DataFrame:

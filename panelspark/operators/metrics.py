@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import micro
@@ -29,7 +29,7 @@ def score_histogram(df: DataFrame, score: str, label: str) -> DataFrame:
     )
 
 
-def _with_range(histogram: DataFrame, ranges: int) -> DataFrame:
+def with_range(histogram: DataFrame, ranges: int) -> DataFrame:
     """Number of the score range, by literal edges: the same for every task and re-run."""
     shares = [i / ranges for i in range(1, ranges)]
     edges = sorted(set(histogram.approxQuantile("score", shares, 0.5 / ranges))) if shares else []
@@ -48,7 +48,7 @@ def cumulative_histogram(df: DataFrame, score: str, label: str, ranges: int | No
     """
     if ranges is None:
         ranges = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    ranged = _with_range(materialize(score_histogram(df, score, label)), ranges)
+    ranged = with_range(materialize(score_histogram(df, score, label)), ranges)
     per_range = ranged.groupBy("range").agg(F.sum("n").alias("range_n"), F.sum("pos").alias("range_pos"))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # <= ranges rows
     whole = Window.partitionBy()
@@ -71,59 +71,81 @@ def cumulative_histogram(df: DataFrame, score: str, label: str, ranges: int | No
     )
 
 
-def roc_auc(cumulative: DataFrame) -> DataFrame:
-    """Exact area: pairs ranked right plus half the ties, over all pairs."""
+def roc_auc(cumulative: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Exact area: pairs ranked right plus half the ties, over all pairs; one row per key."""
     wins = F.col("pos").cast(WIDE) * (
         2 * (F.col("below_n") - F.col("below_pos")) + (F.col("n") - F.col("pos"))
     ).cast(WIDE)
-    totals = cumulative.agg(
+    totals = _grouped(cumulative, keys).agg(
         F.sum(wins.cast(WIDE)).alias("twice"), F.max("all_pos").alias("positives"),
         F.max(F.col("all_n") - F.col("all_pos")).alias("negatives"),
     )
     pairs = 2.0 * F.col("positives").cast("double") * F.col("negatives").cast("double")
     return totals.select(
-        "positives", "negatives",
+        *keys, "positives", "negatives",
         F.when(pairs > 0, F.col("twice").cast("double") / pairs).alias("auc"),
     )
 
 
-def auc_by(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
-    """Exact AUC per key for scores from a rate table, whose distinct values are few per key.
+def cumulative_by(
+    df: DataFrame, keys: Sequence[str], score: str, label: str, ranges: int | None = None
+) -> DataFrame:
+    """``cumulative_histogram`` of every key at once, its keys as further columns.
 
-    For continuous scores use the cumulative histogram of one key at a time.
+    All keys share the range edges.  Running counts are taken inside a (key, range), on top of
+    the key's totals of lower ranges, which are at most ``ranges`` numbers.
     """
-    levels = df.groupBy(*keys, score).agg(
-        F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
+    if ranges is None:
+        ranges = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keyed = df.filter(F.col(score).isNotNull()).groupBy(*keys, F.col(score).cast("double").alias("score"))
+    levels = keyed.agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
+    ranged = with_range(materialize(levels), ranges)
+    part = F.struct("range", F.col("range_n").alias("n"), F.col("range_pos").alias("pos"))
+    per_range = ranged.groupBy(*keys, "range").agg(F.sum("n").alias("range_n"), F.sum("pos").alias("range_pos"))
+    parts = per_range.groupBy(*keys).agg(F.collect_list(part).alias("parts"))  # <= ranges each
+
+    def sum_of(what: str, lower: bool) -> Column:
+        chosen = F.filter("parts", lambda x: x["range"] < F.col("range")) if lower else F.col("parts")
+        return F.aggregate(chosen, F.lit(0).cast("long"), lambda total, x: total + x[what])
+
+    offsets = parts.select(*keys, "parts", F.explode(F.transform("parts", lambda x: x["range"])).alias("range")).select(
+        *keys, "range", sum_of("n", True).alias("offset_n"), sum_of("pos", True).alias("offset_pos"),
+        sum_of("n", False).alias("all_n"), sum_of("pos", False).alias("all_pos"),
     )
-    below = Window.partitionBy(*keys).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    negatives = F.col("n") - F.col("pos")
-    counted = levels.withColumn("below", F.coalesce(F.sum(negatives).over(below), F.lit(0)))
-    totals = counted.groupBy(*keys).agg(
-        F.sum((F.col("pos").cast(WIDE) * (2 * F.col("below") + negatives).cast(WIDE)).cast(WIDE)).alias("twice"),
-        F.sum("pos").alias("positives"), F.sum(negatives).alias("negatives"),
-    )
-    pairs = 2.0 * F.col("positives").cast("double") * F.col("negatives").cast("double")
-    return totals.select(
-        *keys, "positives", "negatives", F.when(pairs > 0, F.col("twice").cast("double") / pairs).alias("auc")
+    inside = Window.partitionBy(*keys, "range").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(offsets, [*keys, "range"]).select(
+        *keys, "score", "n", "pos",
+        (F.col("offset_n") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("below_n"),
+        (F.col("offset_pos") + F.coalesce(F.sum("pos").over(inside), F.lit(0))).alias("below_pos"),
+        "all_n", "all_pos",
     )
 
 
-def pr_auc(cumulative: DataFrame) -> DataFrame:
-    """Step-wise area under precision-recall, and its lift over the base rate.
+def auc_by(df: DataFrame, keys: Sequence[str], score: str, label: str) -> DataFrame:
+    """Exact AUC of every key from one plan; null where a key has one class only."""
+    return roc_auc(cumulative_by(df, keys, score, label), keys)
+
+
+def _grouped(df: DataFrame, keys: Sequence[str]):
+    return df.groupBy(*keys) if keys else df
+
+
+def pr_auc(cumulative: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Step-wise area under precision-recall, and its lift over the base rate; one row per key.
 
     Each score's step (positives there times precision down to there) is rounded to
     millionths before summing, so the total does not depend on the order of the sum.
     """
     hits = F.col("all_pos") - F.col("below_pos")
     called = F.col("all_n") - F.col("below_n")
-    totals = cumulative.agg(
+    totals = _grouped(cumulative, keys).agg(
         F.sum(micro(F.col("pos") * (hits / called))).alias("area_micro"),
         F.max("all_pos").alias("positives"), F.max("all_n").alias("rows"),
     )
     area = F.col("area_micro") / (F.col("positives") * F.lit(MICRO))
     base = F.col("positives") / F.col("rows")
     return totals.filter(F.col("positives") > 0).select(
-        "positives", "rows", area.alias("pr_auc"), base.alias("base_rate"), (area / base).alias("lift")
+        *keys, "positives", "rows", area.alias("pr_auc"), base.alias("base_rate"), (area / base).alias("lift")
     )
 
 

@@ -1,4 +1,4 @@
-"""Learnt recommenders: collaborative filtering, multiclass trees, a pairwise ranker, a sequence net.
+"""Learnt recommenders: collaborative filtering, multiclass trees, pairwise and listwise rankers, a sequence net.
 
 Each one ends in a ``scores`` array in catalogue order, the common input of lists,
 fusion and the business layer.
@@ -17,12 +17,15 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelspark.functions import item_numbers, pseudo_random, top_k
-from panelspark.operators import trajectory
+from panelspark.functions import has_item, item_numbers, pseudo_random, top_k
+from panelspark.operators import boosting, trajectory
+from panelspark.operators.boosting import BoostedTrees, Growth
 from panelspark.operators.encode import Predictors, preprocess_stages, ready
-from panelspark.operators.reshape import explode_adds
-from panelspark.session import ensure_checkpoint_dir
+from panelspark.operators.keys import dense_ids
+from panelspark.operators.reshape import explode_adds, group_candidates
+from panelspark.session import ensure_checkpoint_dir, materialize
 from panelspark.spec import PanelSpec
 
 SEED = 42
@@ -31,23 +34,64 @@ ALS_RANK = 16
 
 # --- collaborative filtering -----------------------------------------------------------
 
-def fit_als(interactions: DataFrame, rank: int = ALS_RANK) -> ALSModel:
-    """Implicit, nonnegative ALS on (entity, idx, rating); entity ids must fit an INT."""
+INT_MAX = 2**31 - 1
+
+
+@dataclass(frozen=True)
+class Collaborative:
+    """Fitted factors; ``ids`` maps entities to the model's whole numbers, or is null if they are such."""
+
+    model: ALSModel
+    ids: DataFrame | None = None
+
+    @property
+    def rank(self) -> int:
+        return self.model.rank
+
+    def user_vectors(self) -> DataFrame:
+        """(entity, vector) of every entity the model saw."""
+        users = self.model.userFactors.select(
+            F.col("id").cast("long").alias("user"), F.col("features").cast("array<double>").alias("vector")
+        )
+        if self.ids is None:
+            return users.withColumnRenamed("user", "entity")
+        return users.join(self.ids, "user").select("entity", "vector")
+
+
+def _fit_for_als(interactions: DataFrame) -> bool:
+    """Whether the entity ids are whole numbers of 32 bits."""
+    kind = interactions.schema["entity"].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return False
+    low, high = interactions.agg(F.min("entity"), F.max("entity")).first()
+    return low is None or (-INT_MAX <= low and high <= INT_MAX)
+
+
+def fit_als(interactions: DataFrame, rank: int = ALS_RANK) -> Collaborative:
+    """Implicit, nonnegative ALS on (entity, idx, rating).
+
+    Text ids and numbers beyond 32 bits are numbered densely first, in their own order.
+    """
     ensure_checkpoint_dir(interactions.sparkSession)
     als = ALS(
         userCol="entity", itemCol="idx", ratingCol="rating", implicitPrefs=True, nonnegative=True,
         rank=rank, maxIter=10, regParam=0.1, alpha=20.0, coldStartStrategy="drop", seed=SEED,
         checkpointInterval=5,
     )
-    return als.fit(interactions.withColumn("rating", F.col("rating").cast("float")))
+    rated = interactions.withColumn("rating", F.col("rating").cast("float"))
+    if _fit_for_als(interactions):
+        return Collaborative(als.fit(rated))
+    ids = materialize(dense_ids(interactions, "entity", "user"))
+    numbered = rated.join(ids, "entity").select(F.col("user").alias("entity"), "idx", "rating")
+    return Collaborative(als.fit(numbered), ids)
 
 
-def _item_vectors(model: ALSModel) -> dict[int, list[float]]:
+def _item_vectors(fitted: Collaborative) -> dict[int, list[float]]:
     """Item factors on the driver: one short vector per catalogue item."""
-    return {r.id: [float(v) for v in r.features] for r in model.itemFactors.collect()}
+    return {r.id: [float(v) for v in r.features] for r in fitted.model.itemFactors.collect()}
 
 
-def score_als(model: ALSModel, rows: DataFrame, spec: PanelSpec) -> DataFrame:
+def score_als(model: Collaborative, rows: DataFrame, spec: PanelSpec) -> DataFrame:
     """Factor products as a ``scores`` array; null for an entity the model never saw.
 
     The item factors are one small constant matrix, so each row multiplies its own vector
@@ -55,21 +99,18 @@ def score_als(model: ALSModel, rows: DataFrame, spec: PanelSpec) -> DataFrame:
     """
     items = _item_vectors(model)
     matrix = F.array(*[F.lit(items.get(i, [0.0] * model.rank)) for i in range(spec.n)])
-    vectors = model.userFactors.select(
-        F.col("id").cast("long").alias("entity"), F.col("features").cast("array<double>").alias("vector")
-    )
     product = F.transform(
         matrix,
         lambda item: F.aggregate(
             F.zip_with(item, F.col("vector"), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
         ),
     )
-    return rows.join(vectors, "entity", "left").withColumn(
+    return rows.join(model.user_vectors(), "entity", "left").withColumn(
         "scores", F.when(F.col("vector").isNotNull(), product)
     ).drop("vector")
 
 
-def recommend_als(model: ALSModel, rows: DataFrame, spec: PanelSpec, k: int | None = None) -> DataFrame:
+def recommend_als(model: Collaborative, rows: DataFrame, spec: PanelSpec, k: int | None = None) -> DataFrame:
     """Best items by factor product, without held items and items the model never saw.
 
     An entity without a vector gets an empty list.
@@ -82,10 +123,10 @@ def recommend_als(model: ALSModel, rows: DataFrame, spec: PanelSpec, k: int | No
     )
 
 
-def user_factors(model: ALSModel, rank: int = ALS_RANK) -> DataFrame:
+def user_factors(model: Collaborative, rank: int = ALS_RANK) -> DataFrame:
     """Latent vectors as columns, to be joined as predictors."""
-    return model.userFactors.select(
-        F.col("id").cast("long").alias("entity"), *[F.get("features", i).alias(f"als_{i}") for i in range(rank)]
+    return model.user_vectors().select(
+        "entity", *[F.get("vector", i).cast("float").alias(f"als_{i}") for i in range(rank)]
     )
 
 
@@ -102,20 +143,25 @@ class Multiclass:
     model: PipelineModel
     predictors: Predictors
     kind: str
+    trees: BoostedTrees | None = None
 
 
 def fit_multiclass(
     train: DataFrame, predictors: Predictors, spec: PanelSpec, kind: str = "forest",
-    trees: int = 80, depth: int = 8, parallelism: int = 4,
+    trees: int = 80, depth: int = 8, parallelism: int = 4, bins: int = 64,
 ) -> Multiclass:
-    """Which item is taken up, one train row per add; the class is the catalogue position."""
+    """Which item is taken up, one train row per add; the class is the catalogue position.
+
+    ``boosted`` grows one tree per item and round from joint softmax gradients;
+    ``one_vs_rest`` fits a binary model per item instead.
+    """
     ensure_checkpoint_dir(train.sparkSession)
     if kind == "forest":
         classifier = RandomForestClassifier(
             featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, maxBins=256,
             subsamplingRate=0.7, seed=SEED,
         )
-    elif kind == "boosted":
+    elif kind == "one_vs_rest":
         one_item = GBTClassifier(
             maxIter=trees, maxDepth=depth, maxBins=256, stepSize=0.1, subsamplingRate=0.8, seed=SEED,
         )
@@ -124,15 +170,30 @@ def fit_multiclass(
         )
     elif kind == "logistic":
         classifier = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.001)
-    else:
+    elif kind != "boosted":
         raise ValueError(f"unknown multiclass model: {kind}")
     inputs = (*predictors.numeric, *predictors.categorical, *predictors.extra)
     carried = ("entity", "period", *[c for c in inputs if c not in ("entity", "period")])
     adds = explode_adds(train, spec, keep=carried).withColumn("label", F.col("idx").cast("double"))
+    if kind == "boosted":
+        prepared, vectors, width = _vectors(adds, predictors, "idx")
+        binning = boosting.fit_binning(vectors, "x", width, bins)
+        rows = boosting.examples(vectors, binning, "x", F.array("idx"), outputs=spec.n)
+        growth = Growth(rounds=trees, depth=depth, seed=SEED)
+        fitted = boosting.boost(rows, binning, spec.n, boosting.softmax_gradients, growth)
+        return Multiclass(prepared, predictors, kind, fitted)
     stages = preprocess_stages(predictors, with_one_hot=kind == "logistic")
     return Multiclass(Pipeline(stages=[*stages, classifier]).fit(ready(adds, predictors)), predictors, kind)
 
 
+def _vectors(rows: DataFrame, predictors: Predictors, *keep: str) -> tuple[PipelineModel, DataFrame, int]:
+    """The fitted preparation, (entity, period, keep, x) written once, and the length of x."""
+    prepared = Pipeline(stages=preprocess_stages(predictors)).fit(ready(rows, predictors))
+    width = len(prepared.stages[-1].getInputCols())
+    made = prepared.transform(ready(rows, predictors))
+    return prepared, materialize(made.select("entity", "period", *keep, vector_to_array("features").alias("x"))), width
+
+
 def _aligned(values: Column, spec: PanelSpec) -> Column:
     """Pad to the catalogue: items never taken up in train are classes the model lacks."""
     padded = F.concat(values, F.array_repeat(F.lit(0.0), spec.n))
@@ -140,9 +201,12 @@ def _aligned(values: Column, spec: PanelSpec) -> Column:
 
 
 def score_multiclass(fitted: Multiclass, rows: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Rows with their ``scores``; boosted margins become probabilities per item."""
+    """Rows with their ``scores``; margins of binary models become probabilities per item."""
     scored = fitted.model.transform(ready(rows, fitted.predictors))
     if fitted.kind == "boosted":
+        vectors = scored.select(*rows.columns, vector_to_array("features").alias("x"))
+        return boosting.class_scores(fitted.trees, vectors, "x").drop("x")
+    if fitted.kind == "one_vs_rest":
         margins = vector_to_array("rawPrediction")
         values = F.transform(margins, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * m)))
     else:
@@ -230,6 +294,46 @@ def score_ranker(ranker: PairwiseRanker, rows: DataFrame) -> DataFrame:
     return held.withColumn("scores", scores).drop("x")
 
 
+# --- listwise ranker -------------------------------------------------------------------
+
+@dataclass(frozen=True)
+class ListwiseRanker:
+    """Boosted trees over (row, candidate item), the item being one more predictor."""
+
+    model: PipelineModel
+    predictors: Predictors
+    trees: BoostedTrees
+
+
+def ranking_lists(rows: DataFrame, spec: PanelSpec, negatives: int, *keep: str) -> DataFrame:
+    """Rows with adds, their candidates in catalogue order (``items``) and 0/1 ``labels``."""
+    items = F.array_sort(group_candidates(spec, negatives))
+    listed = rows.filter(F.col("add_bits") != 0).select(*keep, "add_bits", items.alias("items"))
+    return listed.withColumn("labels", F.transform("items", lambda i: has_item(F.col("add_bits"), i))).drop("add_bits")
+
+
+def fit_listwise(
+    train: DataFrame, predictors: Predictors, spec: PanelSpec, negatives: int | None = None,
+    trees: int = 100, depth: int = 8, bins: int = 64, least: float = 1.0,
+) -> ListwiseRanker:
+    """Trees that follow the NDCG-weighted pair gradients of each row's candidates."""
+    rows = train.filter(F.col("add_bits") != 0)
+    prepared, vectors, width = _vectors(rows, predictors, "prev_bits", "add_bits")
+    binning = boosting.fit_binning(vectors, "x", width, bins)
+    lists = ranking_lists(vectors, spec, spec.negatives if negatives is None else negatives, "entity", "period", "x")
+    packed = boosting.examples(lists, binning, "x", F.col("labels"), F.col("items"))
+    growth = Growth(rounds=trees, depth=depth, least=least, seed=SEED)
+    fitted = boosting.boost(packed, binning, 1, boosting.ndcg_gradients, growth, items=spec.n)
+    return ListwiseRanker(prepared, predictors, fitted)
+
+
+def score_listwise(ranker: ListwiseRanker, rows: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Scores for the whole catalogue; no row per candidate leaves a task."""
+    made = ranker.model.transform(ready(rows, ranker.predictors))
+    vectors = made.select(*rows.columns, vector_to_array("features").alias("x"))
+    return boosting.candidate_scores(ranker.trees, vectors, "x", range(spec.n)).drop("x")
+
+
 # --- sequence model --------------------------------------------------------------------
 
 @dataclass(frozen=True)

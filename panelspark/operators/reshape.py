@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelspark.functions import has_item, held_names, item_numbers, pseudo_random, tenure_of
@@ -69,15 +69,8 @@ def explode_open(features: DataFrame, spec: PanelSpec, keep: Sequence[str] = KEY
     )
 
 
-def ranking_groups(
-    features: DataFrame, spec: PanelSpec, negatives: int = 6, keep: Sequence[str] = KEYS
-) -> DataFrame:
-    """Every add plus up to ``negatives`` sampled open items, for rows with at least one add.
-
-    A group is one row's catalogue, so the sample is drawn inside the row: the open items
-    are ordered by a repeatable hash and the first few kept.  No window, no shuffle.
-    """
-    carried = list(dict.fromkeys([*keep, "entity", "period", "prev_bits", "add_bits"]))
+def group_candidates(spec: PanelSpec, negatives: int) -> Column:
+    """Every add and up to ``negatives`` sampled open items of a row."""
     idle = F.bitwise_not(F.col("prev_bits").bitwiseOR(F.col("add_bits")))
     drawn = F.array_sort(
         F.transform(
@@ -88,7 +81,19 @@ def ranking_groups(
         )
     )
     sampled = F.transform(F.slice(drawn, 1, negatives), lambda x: x["i"])
-    candidates = F.concat(item_numbers(F.col("add_bits"), spec.n), sampled)
+    return F.concat(item_numbers(F.col("add_bits"), spec.n), sampled)
+
+
+def ranking_groups(
+    features: DataFrame, spec: PanelSpec, negatives: int = 6, keep: Sequence[str] = KEYS
+) -> DataFrame:
+    """Every add plus up to ``negatives`` sampled open items, for rows with at least one add.
+
+    A group is one row's catalogue, so the sample is drawn inside the row: the open items
+    are ordered by a repeatable hash and the first few kept.  No window, no shuffle.
+    """
+    carried = list(dict.fromkeys([*keep, "entity", "period", "prev_bits", "add_bits"]))
+    candidates = group_candidates(spec, negatives)
     return (
         features.filter(F.col("add_bits") != 0)
         .select(*carried)

@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelspark.functions import ap_at_k_bits, micro, names_of
-from panelspark.operators import clean, drop, encode, metrics, rankers, reshape, split
+from panelspark.operators import boosting, clean, drop, encode, metrics, rankers, reshape, split
 from panelspark.operators import recommend as rec
 from panelspark.operators.encode import COUNTERS, Predictors
 from panelspark.operators.trajectory import LENGTH
@@ -104,7 +104,7 @@ def als_of(d: Data, train):
 @query("p3_als_model", "ab")
 def _(d: Data):
     """Item factors of the fitted model."""
-    factors = als_of(d, materialize(d.parts.train)).itemFactors
+    factors = als_of(d, materialize(d.parts.train)).model.itemFactors
     return factors.select(F.col("id").alias("idx"), F.array_join("features", ",").alias("factors"))
 
 
@@ -151,12 +151,46 @@ def _(d: Data):
 
 
 @query("p12_ranker_model", "ab")
+def _(d: Data):
+    part = parts(model_table(d), d)
+    ranker = rankers.fit_listwise(part.train, predictors(d), d.spec)
+    return list_report(rankers.score_listwise(ranker, part.measured, d.spec), d)
+
+
+@query("p12_linear_ranker_model", "ab")
 def _(d: Data):
     part = parts(model_table(d), d)
     ranker = rankers.fit_ranker(part.train, d.spec)
     return list_report(rankers.score_ranker(ranker, part.measured), d)
 
 
+ROOT_COUNTS = ("n_prev", "adds_recent", "drops_recent", "history", "season")
+ROOT_CUTS = tuple(float(c) for c in range(31))  # counts from 31 on share the last bin
+
+
+@query("p8_gradient_sums", "ab")
+def _(d: Data):
+    """What the first split of every item's first tree is chosen from."""
+    names = (*ROOT_COUNTS, *encode.held_names_of(d.spec))
+    held = encode.held_flags(d.parts.train, d.spec)
+    adds = reshape.explode_adds(held, d.spec, keep=("entity", "period", *names))
+    vectors = adds.withColumn("x", F.array(*[F.col(c).cast("double") for c in names]))
+    binning = boosting.Binning((ROOT_CUTS,) * len(names))
+    rows = boosting.examples(vectors, binning, "x", F.array("idx"), outputs=d.spec.n)
+    sums = boosting.root_sums(materialize(rows), binning, d.spec.n, boosting.softmax_gradients)
+    label = [F.get(F.array(*[F.lit(v) for v in values]), c) for values, c in ((d.spec.items, "tree"), (names, "feature"))]
+    return sums.select(label[0].alias("item"), label[1].alias("feature"), "bin", "gradient", "hessian")
+
+
+@query("p12_lambdas", "ab")
+def _(d: Data):
+    """Gradients of the listwise ranker that starts from conditional add rates, per candidate of t-1 and t."""
+    lists = rankers.ranking_lists(d.by_rates, d.spec, d.spec.negatives, "entity", "period", "scores")
+    started = lists.withColumn("start", F.transform("items", lambda i: F.get("scores", i)))
+    item = F.get(F.array(*[F.lit(v) for v in d.spec.items]), "idx").alias("item")
+    return boosting.listed_gradients(started).select("entity", "period", item, "label", "gradient", "hessian")
+
+
 @query("p14_profile_only_model", "b")
 def _(d: Data):
     """No item column and no history: what can be said about a newcomer."""
@@ -211,9 +245,7 @@ def _(d: Data):
 
 @query("b3_leakage_control_model", "ab")
 def _(d: Data):
-    table = model_table(d)
-    item = "purchase" if "purchase" in d.spec.items else d.spec.items[0]
-    return drop.leakage_control(table, d.panel, d.spec.items.index(item), predictors(d), d.spec.measured)
+    return drop.leakage_control(model_table(d), d.panel, d.spec, predictors(d), d.spec.measured)
 
 
 def newest_rows(d: Data):

@@ -57,11 +57,9 @@ def _(d: Data):
 
 @query("p6_coverage_gap", "ab")
 def _(d: Data):
-    """Entities with adds in the train rows against everyone served, for the adds signal."""
+    """Entities with adds in the train rows against everyone served, for the signal of past holdings."""
     adders = d.parts.train.filter(F.col("n_adds") > 0)
-    known = reshape.interaction_counts(
-        d.parts.train.filter(F.col("period") >= d.spec.decision - 4), d.spec, "add"
-    )
+    known = reshape.interaction_counts(d.parts.train, d.spec, "held")
     return rec.coverage_gap(adders, d.parts.measured, known)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelspark.functions import names_of
-from panelspark.operators import business, drop, metrics, reshape
+from panelspark.operators import business, calibration, drop, metrics, reshape
 from panelspark.operators import recommend as rec
 from panelspark.registry.core import Data, query
 from panelspark.session import materialize
@@ -160,10 +160,35 @@ def _(d: Data):
     return drop.leakage_verdict(aucs)
 
 
-def rate_curve(d: Data):
+def curve_rows(d: Data):
     periods = list(range(d.spec.measured - 9, d.spec.measured + 1))
-    rows = d.features.filter(F.col("period") >= periods[0])
-    return drop.rate_drift_curve(rows, d.spec, periods)
+    return d.features.filter(F.col("period") >= periods[0]), d.spec, periods
+
+
+def rate_curve(d: Data):
+    return drop.rate_drift_curve(*curve_rows(d))
+
+
+@query("m4_auc_by_key", "ab")
+def _(d: Data):
+    """Twelve keys: six periods of a frozen and a refitted rate."""
+    return metrics.auc_by(drop.rate_drift_scores(*curve_rows(d)), ("period", "model"), "score", "label")
+
+
+@query("m5_pr_auc_by_key", "ab")
+def _(d: Data):
+    keys = ("period", "model")
+    counted = metrics.cumulative_by(drop.rate_drift_scores(*curve_rows(d)), keys, "score", "label")
+    return metrics.pr_auc(counted, keys).select(*keys, "positives", "rows", "pr_auc", "base_rate")
+
+
+@query("b2_isotonic", "ab")
+def _(d: Data):
+    """The calibration fitted on the drop rates of t-1, at the scores that occur there."""
+    decided = d.drop_scores.filter(F.col("period") == d.spec.decision)
+    points = materialize(calibration.calibration_points(decided, "p"))
+    fitted = calibration.calibration_map(calibration.isotonic_blocks(points))
+    return points.join(fitted, "point").select("point", "n", "pos", F.col("p").alias("calibrated"))
 
 
 @query("b7_drift_curve", "ab")

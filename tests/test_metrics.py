@@ -31,6 +31,30 @@ def scored(spark, rows):
     return spark.createDataFrame(rows, "p double, label int")
 
 
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_areas_of_every_key_against_brute_force(spark, ranges):
+    rng = random.Random(8)
+    rows = [(k, round(rng.random() ** (k + 1), 4), int(rng.random() < 0.3)) for k in range(12) for _ in range(3 if k == 5 else 80)]
+    rows += [(20, 0.5, 1), (20, 0.7, 1), (21, None, 0)]
+    df = spark.createDataFrame(rows, "k int, p double, label int")
+    counted = metrics.cumulative_by(df, ("k",), "p", "label", ranges)
+    aucs = {r.k: r.auc for r in metrics.roc_auc(counted, ("k",)).collect()}
+    areas = {r.k: r.pr_auc for r in metrics.pr_auc(counted, ("k",)).collect()}
+    assert set(aucs) == {*range(12), 20} and aucs[20] is None
+    for k in range(12):
+        mine = [(p, y) for key, p, y in rows if key == k]
+        if {y for _, y in mine} == {0, 1}:
+            assert aucs[k] == pytest.approx(brute_auc(mine), abs=1e-12)
+            assert areas[k] == pytest.approx(brute_ap(mine), abs=1e-4)
+
+
+def test_keyed_areas_have_no_window_over_a_key_alone(spark):
+    df = spark.createDataFrame([(1, 0.5, 1)], "k int, p double, label int")
+    plan = metrics.auc_by(df, ("k",), "p", "label")._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert windows and all("range#" in line.split("windowspecdefinition")[1] for line in windows)
+
+
 @pytest.mark.parametrize("digits", [1, 2, 6])
 @pytest.mark.parametrize("ranges", [1, 5, 64])
 def test_areas_against_brute_force(spark, digits, ranges):

@@ -96,7 +96,7 @@ def test_als_lists_and_unseen_entity(spark, parts):
     rows = {r.entity: r for r in lists.collect()}
     assert rows[0].recommended == []
     assert all(not (r.prev_bits >> i & 1) for r in rows.values() for i in r.recommended)
-    theirs = model.recommendForUserSubset(parts.measured.select("entity"), SPEC.n).collect()
+    theirs = model.model.recommendForUserSubset(parts.measured.select("entity"), SPEC.n).collect()
     for r in theirs:  # equal ratings may come in any order there, so ratings are compared
         rating = {x.idx: x.rating for x in r.recommendations}
         best = sorted((v for i, v in rating.items() if not rows[r.entity].prev_bits >> i & 1), reverse=True)
@@ -105,6 +105,33 @@ def test_als_lists_and_unseen_entity(spark, parts):
     assert factors.columns == ["entity", "als_0", "als_1", "als_2", "als_3"] and factors.count() == 239
 
 
+def test_als_of_any_entity_id(spark, parts):
+    base = reshape.interaction_counts(parts.train, SPEC)
+    kinds = {
+        "small": F.col("entity"), "large": F.col("entity") + (1 << 40), "text": F.format_string("id-%06d", "entity"),
+    }
+    found = {}
+    for name, entity in kinds.items():
+        model = rankers.fit_als(base.withColumn("entity", entity), rank=3)
+        assert (model.ids is None) == (name == "small")
+        assert rankers.user_factors(model, 3).schema["entity"].dataType == base.withColumn("e", entity).schema["e"].dataType
+        rows = parts.measured.withColumn("entity", entity)
+        lists = rankers.recommend_als(model, rows, SPEC).select("entity", "recommended", "scores").collect()
+        found[name] = [(r.recommended, r.scores) for r in sorted(lists, key=lambda r: r.entity)]
+    assert found["large"] == found["text"]
+    for (a, x), (b, y) in zip(found["small"], found["large"], strict=True):
+        assert a == b and x == pytest.approx(y, abs=1e-4)
+
+
+def test_dense_ids(spark):
+    from panelspark.operators.keys import dense_ids
+
+    df = spark.createDataFrame([(i % 700 * 10**12,) for i in range(2000)] + [(None,), (-5,)], "id long").repartition(5)
+    rows = dense_ids(df, "id").collect()
+    assert [r.number for r in sorted(rows, key=lambda r: r.id)] == list(range(701))
+    assert dense_ids(df.limit(0), "id").collect() == []
+
+
 def test_hybrid_takes_missing_vectors(parts, inputs):
     model = rankers.fit_als(reshape.interaction_counts(parts.train.filter("entity % 5 != 0"), SPEC), rank=2)
     joined = [df.join(rankers.user_factors(model, 2), "entity", "left") for df in (parts.train, parts.measured)]
@@ -133,6 +160,43 @@ def test_calibration_is_monotone_and_bounded(spark):
     assert scores.brier_p < scores.brier_p_raw
 
 
+def brute_isotonic(points):
+    """Largest over starts of the least over ends of the mean rate."""
+    out = []
+    for x in range(len(points)):
+        out.append(max(
+            min(sum(p for _, _, p in points[a : b + 1]) / sum(n for _, n, _ in points[a : b + 1]) for b in range(x, len(points)))
+            for a in range(x + 1)
+        ))
+    return out
+
+
+@pytest.mark.parametrize("seed,ranges,fan", [(1, 64, 8), (2, 5, 2), (3, 1, 8)])
+def test_isotonic_against_the_min_max_formula(spark, monkeypatch, seed, ranges, fan):
+    from panelspark.operators import calibration as cal
+
+    monkeypatch.setattr(cal, "RANGES", ranges)
+    monkeypatch.setattr(cal, "FAN", fan)
+    rng = random.Random(seed)
+    points = sorted({rng.randrange(0, cal.SCORE_GRID + 1) for _ in range(60)})
+    rows = [(g, n := rng.randrange(1, 9), min(n, int(n * g / cal.SCORE_GRID + 2 * rng.random()))) for g in points]
+    df = spark.createDataFrame(rows, "point long, n long, pos long").repartition(4)
+    found = {r.point: r.p for r in cal.calibration_map(cal.isotonic_blocks(df)).collect()}
+    assert len(found) == cal.SCORE_GRID + 1
+    want = brute_isotonic(rows)
+    assert [found[g] for g in points] == want
+    assert found[0] == want[0] and found[cal.SCORE_GRID] == want[-1]
+    i = next(i for i in range(len(want) - 1) if want[i] < want[i + 1] and points[i + 1] - points[i] > 1)
+    middle = (points[i] + points[i + 1]) // 2
+    assert want[i] < found[middle] < want[i + 1]
+
+
+def test_calibration_without_rows_or_scores(spark):
+    df = spark.createDataFrame([(0.2, 1), (None, 0)], "p_raw double, label int")
+    assert sorted(str(r.p) for r in drop.calibrate(df, df).collect()) == ["1.0", "None"]
+    assert {r.p for r in drop.calibrate(df.limit(0), df).collect()} == {None}
+
+
 def test_drop_plan(table):
     plan = run_drop(table, SPEC, trees=5)
     assert plan.scores.columns == ["entity", "item", "prob_drop", "prob_drop_raw"]
@@ -149,8 +213,11 @@ def test_purchase_plan(panel):
 
 
 def test_leakage_control_finds_the_answer(table, panel, inputs):
-    row = drop.leakage_control(table, panel, SPEC.items.index("c"), inputs, SPEC.measured, trees=5).first()
-    assert row.auc_leaked > 0.99 and row.verdict == "clean"
+    rows = {r["item"]: r for r in drop.leakage_control(table, panel, SPEC, inputs, SPEC.measured, trees=5).collect()}
+    assert rows["c"].auc_leaked > 0.99 and rows["c"].verdict == "clean"
+    assert rows["d"].auc_leaked > rows["d"].auc_clean and rows["d"].positives > 0
+    # nobody ever takes up a or b: one class, so there is nothing to judge
+    assert all(rows[i].verdict is None and rows[i].auc_clean is None for i in "ab" if i in rows)
 
 
 @pytest.mark.parametrize(

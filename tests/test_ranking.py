@@ -8,21 +8,22 @@ from panelspark.operators import fusion, metrics, split
 from panelspark.operators import features as feat
 from panelspark.operators import recommend as rec
 
-CASES = [
-    (["a", "b", "c"], ["a"], 1.0),
-    (["x", "y", "a"], ["a"], 1 / 3),
-    (["a", "x", "b"], ["a", "b"], 5 / 6),
-    (["x", "y"], ["a"], 0.0),
-    (["a"], [], 0.0),
-    ([], ["a"], 0.0),
-    (["a", "b"], ["a", "b", "c", "d", "e", "f", "g", "h", "i"], 2 / 7),
+CASES = [  # list, taken up, depth, and the value worked out
+    (["pen", "ink", "cap"], ["ink", "cap"], 7, (1 / 2 + 2 / 3) / 2),  # hits at 2 and 3
+    (["pen", "ink", "cap", "nib"], ["nib", "pen"], 3, (1 / 1) / 2),  # the second hit lies below the cut
+    (["pen", "ink"], ["cap", "nib", "box"], 7, 0.0),  # nothing found
+    (["box", "pen", "ink", "cap", "nib"], list(reversed(["box", "pen", "ink", "cap", "nib"])), 5, 1.0),  # all, in any order
+    (["pen", "ink", "cap"], ["cap", "cap", "cap"], 3, 1 / 3),  # a repeated item counts once
+    (["pen"], [], 4, 0.0),
+    ([], ["pen"], 4, 0.0),
+    (["pen", "ink"], ["pen", "ink", *(f"other{i}" for i in range(9))], 4, 2 / 4),  # at most the depth can be found
 ]
 
 
-@pytest.mark.parametrize("predicted,actual,expected", CASES)
-def test_ap_by_hand(spark, predicted, actual, expected):
+@pytest.mark.parametrize("predicted,actual,depth,expected", CASES)
+def test_ap_by_hand(spark, predicted, actual, depth, expected):
     df = spark.createDataFrame([(predicted, actual)], "p array<string>, a array<string>")
-    assert df.select(ap_at_k(F.col("p"), F.col("a"), 7)).first()[0] == pytest.approx(expected)
+    assert df.select(ap_at_k(F.col("p"), F.col("a"), depth)).first()[0] == pytest.approx(expected)
 
 
 def test_ap_on_bits_and_missing_list(spark):
@@ -115,3 +116,15 @@ def test_coverage_gap_warns(spark):
     ids = lambda *v: spark.createDataFrame([(x,) for x in v], "entity long")
     row = rec.coverage_gap(ids(1, 1, 2), ids(1, 2, 3, 4), ids(1, 2)).first()
     assert (row.train_pct, row.serve_pct, row.gap, row.warn) == (100.0, 50.0, 50.0, True)
+
+
+def test_old_holdings_count_as_covered(make_panel, small):
+    """Everyone who ever held something in train has a signal, however long ago."""
+    from panelspark.operators import reshape
+
+    states = {(e, p): "" for e in range(3) for p in range(6)}
+    states.update({(0, 0): "a", (1, 1): "b", (1, 2): "b", (2, 5): "c"})  # 2 takes up its first item in period 5
+    parts = split.split_three(feat.build_features(make_panel(states), small), small.measured)
+    known = reshape.interaction_counts(parts.train, small, "held")
+    row = rec.coverage_gap(parts.train.filter("n_adds > 0"), parts.measured, known).first()
+    assert (row.train_ids, row.train_covered, row.serve_ids, row.serve_covered) == (1, 1, 3, 2)
