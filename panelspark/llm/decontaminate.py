@@ -7,9 +7,13 @@ benchmark window. Fingerprints are joined and hits extended word by word on both
 hash collisions never count. Items shorter than a window are one window as a whole; they are
 found by the hash of their first words at every position.
 
+A first pass keeps the places of fingerprints that the benchmark has too, a second one reads the words
+around them in the documents that have any.
+
 Defined results: a null or empty text, or one without words, has no hits; one row per
 distinct (doc_id, text), so repeated rows count once; a null item_id is written as an empty
-text; items with equal words all count; an empty benchmark marks nothing.
+text; items with equal words all count; an empty benchmark marks nothing; texts are read whole, in time
+proportional to their words.
 """
 
 from __future__ import annotations
@@ -27,6 +31,7 @@ SPAN = GRAM + WINDOW - 1
 REACH = SPAN - GRAM  # words that a window can extend beyond a gram inside it
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 50_000  # fingerprints of the benchmark that are broadcast at most
+KEYS_BROADCAST = 500_000  # documents with a spot whose keys are broadcast at most
 
 
 def words_of(text: Column) -> Column:
@@ -137,25 +142,46 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     small = bench.count() <= BROADCAST_ROWS
 
     marked = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words_of(F.col("text")).alias("words"))
+    size = F.size("words").alias("n_words")
     # position -1 stands for the document itself, so that one pass gives its row and its hits
     itself = F.array(F.struct(F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("key")))
-    found = marked.select(
-        "doc_id", "text_key", "words",
-        F.explode(F.concat(itself, fingerprints(F.col("words"), short))).alias("f"),
-    ).select("doc_id", "text_key", F.size("words").alias("n_words"), "words", "f.pos", "f.key")
-    around = [
-        before(F.col("words"), F.col("pos")).alias("doc_before"),
-        F.slice("words", F.greatest(F.col("pos"), F.lit(0)) + 1, F.lit(SPAN)).alias("doc_from"),
-    ]
-    base = ["doc_id", "text_key", "n_words", "pos"]
+    prints = F.concat(itself, fingerprints(F.col("words"), short)) if small else fingerprints(F.col("words"), short)
+    # the size is taken before the explode, or each fingerprint would carry all words
+    found = marked.select("doc_id", "text_key", size, prints.alias("prints"))
+    found = found.select("doc_id", "text_key", "n_words", F.explode("prints").alias("f")).select("doc_id", "text_key", "n_words", "f.pos", "f.key")
+    keys = bench.select("key").distinct()
     if small:
-        met = found.join(F.broadcast(bench), "key", "left").where("pos = -1 or item is not null")
-        met = met.select(*base, "item", "before", "mid", "after", "need", *around)
+        known = F.broadcast(keys.withColumn("known", F.lit(True)))
+        spots = found.join(known, "key", "left").where("pos = -1 or known").drop("known")
     else:
-        met = found.where("key is not null").select(*base, "key", *around).join(bench, "key")
-        alone = marked.select("doc_id", "text_key", F.size("words").alias("n_words"), F.lit(-1).alias("pos"))
-        met = met.unionByName(alone, allowMissingColumns=True)
-    return by_document(met)
+        alone = marked.select("doc_id", "text_key", size, F.lit(-1).alias("pos"))
+        spots = found.join(keys, "key", "left_semi").unionByName(alone, allowMissingColumns=True)
+    spots = saved(spots.select("doc_id", "text_key", "n_words", "pos", "key"), "spots")
+    near = surroundings(docs, spots.where("pos >= 0"))
+    met = near.join(F.broadcast(bench) if small else bench, "key")
+    return by_document(met.unionByName(spots.where("pos = -1"), allowMissingColumns=True))
+
+
+def surroundings(docs: DataFrame, spots: DataFrame) -> DataFrame:
+    """The spots with the words around them, cut inside the document's row.
+
+    Only documents with a spot are read again, and no row leaves with more than the few
+    words of one spot, so a text costs time in proportion to its length.
+    """
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.xxhash64("text") == F.col("__key"))
+    of = spots.groupBy(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "n_words").agg(
+        F.collect_set(F.struct("pos", "key")).alias("spots")  # at most one a word and class of short items
+    )
+    asked = saved(of, "spots-by-text")
+    only = asked.select("__doc", "__key")
+    wanted = docs.select("doc_id", "text").join(F.broadcast(only) if only.count() <= KEYS_BROADCAST else only, same, "left_semi")
+    wanted = wanted.join(asked, same)
+    cut = let(words_of(F.col("text")), lambda words: F.transform("spots", lambda s: F.struct(
+        s["pos"].alias("pos"), s["key"].alias("key"), before(words, s["pos"]).alias("doc_before"),
+        F.slice(words, s["pos"] + 1, F.lit(SPAN)).alias("doc_from"),
+    )))
+    each = wanted.select("doc_id", F.col("__key").alias("text_key"), "n_words", F.explode(cut).alias("s"))
+    return each.select("doc_id", "text_key", "n_words", "s.*")
 
 
 def by_document(met: DataFrame) -> DataFrame:
@@ -191,9 +217,6 @@ def by_document(met: DataFrame) -> DataFrame:
     )
 
 
-KEYS_BROADCAST = 500_000  # contaminated documents whose keys are broadcast at most
-
-
 def without_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Rows of docs without a benchmark window; all columns stay."""
     bad = saved(contamination(docs, items).where("contaminated").select("doc_id", "text_key"), "contaminated")

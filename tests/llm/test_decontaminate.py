@@ -71,6 +71,20 @@ def test_empty_tables_and_repeated_rows(spark, docs_of):
     assert d.contamination(docs_of([(1, "a"), (1, "a"), (None, "a")]), none).count() == 2
 
 
+def test_time_grows_with_the_words_of_one_text(spark, docs_of):
+    from time import perf_counter
+
+    bench = spark.createDataFrame([(1, " ".join(f"b{i}" for i in range(40)))], "item_id long, text string")
+    took = {}
+    for n in (1_000, 160_000, 320_000):
+        body = " ".join(f"w{i % 977}x{i % 1009}" for i in range(n)) + " " + " ".join(f"b{i}" for i in range(30))
+        start = perf_counter()
+        row = d.contamination(docs_of({1: body}), bench).first()
+        took[n] = perf_counter() - start
+        assert (row.n_words, row.n_hit, row.n_items) == (n + 30, 30, 1)
+    assert took[320_000] < 3 * took[160_000]
+
+
 def test_no_python_in_the_plan(spark, docs_of):
     plan = d.contamination(docs_of({1: "a"}), spark.createDataFrame([(1, "a")], "item_id long, text string"))
     text = plan._jdf.queryExecution().executedPlan().toString()
