@@ -22,6 +22,13 @@ def split_two(df: DataFrame, measured: int) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("period") < measured), df.filter(F.col("period") == measured)
 
 
+def split_at(df: DataFrame, cutoff: DataFrame) -> DataFrame:
+    """Rows up to the period of a one-row table, with their ``part``: train before it, measured in it."""
+    known = F.broadcast(cutoff.select(F.col("period").alias("measured_period")))
+    part = F.when(F.col("period") < F.col("measured_period"), "train").otherwise("measured")
+    return df.join(known, F.col("period") <= F.col("measured_period")).withColumn("part", part).drop("measured_period")
+
+
 def split_three(df: DataFrame, measured: int, lookback: int | None = None) -> ThreeWay:
     """Train before t-1 (optionally only the last periods), decide on t-1, measure on t."""
     decision = measured - 1

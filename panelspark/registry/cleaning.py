@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelspark.operators import clean, layout, metrics
+from panelspark.operators import clean, layout, metrics, split
 from panelspark.registry.core import Data, query
 from panelspark.session import new_shared_folder
-from panelspark.sources import files
+from panelspark.sources import files, panels
 from panelspark.sources.panels import MISSING_PRIORITY
 
 
@@ -53,6 +53,70 @@ def _(d: Data):
     return files.read_period(d.spark, path, d.spec.measured)
 
 
+MEASURED_DATE = {"daily": "2024-01-30", "quarterly": "2001-05-15"}
+
+
+@query("s4_period_by_date", "ab")
+def _(d: Data):
+    """The panel written by period; a date says which one is read."""
+    path = new_shared_folder(d.spark, "panel")
+    files.write_by_period(d.panel, path)
+    calendar = panels.period_calendar(d.spark, d.folder, d.spec)
+    return files.read_period_on(d.spark, path, calendar, MEASURED_DATE[d.spec.name]).select("entity", "period", "held", "activity")
+
+
+@query("t1_split_by_date", "ab")
+def _(d: Data):
+    cutoff = files.period_on(panels.period_calendar(d.spark, d.folder, d.spec), MEASURED_DATE[d.spec.name])
+    return split.split_at(d.features, cutoff).select("entity", "period", "part")
+
+
+CSV_COLUMNS = ("customer", "name", "segment", "balance")
+
+
+def csv_scan(d: Data):
+    """Customers as CSV lines with quoted commas and quotes, one in 41 broken, and what the scan makes of them."""
+    key = F.col("c_custkey")
+    quoted = F.concat(F.lit('"'), F.col("c_name"), F.lit(', ""'), F.col("c_mktsegment"), F.lit('"""'))
+    whole = F.concat_ws(",", key.cast("string"), quoted, F.col("c_mktsegment"), F.floor(F.col("c_acctbal")).cast("string"))
+    short = F.concat_ws(",", key.cast("string"), F.col("c_name"))
+    long = F.concat(whole, F.lit(",more,fields"))
+    rest = F.pmod(key, F.lit(41))
+    lines = d.table("customer").select(F.when(rest == 7, short).when(rest == 9, long).otherwise(whole).alias("value"))
+    path = new_shared_folder(d.spark, "csv")
+    lines.write.text(path)
+    return files.scan_snapshots_csv(d.spark, path, CSV_COLUMNS, header=False)
+
+
+@query("s1_csv_scan")
+def _(d: Data):
+    accepted, rejected = csv_scan(d)
+    empty = [F.lit(None).cast("string").alias(c) for c in CSV_COLUMNS]
+    return accepted.withColumn(files.REJECTED, F.lit(None).cast("string")).unionByName(rejected.select(*empty, files.REJECTED))
+
+
+@query("s9_scan_reconciliation")
+def _(d: Data):
+    """Lines read, rows written and lines rejected of the scan, the rows counted where they were written."""
+    accepted, rejected = csv_scan(d)
+    path = new_shared_folder(d.spark, "accepted")
+    accepted.write.parquet(path)
+    return files.scan_reconciliation(accepted, rejected, files.read_panel(d.spark, path))
+
+
+@query("o3_enrich_group_mean_salted")
+def _(d: Data):
+    customer = d.table("customer", "c_custkey", "c_nationkey", "c_acctbal")
+    return layout.enrich_group_mean(customer, "c_nationkey", "c_acctbal", strategy="salted")
+
+
+@query("o1_hot_keys")
+def _(d: Data):
+    """Event types that fill more than a quarter of an even task out of two, as the sketch finds them."""
+    hot = layout.hot_keys(d.table("events", "event_type"), "event_type", 2)
+    return hot.select("event_type", (F.col("cuts") > 0).alias("hot"))
+
+
 @query("s9_row_reconciliation")
 def _(d: Data):
     return files.row_reconciliation(d.table("orders"), clean_orders(d))

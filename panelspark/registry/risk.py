@@ -141,6 +141,32 @@ def _(d: Data):
     )
 
 
+def sink_buckets(d: Data) -> int:
+    return int(d.spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@query("s5_purchase_sink", "ab")
+def _(d: Data):
+    """The purchase table as its consumer reads it, after the write."""
+    written = exports.write_bucketed(exports.export_purchase_scores(portfolio(d), d.spec), "purchase_scores", sink_buckets(d))
+    return written.withColumn("recommended", F.array_join("recommended", ","))
+
+
+@query("s6_drop_sink", "ab")
+def _(d: Data):
+    return exports.write_bucketed(exports.export_drop_scores(measured_drops(d)), "drop_scores", sink_buckets(d))
+
+
+@query("s7_serving_profile", "b")
+def _(d: Data):
+    """The serving extract from the written sinks, with the customers' profile columns."""
+    d = d.written()
+    purchase = exports.write_bucketed(exports.export_purchase_scores(portfolio(d), d.spec), "purchase_scores", sink_buckets(d))
+    drops = exports.write_bucketed(exports.export_drop_scores(measured_drops(d)), "drop_scores", sink_buckets(d))
+    extract = exports.serving_extract(purchase, drops, d.parts.measured, d.spec, 100, d.profile)
+    return extract.withColumns({c: F.array_join(c, ",") for c in ("recommended", "held")})
+
+
 @query("b3_leakage_verdict", "ab")
 def _(d: Data):
     """Negative control on the conditional rate of one item: its score against the answer itself."""

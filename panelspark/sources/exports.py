@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelspark.functions import held_names, names_of
 from panelspark.operators.business import client_risk, with_risk
+from panelspark.session import new_shared_folder
 from panelspark.spec import PanelSpec
 
 
@@ -29,11 +32,12 @@ def export_drop_scores(scored: DataFrame, calibrated: str = "p", raw: str = "p_i
 
 
 def serving_extract(
-    purchase: DataFrame, drops: DataFrame, features: DataFrame, spec: PanelSpec, n: int
+    purchase: DataFrame, drops: DataFrame, features: DataFrame, spec: PanelSpec, n: int,
+    profile: DataFrame | None = None,
 ) -> DataFrame:
-    """Top n by purchase score, with the riskiest item's risk, holdings and profile counters.
+    """Top n by purchase score, with the riskiest item's risk, holdings, counters and profile columns.
 
-    The top n is taken before the joins: neither join can change it, and both then have an
+    The top n is taken before the joins: no join can change it, and all then have an
     n-row side.
     """
     top = purchase.orderBy(F.desc("prob_buy"), "entity").limit(n)
@@ -43,7 +47,22 @@ def serving_extract(
         "entity", "n_prev", "prev_activity", "history",
         held_names(F.col("prev_bits"), spec.items).alias("held"),
     )
-    return with_risk(top, risk).join(context, "entity", "left")
+    extract = with_risk(top, risk).join(context, "entity", "left")
+    if profile is None:
+        return extract
+    return extract.join(profile.join(wanted, "entity", "left_semi"), "entity", "left")
+
+
+def write_bucketed(df: DataFrame, name: str, buckets: int = 64, key: str = "entity") -> DataFrame:
+    """Write a table in buckets of the key and read it back.
+
+    Consumers that join two such tables of equal bucket count by the key need no exchange.
+    """
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.mode("overwrite").bucketBy(buckets, key).sortBy(key)
+    writer.option("path", new_shared_folder(spark, name)).saveAsTable(table)
+    return spark.table(table)
 
 
 def write_table(df: DataFrame, path: str) -> None:

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelspark.session import materialize
+
 
 def read_snapshots_csv(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
     """Raw snapshots, every column as text by an explicit schema.
@@ -25,6 +27,42 @@ def read_snapshots_csv(spark: SparkSession, path: str, columns: Sequence[str]) -
     )
 
 
+REJECTED = "rejected_line"
+
+
+def scan_snapshots_csv(
+    spark: SparkSession, path: str, columns: Sequence[str], header: bool = True
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, rejected lines): a line with too few or too many fields is kept as text.
+
+    The scan is written once with all columns, because a scan of some columns would not
+    see that a line is broken.
+    """
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, REJECTED)])
+    read = (
+        spark.read.schema(schema)
+        .option("header", header).option("quote", '"').option("escape", '"')
+        .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", REJECTED)
+        .csv(path)
+    )
+    stored = materialize(read, "scan")
+    accepted = stored.filter(F.col(REJECTED).isNull()).drop(REJECTED)
+    return accepted, stored.filter(F.col(REJECTED).isNotNull()).select(REJECTED)
+
+
+def scan_reconciliation(accepted: DataFrame, rejected: DataFrame, written: DataFrame) -> DataFrame:
+    """Lines read, rows written, lines rejected, and whether they add up, as one row."""
+    sides = [(accepted, "accepted"), (rejected, "rejected"), (written, "written")]
+    counts = None
+    for df, name in sides:
+        one = df.agg(F.count("*").alias(name)).withColumn("one", F.lit(1))
+        counts = one if counts is None else counts.join(F.broadcast(one), "one")
+    return counts.select(
+        (F.col("accepted") + F.col("rejected")).alias("read"), "written", "rejected",
+        (F.col("accepted") == F.col("written")).alias("equal"),
+    )
+
+
 def write_by_period(
     df: DataFrame, path: str, column: str = "period"
 ) -> None:
@@ -43,6 +81,22 @@ def read_period(spark: SparkSession, path: str, period, column: str = "period")
     return spark.read.parquet(path).filter(F.col(column) == period)
 
 
+def read_period_on(spark: SparkSession, path: str, calendar: DataFrame, date: str, column: str = "period") -> DataFrame:
+    """The period that ``calendar`` (period, first, last) has for a date.
+
+    The period becomes known when the query runs; only its folder is read then (dynamic
+    partition pruning).
+    """
+    return spark.read.parquet(path).join(F.broadcast(period_on(calendar, date, column)), column)
+
+
+def period_on(calendar: DataFrame, date: str, column: str = "period") -> DataFrame:
+    """One row: the newest period that starts on or before a date and has not ended before it; none if there is no such."""
+    day = F.lit(date).cast("date")
+    inside = calendar.filter((F.col("first") <= day) & (F.col("last") >= day))
+    return inside.groupBy().agg(F.max(column).alias(column)).filter(F.col(column).isNotNull())
+
+
 def row_reconciliation(source: DataFrame, written: DataFrame) -> DataFrame:
     """Both row counts and whether they agree, as one row."""
     def sized(df, name):

@@ -87,6 +87,16 @@ def build_panel(spark: SparkSession, folder: str, spec: PanelSpec) -> DataFrame:
     return {DAILY.name: daily_panel, QUARTERLY.name: quarterly_panel}[spec.name](spark, folder)
 
 
+def period_calendar(spark: SparkSession, folder: str, spec: PanelSpec) -> DataFrame:
+    """(period, first, last): the days that occur in each period of the raw rows."""
+    name, column, unit, origin = {
+        DAILY.name: ("events", "ts", "day", DAY_ZERO), QUARTERLY.name: ("orders", "o_orderdate", "quarter", YEAR_ZERO),
+    }[spec.name]
+    day = F.col(column).cast("date")
+    rows = table(spark, folder, name, column).select(period_index(F.col(column), unit, origin).alias("period"), day.alias("day"))
+    return rows.groupBy("period").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+
+
 def customer_profile(spark: SparkSession, folder: str) -> DataFrame:
     """Static attributes of the quarterly panel's entities; a negative balance is the sentinel."""
     customer = table(
