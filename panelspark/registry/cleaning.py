@@ -122,14 +122,20 @@ def _(d: Data):
     return files.row_reconciliation(d.table("orders"), clean_orders(d))
 
 
+def price_as_decimal(rows):
+    """The price's text with two digits, however the engine prints a double; other text stays."""
+    number = F.expr("try_cast(price AS decimal(18,2))").cast("string")
+    return rows.withColumn("price", F.coalesce(number, "price"))
+
+
 @query("c1_trim_all")
 def _(d: Data):
-    return clean.trim_all(dirty_orders(d)).drop("price")
+    return price_as_decimal(clean.trim_all(dirty_orders(d)))
 
 
 @query("c2_null_markers")
 def _(d: Data):
-    return clean.null_markers(clean.trim_all(dirty_orders(d))).drop("price")
+    return price_as_decimal(clean.null_markers(clean.trim_all(dirty_orders(d))))
 
 
 @query("c3_typed")
@@ -148,6 +154,22 @@ def _(d: Data):
     return clean.null_audit(clean_orders(d), ["priority", "day", "price", "seniority"])
 
 
+@query("c6_item_columns")
+def _(d: Data):
+    """Columns found by a pattern with the rows that fill them, and whether a wrong count is an error."""
+    rows = d.table("lineitem")
+    found = clean.item_columns(rows, r"l_\w+key", 3)
+    try:
+        clean.item_columns(rows, r"l_\w+key", 24)
+        guarded = False
+    except ValueError:
+        guarded = True
+    filled = rows.agg(*[F.count(c).alias(c) for c in found])
+    return filled.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("rows")) for c in found])),
+    ).withColumn("guarded", F.lit(guarded))
+
+
 @query("c7_flag_missing", "b")
 def _(d: Data):
     return clean.flag_missing(profiled(d), ["income", "prev_activity"]).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from panelspark.functions import bits_of, has_item, tenure_of
 from panelspark.operators import features as feat
 from panelspark.operators import reshape, trajectory
 from panelspark.registry.core import Data, query
+from panelspark.session import materialize
 
 
 def joined(array: Column) -> Column:
@@ -194,3 +197,21 @@ def _(d: Data):
         train.select("entity", "period", F.lit("train").alias("part"))
         .unionByName(test.select("entity", "period", F.lit("test").alias("part")))
     )
+
+
+@query("w12_panel_guards", "ab")
+def _(d: Data):
+    """Rows that the guard accepts, and whether it refuses the same rows under a catalogue of one item."""
+    rows = materialize(d.features)
+
+    def refused(spec) -> bool:
+        try:
+            feat.check_panel(rows, spec)
+        except ValueError:
+            return True
+        return False
+
+    one = replace(d.spec, items=d.spec.items[:1])
+    return rows.agg(F.count("*").alias("rows")).withColumns(
+        {"accepted": F.lit(not refused(d.spec)), "refused": F.lit(refused(one))}
+    )

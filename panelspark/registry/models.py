@@ -12,7 +12,8 @@ from panelspark.operators import recommend as rec
 from panelspark.operators.encode import COUNTERS, Predictors
 from panelspark.operators.trajectory import LENGTH
 from panelspark.registry.core import Data, query
-from panelspark.session import materialize
+from panelspark.session import materialize, new_shared_folder
+from panelspark.sources import exports
 
 CATEGORIES = ("segment", "province", "region")
 
@@ -97,6 +98,22 @@ def _(d: Data):
     return assembled(d, invalid="skip", with_one_hot=True, impute=False)
 
 
+@query("s8_model_reload", "ab")
+def _(d: Data):
+    """Scores of a fitted drop model before it is saved and after it is loaded again."""
+    long, inputs = drop_table(d)
+    part = parts(long, d)
+    model = drop.fit_drop_model(part.train, inputs, trees=3, depth=3)
+    path = new_shared_folder(d.spark, "model")
+    exports.save_model(model, path)
+    before, after = (
+        drop.score_binary(m, part.measured, inputs, name).select("entity", "item", name)
+        for m, name in ((model, "before"), (exports.load_model(path), "after"))
+    )
+    both = before.join(after, ["entity", "item"])
+    return both.agg(F.count("*").alias("rows"), F.bool_and(F.col("before") == F.col("after")).alias("equal"))
+
+
 def als_of(d: Data, train):
     return rankers.fit_als(reshape.interaction_counts(train, d.spec, "held"))
 

@@ -97,6 +97,29 @@ def _(d: Data):
     return both_cuts(with_drop_risk(d))
 
 
+SKETCH_ERROR = 0.02  # of a rank, far above the sketch's own bound
+
+
+@query("n3_sketch_cuts", "ab")
+def _(d: Data):
+    """Whether the sketched cuts of every period, and of all merged (-1), keep their rank error."""
+    scored = rec.client_propensity(d.by_rates).select("period", F.coalesce("prob_buy", F.lit(0.0)).alias("prob_buy"))
+    scored = materialize(scored)
+    sketches = materialize(business.score_sketches(scored, ["prob_buy"]))
+    asked = [500, 800, 950, 990]
+    cuts = business.sketch_cuts(sketches, ["prob_buy"], asked, by="period").unionByName(
+        business.sketch_cuts(sketches, ["prob_buy"], asked).withColumn("period", F.lit(-1))
+    )
+    rows = scored.unionByName(scored.withColumn("period", F.lit(-1)))
+    share = rows.join(F.broadcast(cuts), "period").groupBy("period", "score", "per_mille").agg(
+        (F.count_if(F.col("prob_buy") < F.col("cut")) / F.count("*")).alias("below"),
+        (F.count_if(F.col("prob_buy") <= F.col("cut")) / F.count("*")).alias("upto"),
+    )
+    rank = F.col("per_mille") / 1000
+    within = (F.col("below") - SKETCH_ERROR <= rank) & (rank <= F.col("upto") + SKETCH_ERROR)
+    return share.select("period", "score", "per_mille", within.alias("within"))
+
+
 @query("n4_quadrants", "ab")
 def _(d: Data):
     rows = with_drop_risk(d)
