@@ -60,15 +60,42 @@ def test_blocks_and_joins_beyond_their_bounds(docs_of, monkeypatch):
     monkeypatch.setattr(n, "BLOCK", 500)
     monkeypatch.setattr(n, "COLUMNS", 64)
     monkeypatch.setattr(n, "IDS_BROADCAST", -1)
+    monkeypatch.setattr(n, "STAR", 2)
+    monkeypatch.setattr(n, "EDGES", 20)
     texts = corpus()
     got = n.near_duplicates(docs_of(texts), 3, 85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute(texts, 3, 85)
 
 
-def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
-    got = {r.id: r.root for r in n.components(edges).collect()}
-    assert got == {i: 0 for i in range(1, 41)} | {101: 100}
+@pytest.mark.parametrize("edges_a_task", [500_000, 7])
+def test_components_of_a_chain(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(n, "EDGES", edges_a_task)
+    rows = [(i, i + 1) for i in range(40)] + [(100, 101), (7, 7), (60, 55), (60, 58)]
+    edges = spark.createDataFrame(rows, "a long, b long").repartition(6)
+    got = {r.node: r.root for r in n.components(edges).collect()}
+    assert got == {i: 0 for i in range(1, 41)} | {101: 100, 60: 55, 58: 55}
+    assert n.components(edges.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("partitions", [1, 6])
+def test_one_id_with_two_texts_in_an_open_star(docs_of, partitions):
+    rows = [(1, "a"), (2, "a x"), (7, "b"), (7, "a y"), (9, "b z"), (8, "a")]
+    got = n.near_duplicates(docs_of(rows).repartition(partitions), 3, 85).collect()
+    want = [(1, 1, 1, True), (2, 1, 2, True), (7, 1, 7, True), (7, 1, 7, True), (8, 1, 1, False), (9, 1, 9, True)]
+    assert sorted(map(tuple, got)) == want
+    body = [f"w{i}" for i in range(60)]
+    near = " ".join(body)
+    far = " ".join([*body[:30], "edit", *body[31:]])
+    rows = [(5, near), (5, "other words"), (6, far), (4, "other words"), (6, "third text here")]
+    got = sorted(map(tuple, n.near_duplicates(docs_of(rows).repartition(partitions), 3, 85).collect()))
+    assert sorted((i, c) for i, _, c, _ in got) == [(4, 4), (5, 4), (5, 5), (6, 5), (6, 6)]
+    kept = sorted((r.doc_id, r.text) for r in n.without_near_duplicates(docs_of(rows), 3, 85).collect())
+    assert kept == [(4, "other words"), (5, near), (6, "third text here")]
+
+
+def test_twins_of_the_leading_row(docs_of):
+    rows = [(3, "One two three"), (3, "one  two three"), (3, "one  two three"), (4, "ONE TWO THREE")]
+    assert n.without_near_duplicates(docs_of(rows)).count() == 1
 
 
 def test_one_row_of_each_group_stays(docs_of):
