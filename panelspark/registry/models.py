@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelspark.functions import ap_at_k_bits, micro, names_of
-from panelspark.operators import boosting, clean, drop, encode, metrics, rankers, reshape, split
+from panelspark.operators import boosting, calibration, clean, drop, encode, metrics, rankers, reshape, split
 from panelspark.operators import recommend as rec
 from panelspark.operators.encode import COUNTERS, Predictors
 from panelspark.operators.trajectory import LENGTH
@@ -297,3 +297,126 @@ def _(d: Data):
     long, inputs = drop_table(d)
     periods = split.first_periods(long)
     return drop.drift_curve(long, inputs, periods, window=4)
+
+
+# --- what every fitted model must keep, as rows that SQL can state ----------------------------
+
+def list_properties(scored, d: Data, probabilities: bool = True):
+    """Rows, held or repeated items in lists, wrong list lengths, and whether the scores are fit to rank."""
+    listed = rec.with_recommendation(scored, d.spec) if "recommended" not in scored.columns else scored
+    held = F.exists("recommended", lambda i: F.getbit("prev_bits", i) == 1)
+    open_items = d.spec.n - F.bit_count("prev_bits")
+    fit = F.size("scores") == d.spec.n
+    fit = fit & F.forall("scores", lambda v: (v >= 0) & (v <= 1 + 1e-9) if probabilities else ~F.isnan(v))
+    return listed.agg(
+        F.count("*").alias("rows"),
+        F.count_if(held | (F.size(F.array_distinct("recommended")) < F.size("recommended"))).alias("wrong_items"),
+        F.count_if(F.size("recommended") != F.least(F.lit(d.spec.k), open_items)).alias("wrong_length"),
+        F.bool_and(F.coalesce(fit, F.lit(False))).alias("scores_fit"),
+    )
+
+
+def multiclass_properties(d: Data, kind: str, inputs: Predictors | None = None):
+    part, inputs = parts(model_table(d), d), inputs or predictors(d)
+    fitted = rankers.fit_multiclass(part.train, inputs, d.spec, kind)
+    return list_properties(rankers.score_multiclass(fitted, part.measured, d.spec), d)
+
+
+@query("p3_als_factors", "ab")
+def _(d: Data):
+    """Items that have a factor, all of it nonnegative and of the wanted length."""
+    factors = als_of(d, materialize(d.parts.train)).model.itemFactors
+    good = (F.size("features") == rankers.ALS_RANK) & F.forall("features", lambda v: v >= 0)
+    return factors.select(F.col("id").alias("idx"), good.alias("good"))
+
+
+@query("p4_als_lists", "ab")
+def _(d: Data):
+    """Whether an entity of t gets a list at all, and whether it lists a held item."""
+    part = parts(model_table(d), d)
+    listed = rankers.recommend_als(als_of(d, part.train), part.measured, d.spec)
+    held = F.exists("recommended", lambda i: F.getbit("prev_bits", i) == 1)
+    return listed.select("entity", F.col("scores").isNotNull().alias("known"), held.alias("lists_held"))
+
+
+@query("p5_user_vectors", "ab")
+def _(d: Data):
+    vectors = rankers.user_factors(als_of(d, materialize(d.parts.train)))
+    good = F.forall(F.array(*rankers.factor_names()), lambda v: v >= 0)
+    return vectors.select("entity", good.alias("good"))
+
+
+@query("p7_forest_properties", "ab")
+def _(d: Data):
+    return multiclass_properties(d, "forest")
+
+
+@query("p8_boosted_properties")
+def _(d: Data):
+    return multiclass_properties(d, "boosted")
+
+
+@query("p9_hybrid_properties")
+def _(d: Data):
+    """The hybrid against the same model without factors: its lists hold to the same rules."""
+    table = model_table(d)
+    factors = rankers.user_factors(als_of(d, parts(table, d).train))
+    part = parts(materialize(table.join(factors, "entity", "left")), d)
+    fitted = rankers.fit_multiclass(part.train, predictors(d).plus(numeric=rankers.factor_names()), d.spec, "boosted")
+    return list_properties(rankers.score_multiclass(fitted, part.measured, d.spec), d)
+
+
+@query("p12_ranker_properties")
+def _(d: Data):
+    part = parts(model_table(d), d)
+    ranker = rankers.fit_listwise(part.train, predictors(d), d.spec)
+    return list_properties(rankers.score_listwise(ranker, part.measured, d.spec), d, probabilities=False)
+
+
+@query("p14_profile_only_properties", "b")
+def _(d: Data):
+    return multiclass_properties(d, "forest", Predictors(numeric=("season", "income"), categorical=CATEGORIES))
+
+
+@query("p15_sequence_properties", "ab")
+def _(d: Data):
+    table = clean.standardize(d.parts.train, d.features, ["adds_recent", "history"])
+    rows = materialize(rankers.sequence_inputs(table.filter(F.col("period") <= d.spec.measured), d.spec, LENGTH))
+    part = parts(rows, d)
+    fitted = rankers.fit_sequence(part.train, d.spec, LENGTH, static=("adds_recent", "history"))
+    return list_properties(rankers.score_sequence(fitted, part.measured, d.spec), d)
+
+
+@query("b1_drop_properties", "ab")
+def _(d: Data):
+    _, measured = drop_scored(d)
+    return measured.select("entity", "item", F.col("label").cast("int").alias("label"), F.col("p_raw").between(0, 1).alias("probability"))
+
+
+@query("b2_calibration_properties", "ab")
+def _(d: Data):
+    """Points of the map, steps downwards, and values outside [0, 1]."""
+    decision, _ = drop_scored(d)
+    found = materialize(calibration.calibration_map(calibration.isotonic_blocks(calibration.calibration_points(decision, "p_raw"))))
+    following = found.select((F.col("point") - 1).alias("point"), F.col("p").alias("next"))
+    return found.join(following, "point", "left").agg(
+        F.count("*").alias("points"), F.count_if(F.col("next") < F.col("p")).alias("downwards"),
+        F.count_if(~F.col("p").between(0, 1)).alias("outside"),
+    )
+
+
+@query("b4_missingness_properties", "b")
+def _(d: Data):
+    inputs = Predictors(numeric=COUNTERS, categorical=CATEGORIES)
+    summary = drop.missingness_model(newest_rows(d), "income", inputs)[0]
+    return summary.select("missing_rate", F.col("auc").between(0, 1).alias("auc_fit"), F.col("verdict").isNotNull().alias("judged"))
+
+
+@query("b5_importance_properties", "b")
+def _(d: Data):
+    """Every source column with its weight; they add up to one."""
+    inputs = Predictors(numeric=COUNTERS, categorical=CATEGORIES)
+    weights = drop.missingness_model(newest_rows(d), "income", inputs)[1]
+    return weights.agg(
+        F.count("*").alias("sources"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("whole"), F.count_if(F.col("importance") < 0).alias("negative")
+    )
