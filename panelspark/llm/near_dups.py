@@ -35,7 +35,7 @@ from panelspark.llm.common import Bounded, lowered, saved, with_columns, worker_
 PERMUTATIONS = 100
 ROWS = 5  # signature values in a band; 2 * PERMUTATIONS / ROWS bands
 CHUNK = 4096  # shingles hashed at once, bounds memory for very long texts
-IDS_BROADCAST = 500_000  # ids that are broadcast at most
+IDS_BROADCAST = 100_000  # ids that are broadcast at most, some 6 MB
 MIX = np.uint64(0x9E3779B97F4A7C15)  # fixed odd multiplier
 
 
