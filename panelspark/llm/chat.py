@@ -40,8 +40,9 @@ def rotate(turns: DataFrame, part_turns: int = PART) -> DataFrame:
         F.col("turn"),
         F.coalesce("role", F.lit("unknown")).alias("role"),
         F.concat(F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")), F.lit("<|end|>\n")).alias("said"),
-    ).distinct()
-    parts = clean.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "said"))).alias("turns"))
+    )
+    # repeated rows fall away where a part is put together, in the one shuffle of texts
+    parts = clean.groupBy("conv_id", "part").agg(F.array_sort(F.collect_set(F.struct("turn", "role", "said"))).alias("turns"))
     speakers = clean.where(F.col("role") != INSTRUCTIONS).groupBy("conv_id", "role").agg(F.lit(1).alias("one"))
     speakers = speakers.groupBy("conv_id").agg(F.array_sort(F.collect_list("role")).alias("speakers"))
     speakers = speakers.withColumnRenamed("conv_id", "conv")

@@ -88,7 +88,12 @@ def gram_ratios(counts: DataFrame, wanted: DataFrame) -> DataFrame:
     )
     alphabet = by_size.where("m = 1").count() + 1
     asked = wanted.select("gram", sizes).select("gram", "m", tail.alias("tail")).withColumn("context", F.expr("left(tail, m - 1)"))
-    met = asked.join(by_size, ["m", "tail"], "left").join(contexts, ["m", "context"], "left").na.fill(0)
+    met = asked.join(by_size, ["m", "tail"], "left")
+    # single characters share one context, so its one row goes to them
+    one, more = (contexts.where(c) for c in ("m = 1", "m > 1"))
+    met = met.where("m = 1").join(F.broadcast(one), ["m", "context"], "left").unionByName(
+        met.where("m > 1").join(more, ["m", "context"], "left")
+    ).na.fill(0)
     orders = met.groupBy("gram").agg(F.array_sort(F.collect_list(F.struct("m", *[c for c in met.columns if c.startswith(kinds)]))).alias("orders"))
 
     def chance(kind: str) -> Column:
@@ -113,7 +118,10 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
     counts = saved(counted(known.where("decided is not null and not calibrates")), "gram-counts")
     rest = known.where("decided is null").select("text", F.lit(None).cast("string").alias("kind"))
     trial = known.where("decided is not null and calibrates").select("text", F.col("decided").alias("kind"))
-    texts = saved(rest.unionByName(trial).groupBy("text", "kind").agg(F.count("*").alias("n")), "url-texts")
+    # dealt out before the write, or one task would read the small table and explode it alone
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = rest.unionByName(trial).groupBy("text", "kind").agg(F.count("*").alias("n"))
+    texts = saved(texts.repartition(parts, "text"), "url-texts")
     lines = texts.select("text", "kind", "n", grams_of(F.col("text")).alias("grams"))
     each = saved(
         lines.select("text", "kind", "n", F.size("grams").alias("size"), F.explode("grams").alias("gram"))

@@ -133,3 +133,75 @@ def test_unusable_vectors_ties_and_small_tables(spark):
     got = [(r.query_id, r.rank, r.vec_id, r.score) for r in neighbours(frame).orderBy("rank").collect()]
     assert got == [(0, 1, 3, 1.0), (0, 2, 5, 1.0)]
     assert neighbours(frame.where("false")).count() == 0 and neighbours(frame.where("vec_id = 0")).count() == 0
+
+
+def plain_verdicts(pages):
+    """Rules by hand, then Witten-Bell models counted character by character."""
+    import zlib
+    from collections import Counter
+    from math import floor, log
+
+    from panelspark.llm.url_filter import CALIBRATION_FOLDS, RULES
+
+    def split(url):
+        if not url or "://" not in url:
+            return "", ""
+        rest = url.split("://", 1)[1]
+        end = min([rest.find(c) for c in "/?#" if c in rest] + [len(rest)])
+        host, rest = rest[:end].lower(), rest[end:]
+        return host, rest[: min([rest.find(c) for c in "?#" if c in rest] + [len(rest)])]
+
+    def grams(text):
+        chars = ["\x01"] * 3 + list(text) + ["\x02"]
+        return ["".join(chars[i : i + 4]) for i in range(len(chars) - 3)]
+
+    known = {}
+    for i, url in pages:
+        host, path = split(url)
+        fits = [(len(h + p), v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        known[i] = (host + path, max(fits)[1] if fits else None, zlib.crc32(str(i).encode()) % CALIBRATION_FOLDS == 0)
+    count = {"allow": Counter(), "block": Counter()}
+    for text, decided, calibrates in known.values():
+        if decided and not calibrates:
+            for g in grams(text):
+                for m in range(1, 5):
+                    count[decided][g[4 - m :]] += 1
+    tails = set(count["allow"]) | set(count["block"])
+    alphabet = len({t for t in tails if len(t) == 1}) + 1
+
+    def chance(kind, g):
+        p = 1.0 / alphabet
+        for m in range(1, 5):
+            met = [count[kind][t] for t in tails if len(t) == m and t[:-1] == g[4 - m : -1] and count[kind][t]]
+            if met:
+                p = (count[kind][g[4 - m :]] + len(met) * p) / (sum(met) + len(met))
+        return p
+
+    def mean(text):
+        total = sum(floor((log(chance("allow", g)) - log(chance("block", g))) * 1e6 + 0.5) for g in grams(text))
+        return int(total / len(grams(text)))
+
+    found = {}
+    for kind in ("allow", "block"):
+        means = [mean(text) for text, decided, calibrates in known.values() if decided == kind and calibrates]
+        if means:
+            found[kind] = int(sum(means) / len(means))
+    cut = (found["allow"] + found["block"]) // 2 if len(found) == 2 else 0
+    return {i: decided or ("allow" if mean(text) >= cut else "block") for i, (text, decided, _) in known.items()}
+
+
+def test_models_equal_a_plain_version(spark):
+    draw = np.random.default_rng(12)
+    word = lambda letters: "".join(draw.choice(list(letters), draw.integers(2, 7)))
+    rows = [(i, f"http://{word('abcde')}.com/{word('abc')}/{word('abd')}") for i in range(40)]
+    rows += [(100 + i, f"http://{word('vwxyz')}.net/es/{word('xyz')}?q=1") for i in range(40)]
+    rows += [(200 + i, f"https://{word('abcdvwxyz')}.org/{word('abcxyz')}") for i in range(60)] + [(300, None), (301, "no scheme")]
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(rows, "page_id long, url string").repartition(3)).collect()}
+    assert got == plain_verdicts(rows) and len({got[200 + i] for i in range(60)}) == 2
+
+
+def test_clashing_columns_of_pages_and_turns(spark):
+    pages = spark.createDataFrame([(1, "http://a.com/x", "clash", "clash")], "page_id long, url string, host string, text string")
+    assert judge(pages).first().verdict == "allow"
+    turns = spark.createDataFrame([(1, 1, "user", "hi", "clash", 9)] * 2, "conv_id long, turn int, role string, text string, speaker string, part int")
+    assert [(r.speaker, r.n_turns, r.n_masked) for r in rotate(turns).collect()] == [("user", 1, 10)]
