@@ -6,6 +6,7 @@ fusion and the business layer.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -24,6 +25,7 @@ from panelspark.operators import boosting, trajectory
 from panelspark.operators.boosting import BoostedTrees, Growth
 from panelspark.operators.encode import Predictors, preprocess_stages, ready
 from panelspark.operators.keys import dense_ids
+from panelspark.operators.recommend import no_scores
 from panelspark.operators.reshape import explode_adds, group_candidates
 from panelspark.session import ensure_checkpoint_dir, materialize
 from panelspark.spec import PanelSpec
@@ -374,3 +376,17 @@ def fit_sequence(
 def score_sequence(fitted: SequenceModel, rows: DataFrame, spec: PanelSpec) -> DataFrame:
     scored = fitted.model.transform(rows)
     return scored.select(*rows.columns, _aligned(vector_to_array("probability"), spec).alias("scores"))
+
+
+# --- several models side by side -------------------------------------------------------
+
+def side_by_side(rows: DataFrame, spec: PanelSpec, scorers: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """Rows with ``scores_<name>`` of every model, the input of fusion and routing.
+
+    A scorer returns its rows with ``scores``; a row that a model knows nothing about ranks in
+    catalogue order.  The models add columns, so nothing is joined or multiplied.
+    """
+    for name, score in scorers.items():
+        made = score(rows)
+        rows = made.select(*rows.columns, F.coalesce("scores", no_scores(spec)).alias(f"scores_{name}"))
+    return rows

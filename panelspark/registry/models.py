@@ -7,7 +7,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from panelspark.functions import ap_at_k_bits, micro, names_of
-from panelspark.operators import boosting, calibration, clean, drop, encode, metrics, rankers, reshape, split
+from panelspark.operators import boosting, calibration, clean, drop, encode, fusion, metrics, rankers, reshape, split
 from panelspark.operators import recommend as rec
 from panelspark.operators.encode import COUNTERS, Predictors
 from panelspark.operators.trajectory import LENGTH
@@ -420,3 +420,76 @@ def _(d: Data):
     return weights.agg(
         F.count("*").alias("sources"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("whole"), F.count_if(F.col("importance") < 0).alias("negative")
     )
+
+
+# --- learnt models in fusion and routing ------------------------------------------------------
+
+LEARNT = ("popularity", "als", "forest", "pairwise")
+
+
+def learnt_rows(d: Data):
+    """Rows of t-1 and t with the scores of popularity and of models learnt before t-1, written once."""
+    table, inputs = model_table(d), predictors(d)
+    part = parts(table, d)
+    als, forest = als_of(d, part.train), rankers.fit_multiclass(part.train, inputs, d.spec, "forest")
+    pairwise = rankers.fit_ranker(part.train, d.spec)
+    rows = table.filter(F.col("period").isin(d.spec.decision, d.spec.measured))
+    scored = rankers.side_by_side(rec.with_model_scores(rows, part.train, d.spec), d.spec, {
+        "als": lambda r: rankers.score_als(als, r, d.spec),
+        "forest": lambda r: rankers.score_multiclass(forest, r, d.spec),
+        "pairwise": lambda r: rankers.score_ranker(pairwise, r),
+    })
+    return materialize(scored)
+
+
+def learnt_ap(d: Data, rows, models=LEARNT):
+    return fusion.ap_by_client(rows, models, d.spec, keep=("history", "n_prev"))
+
+
+@query("u3_learnt_winners_model", "ab")
+def _(d: Data):
+    ap = fusion.with_segment(learnt_ap(d, learnt_rows(d)), "history", fusion.HISTORY_BANDS)
+    return fusion.segment_winners(ap, ("period", "segment"))
+
+
+@query("u3_learnt_segments", "ab")
+def _(d: Data):
+    """Every segment is won by one of the models, counted on the clients it has."""
+    ap = fusion.with_segment(learnt_ap(d, learnt_rows(d)), "history", fusion.HISTORY_BANDS)
+    won = fusion.segment_winners(ap, ("period", "segment"))
+    return won.select("period", "segment", "clients", F.col("winner").isin(*LEARNT).alias("known"))
+
+
+@query("u4_learnt_route_model", "ab")
+def _(d: Data):
+    """The rule of t-1 over learnt models applied on t, and its gain over the best single one."""
+    ap = fusion.with_segment(learnt_ap(d, learnt_rows(d)), "n_prev", fusion.HOLDING_BANDS)
+    return fusion.routing_gain(ap, d.spec.measured)
+
+
+@query("e4_learnt_blend_model", "ab")
+def _(d: Data):
+    """Weights found on t-1 for the learnt models, and the blend's gain on t."""
+    rows = learnt_rows(d)
+    ranked = {p: fusion.with_rank_arrays(rows.filter(F.col("period") == p), LEARNT) for p in (d.spec.decision, d.spec.measured)}
+    chosen = fusion.search_weights(ranked[d.spec.decision], LEARNT, d.spec)
+    measured = ranked[d.spec.measured]
+    blended = rec.with_ap(fusion.blend_with(measured, chosen, LEARNT, d.spec), d.spec)
+    ap = fusion.ap_by_client(measured, LEARNT, d.spec).select("model", "ap_micro")
+    return fusion.blend_gain(ap.unionByName(blended.select(F.lit("blend").alias("model"), "ap_micro")))
+
+
+@query("p14_history_bands_model", "b")
+def _(d: Data):
+    """MAP per history band of the profile-only model, the whole forest and popularity, and who wins."""
+    table = model_table(d)
+    part = parts(table, d)
+    newcomer = Predictors(numeric=("season", "income"), categorical=CATEGORIES)
+    fitted = {name: rankers.fit_multiclass(part.train, p, d.spec, "forest") for name, p in (("profile", newcomer), ("forest", predictors(d)))}
+    rows = rec.with_model_scores(part.measured, part.train, d.spec)
+    scorers = {n: (lambda r, m=m: rankers.score_multiclass(m, r, d.spec)) for n, m in fitted.items()}
+    rows = materialize(rankers.side_by_side(rows, d.spec, scorers))
+    ap = fusion.with_segment(learnt_ap(d, rows, ("popularity", *fitted)), "history", fusion.HISTORY_BANDS)
+    means = split.mean_ap(ap, "segment", "model").select("segment", "model", "clients", "map")
+    best = fusion.segment_winners(ap).select("segment", F.col("winner").alias("model"), F.lit(True).alias("winner"))
+    return means.join(best, ["segment", "model"], "left").na.fill(False, ["winner"])
