@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from panelspark.functions import micro
 from panelspark.llm.common import ascii_lower, fold, saved
+from panelspark.llm.decontaminate import let
 
 # fixed values: (verdict, host, path)
 RULES = (
@@ -59,11 +60,10 @@ def ruled(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> Da
 def grams_of(text: Column) -> Column:
     """Each character, and the end, behind its three predecessors."""
     chars = F.concat(F.array(*[F.lit(START)] * (ORDER - 1)), F.split(text, ""), F.array(F.lit(END)))
-    chars = F.filter(chars, lambda c: c != "")
-    return F.transform(
-        F.slice(chars, F.lit(ORDER), F.size(chars)),
-        lambda _, i: F.concat(*[F.get(chars, i + j) for j in range(ORDER)]),
-    )
+    return let(F.filter(chars, lambda c: c != ""), lambda every: F.transform(
+        F.slice(every, F.lit(ORDER), F.size(every)),
+        lambda _, i: F.concat(*[F.get(every, i + j) for j in range(ORDER)]),
+    ))
 
 
 def counted(texts: DataFrame) -> DataFrame:
