@@ -14,10 +14,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ from panelspark.functions.fixedpoint import MICRO
 from panelspark.session import new_shared_folder
 
 CHUNK = 50_000  # examples whose gradients a task holds at once
-DIRECT = 64  # tasks whose arrays one group sums; more are summed in two steps
+PACK = 5_000  # examples of a stored row
+MOST = 500_000  # examples of a task, chunk after chunk
+DIRECT = 64  # tasks whose arrays one sum takes; more are summed in two steps
 
 
 @dataclass(frozen=True)
@@ -88,16 +92,20 @@ class Round:
 
     def places(self, x: np.ndarray, levels: int | None = None) -> np.ndarray:
         """Node of every example (row) in every tree (column)."""
-        rows, trees = np.arange(len(x))[:, None], np.arange(self.outputs)[None, :]
-        node = np.zeros((len(x), self.outputs), np.int32)
-        for _ in range(self.depth if levels is None else levels):
-            f = self.feature[trees, node]
-            inner = f >= 0
-            if not inner.any():
-                break
-            right = x[rows, np.where(inner, f, 0)] > self.cut[trees, node]
-            node = np.where(inner, 2 * node + 1 + right, node)
-        return node
+        flat, row = np.ascontiguousarray(x).ravel(), np.arange(len(x)) * x.shape[1]
+        out = np.zeros((self.outputs, len(x)), np.int32)
+        for k in range(self.outputs):
+            node, feature, cut = out[k], np.maximum(self.feature[k], 0), self.cut[k]
+            inner = self.feature[k] >= 0
+            for level in range(self.depth if levels is None else levels):
+                open_ = inner[2**level - 1 : 2 ** (level + 1) - 1]
+                if not open_.any():
+                    break
+                right = flat.take(row + feature.take(node)) > cut.take(node)
+                below = 2 * node + 1 + right
+                node = below if open_.all() else np.where(inner.take(node), below, node)
+            out[k] = node
+        return out.T
 
     def margins(self, x: np.ndarray) -> np.ndarray:
         return self.value[np.arange(self.outputs)[None, :], self.places(x)]
@@ -203,6 +211,10 @@ def examples(df: DataFrame, binning: Binning, vector: str, labels: Column, items
     return chosen.mapInPandas(pack, EXAMPLES)
 
 
+PARTS = ("bins", "labels", "sizes", "margins", "seeds")
+BLOCKS = ", ".join(f"{p} binary" for p in PARTS)
+
+
 @dataclass(frozen=True)
 class Block:
     """Rows of packed examples, one row of ``bins`` per candidate."""
@@ -214,30 +226,70 @@ class Block:
     seeds: np.ndarray
 
     @staticmethod
-    def of(frame: pd.DataFrame, outputs: int) -> Block:
-        sizes = np.array([len(y) for y in frame["labels"]], np.int64)
-        bins = np.frombuffer(b"".join(frame["x"]), np.uint8).reshape(len(frame), -1)
-        bins = np.repeat(bins, sizes, axis=0)
-        if frame["items"].notna().all():
-            bins = np.column_stack([bins, np.concatenate(frame["items"].to_list()).astype(np.uint8)])
+    def of(table: pa.Table, outputs: int) -> Block:
+        """From Arrow columns as they come: lists and bytes of a whole table are read in one piece."""
+        labels, items = (table.column(c).combine_chunks() for c in ("labels", "items"))
+        sizes = pc.list_value_length(labels).to_numpy(zero_copy_only=False).astype(np.int64)
+        bins = np.frombuffer(b"".join(table.column("x").to_pylist()), np.uint8).reshape(len(sizes), -1)
+        if (sizes != 1).any():
+            bins = np.repeat(bins, sizes, axis=0)
+        if not items.null_count:
+            bins = np.column_stack([bins, items.flatten().to_numpy(zero_copy_only=False).astype(np.uint8)])
+        return Block(
+            bins, labels.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes,
+            np.frombuffer(b"".join(table.column("margins").to_pylist()), float).reshape(-1, outputs), table.column("seed").to_numpy(),
+        )
+
+
+    def stored(self) -> pa.RecordBatch:
+        """One row of BLOCKS."""
+        arrays = (self.bins, self.labels.astype(np.int32), self.sizes.astype(np.int32), self.margins, self.seeds)
+        return pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(a).tobytes()], pa.binary()) for a in arrays], list(PARTS))
+
+    @staticmethod
+    def read(row: dict[str, bytes], outputs: int) -> Block:
+        labels = np.frombuffer(row["labels"], np.int32).astype(np.int64)
         return Block(
-            bins, np.concatenate(frame["labels"].to_list()).astype(np.int64), sizes,
-            np.frombuffer(b"".join(frame["margins"]), float).reshape(-1, outputs), frame["seed"].to_numpy(),
+            np.frombuffer(row["bins"], np.uint8).reshape(len(labels), -1), labels,
+            np.frombuffer(row["sizes"], np.int32).astype(np.int64),
+            np.frombuffer(row["margins"], float).reshape(-1, outputs), np.frombuffer(row["seeds"], np.int64),
         )
 
+    @staticmethod
+    def joined(blocks: list[Block]) -> Block:
+        return blocks[0] if len(blocks) == 1 else Block(*[np.concatenate([getattr(b, p) for b in blocks]) for p in PARTS])
+
+
+def blocked(rows: DataFrame, outputs: int) -> DataFrame:
+    """Packed examples as rows of about PACK examples, so that a level's scan copies bytes and reads no single rows."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                block = Block.of(pa.Table.from_batches([batch]), outputs)
+                ends, at = np.cumsum(block.sizes), 0
+                while at < len(ends):
+                    start = ends[at - 1] if at else 0
+                    to = max(int(np.searchsorted(ends, start + PACK, side="right")), at + 1)
+                    part, row = slice(start, ends[to - 1]), slice(at, to)
+                    yield Block(block.bins[part], block.labels[part], block.sizes[row], block.margins[part], block.seeds[row]).stored()
+                    at = to
+
+    return rows.mapInArrow(pack, BLOCKS)
 
-def chunks(frames: Iterator[pd.DataFrame], outputs: int) -> Iterator[Block]:
+
+def chunks(batches: Iterator[pa.RecordBatch], outputs: int) -> Iterator[Block]:
     """Blocks of about CHUNK examples across the batches of a task."""
     waiting, size = [], 0
-    for frame in frames:
-        if len(frame):
-            waiting.append(frame)
-            size += int(frame["labels"].map(len).sum())
-        if size >= CHUNK:
-            yield Block.of(pd.concat(waiting, ignore_index=True), outputs)
-            waiting, size = [], 0
+    for batch in batches:
+        for i in range(batch.num_rows):
+            block = Block.read({p: batch.column(p)[i].as_buffer() for p in PARTS}, outputs)
+            waiting.append(block)
+            size += len(block.labels)
+            if size >= CHUNK:
+                yield Block.joined(waiting)
+                waiting, size = [], 0
     if waiting:
-        yield Block.of(pd.concat(waiting, ignore_index=True), outputs)
+        yield Block.joined(waiting)
 
 
 def drawn(seeds: np.ndarray, growth: Growth, number: int) -> np.ndarray:
@@ -251,43 +303,124 @@ def drawn(seeds: np.ndarray, growth: Growth, number: int) -> np.ndarray:
 # --- growing -------------------------------------------------------------------------------
 
 SUMS = "tree int, node int, part int, sums binary"
+HELD = 2**25  # cells of sums that a task keeps before it hands them on
+
+
+@dataclass(frozen=True)
+class Cells:
+    """Where a predictor's bins lie in a packed row of sums, which has no room for bins that no value has."""
+
+    widths: tuple[int, ...]
+
+    @property
+    def starts(self) -> np.ndarray:
+        return np.concatenate([[0], np.cumsum(self.widths)])
+
+    @property
+    def bins(self) -> int:
+        return max(self.widths, default=1)
+
+    def spread(self, packed: np.ndarray, bins: int) -> np.ndarray:
+        """Sums of (..., cells) as (..., predictors, bins), missing bins being 0."""
+        out = np.zeros((*packed.shape[:-1], len(self.widths), bins), packed.dtype)
+        for f, (at, width) in enumerate(zip(self.starts, self.widths, strict=False)):
+            out[..., f, :width] = packed[..., at : at + width]
+        return out
+
+
+def cells_of(binning: Binning, items: int = 0) -> Cells:
+    return Cells((*[len(c) + 1 for c in binning.cuts], *([items] if items else [])))
+
+
+def node_sums(bins: np.ndarray, node: np.ndarray, nodes: int, grads: np.ndarray, cells: Cells) -> np.ndarray:
+    """(nodes, 2, cells) sums of the (rows, 2) ``grads`` by node, predictor and bin.
+
+    Whole numbers far below 2^53 are added, so doubles are exact.  A flag's bin 0 is what its bin 1
+    leaves of the node's total, and all flags' bins 1 are one product of matrices per node.
+    """
+    starts, widths = cells.starts, np.array(cells.widths)
+    size = int(starts[-1])
+    out = np.zeros((nodes, 2, size))
+    order = np.argsort(node.astype(np.uint16), kind="stable") if nodes > 1 else np.arange(len(node))
+    node, grads = node[order], np.ascontiguousarray(grads[order].T)
+    ends = np.searchsorted(node, np.arange(nodes + 1))
+    flags, wide = np.flatnonzero(widths <= 2), np.flatnonzero(widths > 2)
+    upper = flags[widths[flags] == 2]
+    seen = bins[:, upper].astype(float)[order] if len(upper) else None
+    for i, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
+        all_ = grads[:, low:high].sum(1)
+        out[i][:, starts[flags]] = all_[:, None]
+        if seen is not None and high > low:
+            out[i][:, starts[upper] + 1] = grads[:, low:high] @ seen[low:high]
+            out[i][:, starts[upper]] -= out[i][:, starts[upper] + 1]
+    base = node.astype(np.int64)
+    for f in wide:
+        width = int(widths[f])
+        index = base * width + bins[:, f][order]
+        for side in range(2):
+            found = np.bincount(index, grads[side], nodes * width)
+            out[:, side, starts[f] : starts[f] + width] = found.reshape(nodes, width)
+    return out
+
 
+def packed_sums(trees, nodes, parts, sums) -> pa.RecordBatch:
+    whole = [pa.array(np.asarray(c, np.int32)) for c in (trees, nodes, parts)]
+    return pa.RecordBatch.from_arrays([*whole, pa.array([s.tobytes() for s in sums], pa.binary())], ["tree", "node", "part", "sums"])
 
-def gradient_sums(rows: DataFrame, trees: Round, level: int, bins: int, gradients: Gradients, growth: Growth, number: int) -> DataFrame:
-    """(tree, node, part, sums): int64 arrays (2, predictors, bins) of a level's open nodes, per task."""
-    first_node = 2**level - 1
 
-    def add_up(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def gradient_sums(rows: DataFrame, trees: Round, level: int, cells: Cells, gradients: Gradients, growth: Growth, number: int) -> DataFrame:
+    """(tree, node, part, sums): int64 arrays (2, cells) of a level's open nodes, per task."""
+    first_node, size = 2**level - 1, int(cells.starts[-1])
+    level_nodes = np.arange(first_node, 2 * first_node + 1)
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for block in chunks(frames, trees.outputs):
-            width = block.bins.shape[1]
-            cell = block.bins.astype(np.int64) + np.arange(width) * bins
-            grads = gradients(block.margins, block.labels, block.sizes)
-            node = trees.places(block.bins, level)
-            chosen = np.repeat(drawn(block.seeds, growth, number), block.sizes)
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+        def handed_on() -> Iterator[pa.RecordBatch]:
+            for k, (open_, sums) in held.items():
+                packed = sums.astype(np.int64)
+                yield packed_sums(np.full(len(open_), k), open_ + first_node, np.full(len(open_), part), packed)
+            held.clear()
+
+        for block in chunks(batches, trees.outputs):
+            drawn_rows = drawn(block.seeds, growth, number)
+            chosen = np.repeat(drawn_rows, block.sizes)
+            bins = block.bins[chosen]
+            found = gradients(block.margins[chosen], block.labels[chosen], block.sizes[drawn_rows])
+            grads = np.stack(found, axis=2).astype(float)
+            node = trees.places(bins, level)
             for k in range(trees.outputs):
                 local = node[:, k] - first_node
-                at = np.flatnonzero(chosen & (local >= 0))
-                open_ = np.unique(local[at])
-                open_ = open_[trees.value[k, open_ + first_node] != CLOSED]
+                counts = np.bincount(local[local >= 0], minlength=len(level_nodes))
+                open_ = np.flatnonzero((counts > 0) & (trees.value[k, level_nodes] != CLOSED))
                 if not len(open_):
                     continue
-                number_of = np.full(2**level, -1)
+                number_of = np.full(len(level_nodes) + 1, -1)  # the last one for rows in leaves above
                 number_of[open_] = np.arange(len(open_))
-                at = at[number_of[local[at]] >= 0]
-                index = (number_of[local[at]][:, None] * (width * bins) + cell[at]).ravel()
-                sums = [  # whole numbers far below 2^53: exact in doubles
-                    np.bincount(index, np.repeat(g[at, k], width), len(open_) * width * bins).reshape(len(open_), -1)
-                    for g in grads
-                ]
-                packed = np.stack(sums, axis=1).astype(np.int64)
-                yield pd.DataFrame({
-                    "tree": k, "node": open_ + first_node, "part": part, "sums": [s.tobytes() for s in packed],
-                })
+                place = number_of[np.maximum(local, -1)]
+                if (place >= 0).all():
+                    made = node_sums(bins, place, len(open_), grads[:, k], cells)
+                else:
+                    at = np.flatnonzero(place >= 0)
+                    made = node_sums(bins[at], place[at], len(open_), grads[at, k], cells)
+                if k not in held:
+                    held[k] = open_, made
+                elif np.array_equal(held[k][0], open_):
+                    held[k][1][:] += made
+                else:
+                    every = np.union1d(held[k][0], open_)
+                    sums = np.zeros((len(every), 2, size))
+                    sums[np.searchsorted(every, held[k][0])] = held[k][1]
+                    sums[np.searchsorted(every, open_)] += made
+                    held[k] = every, sums
+            if sum(sums.size for _, sums in held.values()) > HELD:
+                yield from handed_on()
+        yield from handed_on()
 
-    return rows.mapInPandas(add_up, SUMS)
+    return rows.mapInArrow(add_up, SUMS)
 
 
 CLOSED = np.inf  # mark of a node that cannot be split, before it gets its value
@@ -300,53 +433,77 @@ def total(arrays: pd.Series) -> np.ndarray:
     return out
 
 
+def totals(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int, int], np.ndarray]:
+    """Sums by (tree, node, part) of a task that has all rows of its keys."""
+    found: dict[tuple[int, int, int], np.ndarray] = {}
+    for batch in batches:
+        for *key, sums in zip(*[batch.column(c).to_pylist() for c in ("tree", "node", "part", "sums")], strict=True):
+            key, more = tuple(key), np.frombuffer(sums, np.int64)
+            if key in found:
+                found[key] += more
+            else:
+                found[key] = more.copy()
+    return found
+
+
 def summed(sums: DataFrame, parts: int) -> DataFrame:
     """With many tasks, first sums of about the root of their number."""
     if parts <= DIRECT:
         return sums
     groups = math.isqrt(parts)
 
-    def add(group: pd.DataFrame) -> pd.DataFrame:
-        return group.iloc[:1].assign(sums=[total(group["sums"]).tobytes()])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = totals(batches)
+        if found:
+            yield packed_sums(*zip(*found, strict=True), found.values())
 
     dealt = sums.withColumn("part", (F.col("part") % groups).cast("int"))
-    return dealt.groupBy("tree", "node", "part").applyInPandas(add, SUMS)
+    return dealt.repartition("tree", "node", "part").mapInArrow(add, SUMS)
 
 
 SPLITS = "tree int, node int, feature int, cut int, gain double, left_first double, left_second double, first double, second double"
 
 
-def best_splits(sums: DataFrame, bins: int, growth: Growth, number: int) -> DataFrame:
+def best_splits(sums: DataFrame, cells: Cells, growth: Growth, number: int) -> DataFrame:
     """The best split of every node; ties go to the earlier predictor, then the lower cut."""
-    def choose(group: pd.DataFrame) -> pd.DataFrame:
-        tree, node = int(group["tree"].iloc[0]), int(group["node"].iloc[0])
-        first, second = total(group["sums"]).reshape(2, -1, bins) / MICRO
-        width = len(first)
-        left, weight = first.cumsum(1)[:, :-1], second.cumsum(1)[:, :-1]
-        all_first, all_second = first[0].sum(), second[0].sum()
-
-        def worth(a, b):
-            return a * a / (b + growth.ridge)
-
-        gain = worth(left, weight) + worth(all_first - left, all_second - weight) - worth(all_first, all_second)
-        gain = np.where((weight >= growth.least) & (all_second - weight >= growth.least), gain, -np.inf)
-        if growth.columns < 1:
-            draw = np.random.default_rng((growth.seed, number, tree))
-            out = draw.permutation(width)[max(1, math.ceil(growth.columns * width)) :]
-            gain[out] = -np.inf
-        feature, cut = divmod(int(gain.argmax()), bins - 1) if gain.size else (0, 0)
-        top = float(gain.max(initial=-np.inf))
-        found = top > 1e-6
-        chosen = (left[feature, cut], weight[feature, cut]) if found else (0.0, 0.0)
-        return pd.DataFrame(
-            [(tree, node, feature if found else -1, cut, top if found else 0.0, *chosen, all_first, all_second)],
-            columns=[c.split()[0] for c in SPLITS.split(", ")],
-        )
-
-    return sums.groupBy("tree", "node").applyInPandas(choose, SPLITS)
-
-
-def grow(rows: DataFrame, outputs: int, bins: int, gradients: Gradients, growth: Growth, number: int, parts: int) -> Round:
+    bins, width = cells.bins, len(cells.widths)
+    names = [c.split()[0] for c in SPLITS.split(", ")]
+    kinds = [{"int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in SPLITS.split(", ")]
+
+    def worth(a, b):
+        return a * a / (b + growth.ridge)
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = totals(batches)
+        keys, left_out = list(found), {}
+        for at in range(0, len(keys), 64):
+            some = keys[at : at + 64]
+            both = np.stack([found[key] for key in some]).reshape(len(some), 2, -1)
+            first, second = np.moveaxis(cells.spread(both, bins) / MICRO, 1, 0)
+            left, weight = first.cumsum(2)[:, :, :-1], second.cumsum(2)[:, :, :-1]
+            all_first, all_second = (np.array([node[0].sum() for node in side]) for side in (first, second))
+            whole_first, whole_second = all_first[:, None, None], all_second[:, None, None]
+            gain = worth(left, weight) + worth(whole_first - left, whole_second - weight) - worth(whole_first, whole_second)
+            gain = np.where((weight >= growth.least) & (whole_second - weight >= growth.least), gain, -np.inf)
+            rows = []
+            for i, (tree, node, _) in enumerate(some):
+                if growth.columns < 1:
+                    if tree not in left_out:
+                        draw = np.random.default_rng((growth.seed, number, tree))
+                        left_out[tree] = draw.permutation(width)[max(1, math.ceil(growth.columns * width)) :]
+                    gain[i, left_out[tree]] = -np.inf
+                feature, cut = divmod(int(gain[i].argmax()), bins - 1) if gain[i].size else (0, 0)
+                top = float(gain[i].max(initial=-np.inf))
+                good = top > 1e-6
+                chosen = (left[i, feature, cut], weight[i, feature, cut]) if good else (0.0, 0.0)
+                rows.append((tree, node, feature if good else -1, cut, top if good else 0.0, *chosen, all_first[i], all_second[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    one = sums.withColumn("part", F.lit(0))
+    return one.repartition("tree", "node").mapInArrow(choose, SPLITS)
+
+
+def grow(rows: DataFrame, outputs: int, cells: Cells, gradients: Gradients, growth: Growth, number: int, parts: int) -> Round:
     """The trees of one round: one job per level."""
     trees = Round(outputs, growth.depth)
 
@@ -355,8 +512,8 @@ def grow(rows: DataFrame, outputs: int, bins: int, gradients: Gradients, growth:
 
     closed: dict[tuple[int, int], float] = {}
     for level in range(growth.depth):
-        sums = gradient_sums(rows, trees, level, bins, gradients, growth, number)
-        splits = best_splits(summed(sums, parts), bins, growth, number).collect()
+        sums = gradient_sums(rows, trees, level, cells, gradients, growth, number)
+        splits = best_splits(summed(sums, parts), cells, growth, number).collect()
         any_open = False
         for s in splits:
             k, node = s["tree"], s["node"]
@@ -383,15 +540,13 @@ def grow(rows: DataFrame, outputs: int, bins: int, gradients: Gradients, growth:
 
 def advanced(rows: DataFrame, trees: Round, path: str) -> DataFrame:
     """The rows with the round's margins added, written to ``path``."""
-    def add(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                block = Block.of(frame, trees.outputs)
-                margins = block.margins + trees.margins(block.bins)
-                ends = np.cumsum(block.sizes)
-                yield frame.assign(margins=[margins[e - n : e].tobytes() for e, n in zip(ends, block.sizes, strict=True)])
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block.read({p: batch.column(p)[i].as_buffer() for p in PARTS}, trees.outputs)
+                yield replace(block, margins=block.margins + trees.margins(block.bins)).stored()
 
-    return stored(rows.mapInPandas(add, EXAMPLES), path)
+    return stored(rows.mapInArrow(add, BLOCKS), path)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -405,14 +560,14 @@ def boost(rows: DataFrame, binning: Binning, outputs: int, gradients: Gradients,
     folders = [new_shared_folder(spark, f"boosting-{i}") for i in range(2)]
     now = stored(rows, folders[0])
     size, cores = now.count(), spark.sparkContext.defaultParallelism
-    if size <= CHUNK * cores:  # few files would leave cores idle in every level, many would idle themselves
-        tasks = min(cores, -(-size * outputs // (CHUNK // 2)))
-        now = stored(now.repartition(max(tasks, 1), "seed"), folders[1])
-        folders.reverse()
+    # few files would leave cores idle in every level, many would idle themselves
+    tasks = min(cores, -(-size * outputs // (CHUNK // 2))) if size <= CHUNK * cores else cores * -(-size // (MOST * cores))
+    now = stored(blocked(now.repartition(max(tasks, 1), "seed"), outputs), folders[1])
+    folders.reverse()
     parts = now.select(F.spark_partition_id()).distinct().count()
-    bins, done = max(binning.bins, items), []
+    cells, done = cells_of(binning, items), []
     for number in range(growth.rounds):
-        trees = grow(now, outputs, bins, gradients, growth, number, parts)
+        trees = grow(now, outputs, cells, gradients, growth, number, parts)
         done.append(trees)
         if number + 1 < growth.rounds:
             now = advanced(now, trees, folders[(number + 1) % 2])
@@ -421,12 +576,12 @@ def boost(rows: DataFrame, binning: Binning, outputs: int, gradients: Gradients,
 
 def root_sums(rows: DataFrame, binning: Binning, outputs: int, gradients: Gradients, items: int = 0) -> DataFrame:
     """(tree, feature, bin, gradient, hessian) in millionths over all rows, before any split."""
-    bins = max(binning.bins, items)
+    cells = cells_of(binning, items)
     every = Growth(subsample=1.1)
-    sums = gradient_sums(rows, Round(outputs, 1), 0, bins, gradients, every, 0)
+    sums = gradient_sums(blocked(rows, outputs), Round(outputs, 1), 0, cells, gradients, every, 0)
 
     def cells(group: pd.DataFrame) -> pd.DataFrame:
-        first, second = total(group["sums"]).reshape(2, -1, bins)
+        first, second = cells.spread(total(group["sums"]).reshape(2, -1), cells.bins)
         feature, at = np.nonzero((first != 0) | (second != 0))
         return pd.DataFrame({
             "tree": group["tree"].iloc[0], "feature": feature, "bin": at,

@@ -166,3 +166,42 @@ def test_one_example_and_one_class(spark):
     rows, binning = packed(spark, x, y, 1)
     model = boosting.boost(rows, binning, 3, boosting.softmax_gradients, GROWTH)
     assert model.margins(binning(x)).argmax() == 0
+
+
+@pytest.mark.parametrize("nodes", [1, 5])
+def test_sums_by_node_equal_a_plain_loop(nodes):
+    draw = np.random.default_rng(4)
+    cells = boosting.Cells((2, 1, 7, 2, 3))
+    bins = np.column_stack([draw.integers(0, w, 200) for w in cells.widths]).astype(np.uint8)
+    node, grads = draw.integers(0, nodes, 200), draw.integers(-1_000_000, 1_000_000, (200, 2)).astype(float)
+    want = np.zeros((nodes, 2, sum(cells.widths)))
+    for row, at, both in zip(bins, node, grads, strict=True):
+        for f, b in enumerate(row):
+            want[at, :, cells.starts[f] + b] += both
+    assert (boosting.node_sums(bins, node, nodes, grads, cells) == want).all()
+    spread = cells.spread(want, 7)
+    assert spread.shape == (nodes, 2, 5, 7) and spread.sum() == want.sum() and (spread[:, :, 2] == want[:, :, 3:10]).all()
+
+
+def test_sums_of_a_task_are_handed_on_once_and_hold_only_bins_that_occur(spark, plain, monkeypatch):
+    x, y = plain
+    monkeypatch.setattr(boosting, "PACK", 50)
+    monkeypatch.setattr(boosting, "CHUNK", 60)
+    rows, binning = packed(spark, x, y, 1)
+    cells = boosting.cells_of(boosting.Binning((*binning.cuts[:4], (0.0,))))
+    blocks = boosting.blocked(rows, 3)
+    sums = boosting.gradient_sums(blocks, boosting.Round(3, 2), 0, cells, boosting.softmax_gradients, GROWTH, 0).collect()
+    assert blocks.count() > 1 and sorted((r.tree, r.node) for r in sums) == [(0, 0), (1, 0), (2, 0)]
+    assert all(len(r.sums) == 2 * 8 * (4 * 4 + 2) for r in sums)
+
+
+def test_few_files_are_dealt_over_all_cores(spark, plain, monkeypatch):
+    x, y = plain
+    monkeypatch.setattr(boosting, "CHUNK", 10)  # 400 examples are more than a chunk for every core
+    monkeypatch.setattr(boosting, "MOST", 400)
+    seen = []
+    grow = boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda *a: (seen.append(a[-1]), grow(*a))[1])
+    rows, binning = packed(spark, x, y, 1)
+    boosting.boost(rows, binning, 3, boosting.softmax_gradients, Growth(rounds=1, depth=1))
+    assert seen[0] > 1
