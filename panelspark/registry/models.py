@@ -12,7 +12,7 @@ from panelspark.operators import recommend as rec
 from panelspark.operators.encode import COUNTERS, Predictors
 from panelspark.operators.trajectory import LENGTH
 from panelspark.registry.core import Data, query
-from panelspark.session import materialize, new_shared_folder
+from panelspark.session import dealt, materialize, new_shared_folder
 from panelspark.sources import exports
 
 CATEGORIES = ("segment", "province", "region")
@@ -28,7 +28,8 @@ def profiled(d: Data):
 def model_table(d: Data):
     """Feature rows with held flags, written once for the fits and scorings that follow."""
     rows = profiled(d) if d.has_profile else d.features
-    return materialize(encode.held_flags(rows, d.spec).filter(F.col("period") <= d.spec.measured))
+    table = materialize(encode.held_flags(rows, d.spec).filter(F.col("period") <= d.spec.measured))
+    return dealt(table, "entity", "period")
 
 
 def predictors(d: Data) -> Predictors:
@@ -232,7 +233,7 @@ def drop_table(d: Data):
     table = encode.held_flags(profiled(d) if d.has_profile else d.features, d.spec)
     keep = ("entity", "period", *inputs.numeric, *inputs.categorical, *inputs.extra)
     long = reshape.explode_held(table.filter(F.col("period") <= d.spec.measured), d.spec, keep)
-    return materialize(long), inputs.plus(numeric=("tenure",), categorical=("item",))
+    return dealt(materialize(long), "entity", "period"), inputs.plus(numeric=("tenure",), categorical=("item",))
 
 
 def drop_scored(d: Data):

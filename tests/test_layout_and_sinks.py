@@ -98,3 +98,16 @@ def test_serving_extract_with_profile(spark, small, make_panel):
     rows = {r.entity: r for r in exports.serving_extract(purchase, drops, features, small, 2, profile).collect()}
     assert set(rows) == {1, 3} and rows[1].segment == "gold" and rows[3].segment is None
     assert rows[1].prob_drop == 0.4 and rows[3].prob_drop == 0.0 and rows[1].held == ["a", "c"]
+
+
+def test_fits_scan_even_parts_for_every_core(spark, monkeypatch):
+    from panelspark import session
+
+    rows = spark.range(4000).select(F.col("id").alias("entity"), (F.col("id") % 7).cast("int").alias("period"))
+    table = session.materialize(rows.coalesce(1))
+    assert session.dealt(table, "entity", "period").inputFiles() == table.inputFiles()
+    monkeypatch.setattr(session, "SMALL", 1000)
+    made = session.dealt(table, "entity", "period")
+    sizes = [r["count"] for r in made.groupBy(F.input_file_name()).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 1.5 * 4000 / len(sizes)
+    assert sorted(made.collect()) == sorted(table.collect())
