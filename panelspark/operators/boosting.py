@@ -576,12 +576,12 @@ def boost(rows: DataFrame, binning: Binning, outputs: int, gradients: Gradients,
 
 def root_sums(rows: DataFrame, binning: Binning, outputs: int, gradients: Gradients, items: int = 0) -> DataFrame:
     """(tree, feature, bin, gradient, hessian) in millionths over all rows, before any split."""
-    cells = cells_of(binning, items)
+    places = cells_of(binning, items)
     every = Growth(subsample=1.1)
-    sums = gradient_sums(blocked(rows, outputs), Round(outputs, 1), 0, cells, gradients, every, 0)
+    sums = gradient_sums(blocked(rows, outputs), Round(outputs, 1), 0, places, gradients, every, 0)
 
     def cells(group: pd.DataFrame) -> pd.DataFrame:
-        first, second = cells.spread(total(group["sums"]).reshape(2, -1), cells.bins)
+        first, second = places.spread(total(group["sums"]).reshape(2, -1), places.bins)
         feature, at = np.nonzero((first != 0) | (second != 0))
         return pd.DataFrame({
             "tree": group["tree"].iloc[0], "feature": feature, "bin": at,

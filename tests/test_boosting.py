@@ -205,3 +205,15 @@ def test_few_files_are_dealt_over_all_cores(spark, plain, monkeypatch):
     rows, binning = packed(spark, x, y, 1)
     boosting.boost(rows, binning, 3, boosting.softmax_gradients, Growth(rounds=1, depth=1))
     assert seen[0] > 1
+
+
+def test_root_sums_equal_a_plain_loop(spark, plain):
+    x, y = plain
+    rows, binning = packed(spark, x, y, 3)
+    first, second = boosting.softmax_gradients(np.zeros((len(y), 3)), y, None)
+    want = {
+        (k, f, b): (int(first[x[:, f] == b, k].sum()), int(second[x[:, f] == b, k].sum()))
+        for k in range(3) for f in range(5) for b in range(4)
+    }
+    found = boosting.root_sums(rows, binning, 3, boosting.softmax_gradients).collect()
+    assert {(r.tree, r.feature, r.bin): (r.gradient, r.hessian) for r in found} == want
