@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
+    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
 )
-from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.functions import has_item, item_numbers, pseudo_random, top_k
-from panelspark.operators import boosting, trajectory
+from panelspark.operators import boosting, network, trajectory
 from panelspark.operators.boosting import BoostedTrees, Growth
 from panelspark.operators.encode import Predictors, preprocess_stages, ready
 from panelspark.operators.keys import dense_ids
@@ -340,18 +340,16 @@ def score_listwise(ranker: ListwiseRanker, rows: DataFrame, spec: PanelSpec) ->
 
 @dataclass(frozen=True)
 class SequenceModel:
-    model: PipelineModel
-    length: int
+    weights: np.ndarray
+    shape: network.Shape
     static: tuple[str, ...]
 
 
 def sequence_inputs(features: DataFrame, spec: PanelSpec, length: int) -> DataFrame:
-    """Rows with their padded trajectory as one vector; the windows run over the whole table."""
-    flat = trajectory.flatten_trajectory(
-        trajectory.trim_trajectory(trajectory.trajectories(features, length), length), spec
-    )
-    values = F.transform("flags", lambda v: v.cast("double"))
-    return flat.withColumn("sequence", array_to_vector(values)).drop("steps", "flags")
+    """Rows with their padded trajectory as item sets, three a step; the windows run over the whole table."""
+    trimmed = trajectory.trim_trajectory(trajectory.trajectories(features, length), length)
+    sets = F.flatten(F.transform("steps", lambda s: F.array(s["prev_bits"], s["add_bits"], s["drop_bits"])))
+    return trimmed.withColumn("sequence", sets).drop("steps")
 
 
 def fit_sequence(
@@ -363,19 +361,12 @@ def fit_sequence(
     ``train`` comes from ``sequence_inputs``.  Every (entity, period) row is an example, so
     the adds at each step of a trajectory are already targets of its earlier rows.
     """
-    adds = explode_adds(train, spec, keep=("sequence", *static)).withColumn("label", F.col("idx").cast("double"))
-    assembler = VectorAssembler(inputCols=["sequence", *static], outputCol="features")
-    width = length * 3 * spec.n + len(static)
-    net = MultilayerPerceptronClassifier(
-        featuresCol="features", labelCol="label", layers=[width, hidden, spec.n], maxIter=iterations,
-        blockSize=256, seed=SEED,
-    )
-    return SequenceModel(Pipeline(stages=[assembler, net]).fit(adds), length, static)
+    shape = network.Shape(length, spec.n, len(static), hidden)
+    return SequenceModel(network.fit_net(train, "sequence", static, "add_bits", shape, iterations, SEED), shape, static)
 
 
 def score_sequence(fitted: SequenceModel, rows: DataFrame, spec: PanelSpec) -> DataFrame:
-    scored = fitted.model.transform(rows)
-    return scored.select(*rows.columns, _aligned(vector_to_array("probability"), spec).alias("scores"))
+    return network.net_scores(rows, fitted.weights, "sequence", fitted.static, fitted.shape)
 
 
 # --- several models side by side -------------------------------------------------------
