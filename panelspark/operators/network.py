@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from panelspark.session import MOST, SMALL, materialize
+from panelspark.session import SMALL, even_parts, materialize
 
 ROWS = 2_048  # examples of a block; a task holds one block's flags
 SLICE = 16_384  # numbers of a sum that one group of the shuffle adds up
@@ -309,10 +309,10 @@ def fit_net(
     """Weights of the net that tells a row's targets from its trajectory and static columns."""
     spark = rows.sparkSession
     examples = rows.filter(F.col(targets) != 0)
-    count, cores = examples.count(), spark.sparkContext.defaultParallelism
+    count = examples.count()
     blocks = packed(examples, sequence, static, targets, shape)
     if count > SMALL:  # dealt evenly, because every iteration waits for the longest task
-        blocks = blocks.repartition(cores * -(-count // (MOST * cores)))
+        blocks = blocks.repartition(even_parts(spark, count))
     return minimised(whole_cost(materialize(blocks, "net-blocks"), shape), first_weights(spark, shape, seed), iterations)
 
 

@@ -111,3 +111,20 @@ def test_fits_scan_even_parts_for_every_core(spark, monkeypatch):
     sizes = [r["count"] for r in made.groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 1.5 * 4000 / len(sizes)
     assert sorted(made.collect()) == sorted(table.collect())
+
+
+def test_files_of_a_dealt_table_are_not_put_together_again(spark, monkeypatch):
+    """Two small files a core were read by one task, so a task's rows grew with the table."""
+    from panelspark import session
+
+    name, cores = "spark.sql.files.minPartitionNum", spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(session, "SMALL", 1000)
+    monkeypatch.setattr(session, "MOST", 250)
+    try:
+        rows = spark.range(4000).select(F.col("id").alias("entity"), (F.col("id") % 7).cast("int").alias("period"))
+        made = session.dealt(rows, "entity", "period")
+        assert made.rdd.getNumPartitions() == cores * -(-4000 // (250 * cores)) > cores
+        read = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+        assert max(read) < 2 * 250
+    finally:
+        spark.conf.unset(name)
