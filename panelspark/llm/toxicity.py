@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelspark.llm.common import Bounded, fold, hash_sample, saved, with_columns
+from panelspark.llm.common import Bounded, fold, forget_caches, hash_sample, saved, with_columns
 
 POSITIVE_ROWS = 4_000  # confirmed toxic documents that a fit reads at most
 UNLABELLED_ROWS = 12_000  # unlabelled documents that a fit reads at most
@@ -111,6 +111,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicModel:
     find = re.compile(LETTERS).findall
 
     def per_batch(batch: pa.RecordBatch):
+        forget_caches()
         texts = (t or "" for t in batch.column("text").to_pylist())
         return ([sorted({p for w in set(find(t.lower())) for p in parts_of(w)}) for t in texts],)
 
@@ -153,6 +154,7 @@ def with_toxicity(docs: DataFrame, model: ToxicModel) -> DataFrame:
 
     def per_batch(batch: pa.RecordBatch):
         if not made:
+            forget_caches()
             made.append(model.scorer())
         score = made[0](batch.column("text").to_pylist())
         return score, (score >= CUT).astype("int32")
