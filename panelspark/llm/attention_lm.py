@@ -2,8 +2,10 @@
 
 The model reads subword ids of a public byte-level BPE, word by word in lower case, and
 predicts a class of the next id: frequent ids are classes of their own, the rest share classes
-of about equal mass, inside which an id has its corpus share. Class logits are the log bigram
-shares of the whole training corpus plus what one masked attention head reads from its context.
+of about equal mass, inside which an id has its corpus share. A class's chance is that of its kind
+(word beginnings and the end, or the rest) times its own inside the kind, so that an id costs the
+classes of one kind. Logits of kinds and classes are the log bigram shares of the whole training
+corpus plus what one masked attention head reads from its context.
 Texts are cut into windows of QUERIES ids with CONTEXT ids before them, so windows overlap and
 every id is scored once.
 
@@ -25,9 +27,11 @@ id belongs to the fold of the empty text.
 from __future__ import annotations
 
 import base64
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +48,7 @@ SINGLES, SHARED = 240, 8  # classes of one id; shared classes of word beginnings
 INPUTS = 2048  # ids with an embedding of their own
 WIDTH, QUERIES, CONTEXT = 16, 32, 16
 CHUNK = 64  # windows of a training step
-SCORED = 24  # windows scored at once, few enough that their logits stay in a core's cache
+SCORED = 32  # windows scored at once, few enough that their logits stay in a core's cache
 STEEP = 60.0  # logits end here, far above any fitted value, so that exp stays finite
 STRIDE, ROUNDS, RATE = 2, 2, 0.02
 MIXED = (0.1, 0.3, 0.6, 0.9, 0.98)
@@ -66,7 +70,12 @@ def subwords(path: str):
         with open(path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         model = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return Bounded(lambda w: np.array(model.encode_ordinary(" " + w.decode()), "<u2").tobytes(), 250_000)
+
+        def ids(word: bytes) -> bytes:  # a word of letters is one piece of the pattern
+            found = model._encode_single_piece(b" " + word) if word.isalpha() else model.encode_ordinary(" " + word.decode())
+            return struct.pack(f"<{len(found)}H", *found)
+
+        return Bounded(ids, 250_000)
 
     return worker_cache(f"subwords {path}", make)
 
@@ -120,6 +129,29 @@ def bigram_counts(words: DataFrame, path: str) -> DataFrame:
     return made.groupBy("before", "id").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Kinds:
+    """The classes of the rest (kind 0) and of word beginnings and the end (kind 1), and their bigram shares."""
+
+    kind: np.ndarray  # class -> kind
+    place: np.ndarray  # class -> place among the classes of its kind
+    classes: list[np.ndarray]  # of each kind
+    stem: np.ndarray  # row x kind, ln share
+    leaves: list[np.ndarray]  # of each kind: row x place, ln share inside the kind
+
+
+def kinds_of(bigram: np.ndarray, begins: np.ndarray) -> Kinds:
+    kind = (begins > 0).astype(np.uint8)
+    classes, place = [np.flatnonzero(kind == k) for k in (0, 1)], np.empty(len(kind), int)
+    stem, leaves = np.full((len(bigram), 2), -1e9, bigram.dtype), []
+    for k, own in enumerate(classes):
+        place[own] = np.arange(len(own))
+        if len(own):
+            stem[:, k] = np.logaddexp.reduce(bigram[:, own], 1)
+        leaves.append(np.ascontiguousarray(bigram[:, own] - stem[:, k : k + 1]))
+    return Kinds(kind, place, classes, stem, leaves)
+
+
 @dataclass
 class Model:
     """Tables by id (with the end and the start of a text as the last two ids), and the weights."""
@@ -131,23 +163,33 @@ class Model:
     weights: dict[str, np.ndarray]
     begins: np.ndarray  # class -> 1 if its ids start a word or are the end
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """Queries, keys, values by row, and the place term with the causal mask.
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What rows ask and what they are, and the place term with the causal mask.
 
-        Values carry a one that sums up the weights; a last row of zeros stands for no key.
+        A query is taken to the keys' embeddings, so that these are keys and values at once. They
+        carry a one that sums up the weights; a last row of zeros stands for no key.
         """
         w = self.weights
-        value = np.hstack([w["embed"] @ w["value"], np.ones((len(w["embed"]), 1), np.float32)])
         near = np.where(AGE < 0, np.float32(-1e9), np.clip(w["near"][np.maximum(AGE, 0)], -30, 30))
-        query, key = np.float32(WIDTH**-0.5) * (w["embed"] @ w["query"]), w["embed"] @ w["key"]
-        none = np.zeros((1, WIDTH), np.float32)
-        return np.vstack([query, none]), np.vstack([key, none]), np.vstack([value, np.zeros((1, WIDTH + 1), np.float32)]), near
+        query = w["embed"] @ (np.float32(WIDTH**-0.5) * w["query"] @ w["key"].T)
+        return np.vstack([query, np.zeros((1, WIDTH), query.dtype)]), with_ones(w["embed"]), near
+
+    @cached_property
+    def kinds(self) -> Kinds:
+        return kinds_of(self.bigram, self.begins)
 
     @property
     def end(self) -> int:
         return len(self.row) - 2
 
 
+def with_ones(embed: np.ndarray) -> np.ndarray:
+    """Embeddings with a one behind each, and a last row of zeros."""
+    out = np.zeros((len(embed) + 1, WIDTH + 1), embed.dtype)
+    out[:-1, :WIDTH], out[:-1, WIDTH] = embed, 1
+    return out
+
+
 def grouped(unigram: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, class, ln share) of each id, the end and the start of a text last."""
     size = len(unigram)
@@ -186,7 +228,8 @@ def fresh_weights(rows: int, classes: int) -> dict[str, np.ndarray]:
     draw = np.random.default_rng(5)
     shapes = {"embed": (rows, WIDTH), "query": (WIDTH, WIDTH), "key": (WIDTH, WIDTH), "value": (WIDTH, WIDTH)}
     made = {k: (draw.normal(0, 0.3, s)).astype(np.float32) for k, s in shapes.items()}
-    return made | {"near": np.zeros(QUERIES + CONTEXT, np.float32), "out": np.zeros((WIDTH, classes), np.float32)}
+    zeros = {"near": QUERIES + CONTEXT, "out": (WIDTH, classes), "stem": (WIDTH, 2)}
+    return made | {k: np.zeros(s, np.float32) for k, s in zeros.items()}
 
 
 def windows(size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,19 +239,6 @@ def windows(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 AGE = np.arange(QUERIES)[:, None] + CONTEXT - np.arange(QUERIES + CONTEXT)[None, :]  # of a key, for a query
-FUTURE = np.where(AGE < 0, np.float32(-1e9), np.float32(0))
-
-
-def attend(query, key, value, near, valid):
-    """Masked attention of a batch of windows: (weights, read)."""
-    score = query @ key.transpose(0, 2, 1)
-    score *= np.float32(WIDTH**-0.5)
-    score += near[np.maximum(AGE, 0)] + FUTURE
-    score += np.where(valid, np.float32(0), np.float32(-1e9))[:, None, :]
-    score -= score.max(2, keepdims=True)
-    np.exp(score, out=score)
-    score /= score.sum(2, keepdims=True)
-    return score, score @ value
 
 
 def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,45 +246,70 @@ def log_chances(model: Model, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.nd
 
     ids are the texts' ids, one after the other, each text closed by the end; ``sizes`` count them.
     """
-    query, key, value, near = model.tables()
+    query, key, near = model.tables()
+    none, kinds, value = len(key) - 1, model.kinds, model.weights["value"]  # the last row counts for nothing
     starts = np.cumsum(sizes) - sizes
     before = np.empty_like(ids)
     before[1:] = ids[:-1]
     before[starts] = model.end + 1
+    count = -(-sizes // QUERIES)
+    first = np.cumsum(count) - count  # window of each text
+    slot = np.arange(len(ids)) + np.repeat(first * QUERIES - starts, sizes)
+    keys = np.full((int(count.sum()), CONTEXT + QUERIES), none)
+    asked = np.full(len(keys) * QUERIES, none)
     rows, target = model.row[before], model.group[ids]
-    parts = [windows(n) for n in sizes.tolist()]
-    keys = np.concatenate([k + s for (k, _), s in zip(parts, starts.tolist())])
-    valid = np.concatenate([v for _, v in parts])
-    sums = np.column_stack([np.ones_like(model.begins), model.begins])
-    out_weights = model.weights["out"]
-    # what is read is a mean of values, so this bounds every logit
-    flat = model.bigram.max() + np.abs(value).max() * np.abs(out_weights).sum(0).max() <= STEEP
-    logits, added = (np.empty((SCORED * QUERIES, len(sums)), np.float32) for _ in "ab")
+    asked[slot] = rows
+    asked = asked.reshape(-1, QUERIES)
+    keys[:, CONTEXT:] = asked
+    keys[1:, :CONTEXT] = asked[:-1, QUERIES - CONTEXT :]
+    keys[first, :CONTEXT] = none
+    kind, place = kinds.kind[target], kinds.place[target]
+    stem_weights, out_weights = value @ model.weights["stem"], value @ model.weights["out"]
+    steep = steepest(model.weights["embed"], stem_weights, out_weights) > STEEP
+    out_weights = [np.ascontiguousarray(out_weights[:, own]) for own in kinds.classes]
     out, edge = np.empty(len(ids)), np.empty(len(ids))
-    for at in range(0, len(keys), SCORED):
-        k, v = keys[at : at + SCORED], valid[at : at + SCORED]
-        ok = v[:, CONTEXT:]
-        r = np.where(v, rows[k], len(value) - 1)  # the last row counts for nothing
-        share = query[r[:, CONTEXT:]] @ key[r].transpose(0, 2, 1)
-        share += near
-        np.exp(share, out=share)
-        read = (share @ value[r])[ok]
+    share = np.empty((SCORED, QUERIES, CONTEXT + QUERIES), np.float32)
+    cuts = np.searchsorted(slot, np.arange(0, len(keys) + SCORED, SCORED) * QUERIES).tolist()
+    for number, (low, high) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        r = keys[number * SCORED : (number + 1) * SCORED]
+        k, weight = key.take(r, 0), share[: len(r)]
+        np.matmul(query.take(r[:, CONTEXT:], 0), k[:, :, :WIDTH].transpose(0, 2, 1), out=weight, casting="same_kind")
+        weight += near
+        np.exp(weight, out=weight)
+        own = kind[low:high]
+        at = low + np.argsort(own, kind="stable")
+        read = flat(weight @ k).take(slot[at] - number * SCORED * QUERIES, 0)
         read = read[:, :WIDTH] / read[:, WIDTH:]
-        asked = k[:, CONTEXT:][ok]
-        logit, more = logits[: len(asked)], added[: len(asked)]
-        np.take(model.bigram, rows[asked], 0, out=logit, mode="clip")
-        logit += np.matmul(read, out_weights, out=more)
-        if not flat:
-            np.minimum(logit, STEEP, out=logit)
-        hit = logit[np.arange(len(asked)), target[asked]].astype(float)
-        np.exp(logit, out=logit)
-        total, begun = np.log(np.maximum(logit @ sums, 1e-30)).T
-        out[asked] = hit - total
-        edge[asked] = begun - total
+        row, wanted = rows[at], place[at]
+        stem = read @ stem_weights
+        stem += kinds.stem.take(row, 0)
+        if steep:
+            np.minimum(stem, STEEP, out=stem)
+        stem = stem - np.log(np.exp(stem) @ np.ones(2, stem.dtype))[:, None].astype(float)
+        edge[at] = stem[:, 1]
+        for b, low, high in parts(len(own) - int(own.sum()), len(own)):
+            logit = read[low:high] @ out_weights[b]
+            logit += kinds.leaves[b].take(row[low:high], 0)
+            if steep:
+                np.minimum(logit, STEEP, out=logit)
+            hit = logit[np.arange(high - low), wanted[low:high]].astype(float)
+            np.exp(logit, out=logit)
+            total = logit @ np.ones(logit.shape[1], logit.dtype)
+            out[at[low:high]] = stem[low:high, b] + hit - np.log(np.maximum(total, 1e-30))
     out += model.inside[ids]
     return out, edge
 
 
+def steepest(embed: np.ndarray, *weights: np.ndarray) -> float:
+    """Bounds every logit: what is read is a mean of embeddings, and ln shares are below 0."""
+    return np.abs(embed).max(initial=0) * max(np.abs(w).sum(0).max() for w in weights)
+
+
+def parts(first: int, size: int) -> list[tuple[int, int, int]]:
+    """(kind, from, to) of the kinds that occur, of ``size`` sorted rows with ``first`` of kind 0."""
+    return [p for p in ((0, 0, first), (1, first, size)) if p[1] < p[2]]
+
+
 def text_chances(
     model: Model, ids: np.ndarray, sizes: np.ndarray, first: np.ndarray, shares: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -287,66 +342,125 @@ def mean_chance(each: list[Column]) -> Column:
 
 def gradient(model: Model, rows: np.ndarray, valid: np.ndarray, target: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean loss over the valid queries of a batch of windows, by weight."""
-    w, scale = model.weights, np.float32(WIDTH**-0.5)
-    x = w["embed"][rows]
-    q, k, v = x[:, CONTEXT:] @ w["query"], x @ w["key"], x @ w["value"]
-    share, read = attend(q, k, v, w["near"], valid)
-    ok = valid[:, CONTEXT:]
-    each = (ok / max(ok.sum(), 1)).astype(np.float32)
-    z = model.bigram[rows[:, CONTEXT:]]
-    z += read @ w["out"]
-    np.minimum(z, STEEP, out=z)
-    np.exp(z, out=z)
-    z *= (each / z.sum(2))[:, :, None]
-    window, query = np.indices(target.shape)
-    z[window, query, target] -= each
-    back = z @ w["out"].T
-    d_share = back @ v.transpose(0, 2, 1)
-    d_score = share * (d_share - (d_share * share).sum(2, keepdims=True))
-    d_q, d_k, d_v = d_score @ k * scale, d_score.transpose(0, 2, 1) @ q * scale, share.transpose(0, 2, 1) @ back
-    flat = lambda a: a.reshape(-1, a.shape[-1])
-    d_x = d_k @ w["key"].T + d_v @ w["value"].T
-    d_x[:, CONTEXT:] += d_q @ w["query"].T
-    embed = np.zeros_like(w["embed"])
-    np.add.at(embed, rows.ravel(), flat(d_x))
+    w, scale, kinds = model.weights, np.float32(WIDTH**-0.5), model.kinds
+    both = w["query"] @ w["key"].T * scale
+    rows = np.where(valid, rows, len(w["embed"]))  # its last row counts for nothing
+    x = with_ones(w["embed"]).take(rows, 0)
+    key, asked = x[:, :, :WIDTH], np.ascontiguousarray(x[:, CONTEXT:, :WIDTH])
+    query = (flat(asked) @ both).reshape(asked.shape)
+    near = w["near"][np.maximum(AGE, 0)]
+    share = query @ key.transpose(0, 2, 1)
+    steep = max(share.max(), -share.min()) + np.abs(near).max() > STEEP
+    share += np.where(AGE < 0, near.dtype.type(-1e9), near)
+    if steep:
+        share -= share.max(2, keepdims=True)
+    np.exp(share, out=share)
+    read = flat(share @ x)
+    # the valid queries, by kind of what they have to find
+    at = np.flatnonzero(valid[:, CONTEXT:])
+    found = target.ravel()[at]
+    own = kinds.kind[found]
+    order = np.argsort(own, kind="stable")
+    at, own, found = at[order], own[order], found[order]
+    row, wanted, size = rows[:, CONTEXT:].ravel()[at], kinds.place[found], len(at)
+    read = read.take(at, 0)
+    whole = read[:, WIDTH:]
+    read = read[:, :WIDTH] / whole
+    stem_weights, out_weights = w["value"] @ w["stem"], w["value"] @ w["out"]
+    clip = steepest(w["embed"], stem_weights, out_weights) > STEEP
+    stem = read @ stem_weights
+    stem += kinds.stem.take(row, 0)
+    slope(stem, own, size, clip)
+    d_read, for_stem, for_out = stem @ stem_weights.T, read.T @ stem, np.zeros_like(out_weights)
+    for b, low, high in parts(size - int(own.sum()), size):
+        mine = np.ascontiguousarray(out_weights[:, kinds.classes[b]])
+        logit = read[low:high] @ mine
+        logit += kinds.leaves[b].take(row[low:high], 0)
+        slope(logit, wanted[low:high], size, clip)
+        d_read[low:high] += logit @ mine.T
+        for_out[:, kinds.classes[b]] = read[low:high].T @ logit
+    # shares were not divided by their sum, so what comes back is; the last column takes off its mean
+    back = np.zeros((target.size, WIDTH + 1), d_read.dtype)
+    d_read /= whole
+    back[at, :WIDTH] = d_read
+    back[at, WIDTH] = -np.einsum("nd,nd->n", d_read, read)
+    back = back.reshape(*target.shape, WIDTH + 1)
+    d_score = back @ x.transpose(0, 2, 1)
+    d_score *= share
+    d_query = flat(d_score @ key)
+    d_x = share.transpose(0, 2, 1) @ back[:, :, :WIDTH]
+    d_x += d_score.transpose(0, 2, 1) @ query
+    d_x[:, CONTEXT:] += (d_query @ both.T).reshape(query.shape)
+    cell = (rows * WIDTH)[:, :, None] + np.arange(WIDTH)
+    embed = np.bincount(cell.ravel(), d_x.ravel(), w["embed"].size + WIDTH)[: w["embed"].size]
+    d_both = flat(asked).T @ d_query * scale
     return {
-        "embed": embed, "query": flat(x[:, CONTEXT:]).T @ flat(d_q), "key": flat(x).T @ flat(d_k), "value": flat(x).T @ flat(d_v),
+        "embed": embed.reshape(w["embed"].shape).astype(d_x.dtype), "query": d_both @ w["key"], "key": d_both.T @ w["query"],
+        "value": for_stem @ w["stem"].T + for_out @ w["out"].T, "out": w["value"].T @ for_out, "stem": w["value"].T @ for_stem,
         "near": np.bincount(np.maximum(AGE, 0).ravel(), (d_score.sum(0) * (AGE >= 0)).ravel(), QUERIES + CONTEXT).astype(np.float32),
-        "out": flat(read).T @ flat(z),
     }
 
 
+def flat(a: np.ndarray) -> np.ndarray:
+    return a.reshape(-1, a.shape[-1])
+
+
+def slope(logits: np.ndarray, hit: np.ndarray, size: int, clip: bool) -> None:
+    """Turns logits into what the mean loss of ``size`` rows changes by; ``hit`` is the column that came."""
+    if clip:
+        np.minimum(logits, STEEP, out=logits)
+    np.exp(logits, out=logits)
+    logits *= (1 / (logits @ np.full(logits.shape[1], size, logits.dtype)))[:, None]
+    logits.ravel()[np.arange(len(logits)) * logits.shape[1] + hit] -= logits.dtype.type(1 / max(size, 1))
+
+
 class Trainer:
     """Adam on batches of windows, as they fill up."""
 
     def __init__(self, model: Model):
         self.model = replace(model, weights={k: v.copy() for k, v in model.weights.items()})
+        self.model.kinds = model.kinds
         self.first = {k: np.zeros_like(v) for k, v in model.weights.items()}
         self.second = {k: np.zeros_like(v) for k, v in model.weights.items()}
-        self.step, self.seen, self.waiting = 0, 0, []
+        self.step, self.seen, self.held, self.waiting = 0, 0, 0, []
 
     def add(self, ids: np.ndarray, phase: int) -> None:
         """Take every STRIDE-th window of a text, from ``phase`` on."""
-        keys, valid = (a[phase::STRIDE] for a in windows(len(ids)))
-        if len(keys):
-            m = self.model
-            rows = m.row[np.concatenate([[m.end + 1], ids[:-1]])]
-            self.waiting.append((rows[keys], valid, m.group[ids][keys[:, CONTEXT:]]))
-            if sum(len(r) for r, _, _ in self.waiting) >= CHUNK:
+        m, size = self.model, -(-len(ids) // QUERIES) * QUERIES
+        if size > phase * QUERIES:
+            # as windows() has them
+            line, target = np.full(size, -1), np.full(size, m.end)
+            line[0], line[1 : len(ids)], target[: len(ids)] = m.end + 1, ids[:-1], ids
+            line = line.reshape(-1, QUERIES)
+            keys = np.full((len(line), CONTEXT + QUERIES), -1)
+            keys[:, CONTEXT:], keys[1:, :CONTEXT] = line, line[:-1, QUERIES - CONTEXT :]
+            keys = keys[phase::STRIDE]
+            self.waiting.append((m.row[keys], keys >= 0, m.group[target].reshape(-1, QUERIES)[phase::STRIDE]))
+            self.held += len(keys)
+            if self.held >= CHUNK:
                 self.learn()
 
     def learn(self) -> None:
         if not self.waiting:
             return
         rows, valid, target = (np.concatenate(a) for a in zip(*self.waiting, strict=True))
-        self.waiting = []
+        self.held, self.waiting = 0, []
         self.seen += int(valid[:, CONTEXT:].sum())
         self.step += 1
         for k, g in gradient(self.model, rows, valid, target).items():
-            self.first[k] = 0.9 * self.first[k] + 0.1 * g
-            self.second[k] = 0.99 * self.second[k] + 0.01 * g**2
-            rise = (self.first[k] / (1 - 0.9**self.step)) / (np.sqrt(self.second[k] / (1 - 0.99**self.step)) + 1e-8)
-            self.model.weights[k] -= np.float32(RATE) * rise
+            first, second = self.first[k], self.second[k]
+            first *= 0.9
+            first += 0.1 * g
+            second *= 0.99
+            np.multiply(g, g, out=g)
+            g *= 0.01
+            second += g
+            rise = np.sqrt(second)
+            rise *= (1 - 0.99**self.step) ** -0.5
+            rise += 1e-8
+            np.divide(first, rise, out=rise)
+            rise *= RATE / (1 - 0.9**self.step)
+            self.model.weights[k] -= rise
 
 
 def tokenised(docs: DataFrame, path: str) -> DataFrame:

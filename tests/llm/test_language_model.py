@@ -121,3 +121,62 @@ def test_no_training_texts(docs_of):
 
 def test_model_sizes_are_not_cut():
     assert a.SINGLES >= 240 and a.QUERIES >= 32 and a.CONTEXT >= 16
+
+
+def test_chances_of_all_classes_sum_to_one():
+    model, draw = small_model(), np.random.default_rng(3)
+    ids = np.append(draw.integers(0, 40, 50), model.end)
+    total = 0.0
+    for c in range(model.bigram.shape[1]):
+        group = model.group.copy()
+        group[model.end] = c
+        out, edge = a.log_chances(a.replace(model, group=group), ids, np.array([51]))
+        total += math.exp(out[-1]) * (model.begins[c] > 0)
+    assert total == pytest.approx(math.exp(edge[-1]), rel=1e-4) and 0 < total < 1
+
+
+def test_an_id_costs_the_classes_of_its_kind_alone(monkeypatch):
+    model, draw, done, exp = small_model(), np.random.default_rng(4), [], np.exp
+    ids = np.append(draw.integers(0, 40, 700), model.end)
+    keys, valid = a.windows(len(ids))
+    rows = model.row[np.concatenate([[model.end + 1], ids[:-1]])][keys]
+    most = valid[:, a.CONTEXT :].size * (a.QUERIES + a.CONTEXT) + 2 * len(ids)
+    starts = model.begins[model.group[ids]] > 0
+    most += int(np.where(starts, (model.begins > 0).sum(), (model.begins == 0).sum()).sum())
+    monkeypatch.setattr(np, "exp", lambda x, **more: (done.append(np.size(x)), exp(x, **more))[1])
+    a.gradient(model, rows, valid, model.group[ids][keys[:, a.CONTEXT :]])
+    assert sum(done) <= most
+    done.clear()
+    a.log_chances(model, ids, np.array([len(ids)]))
+    assert sum(done) <= most
+
+
+@pytest.mark.parametrize("size", [1, 31, 32, 33, 64, 65, 300])
+def test_training_takes_the_windows_of_scoring(monkeypatch, size):
+    monkeypatch.setattr(a.Trainer, "learn", lambda self: None)
+    model = small_model()
+    ids = np.append(np.random.default_rng(size).integers(0, 40, size - 1), model.end)
+    keys, valid = a.windows(size)
+    for phase in range(a.STRIDE):
+        trainer = a.Trainer(model)
+        trainer.add(ids, phase)
+        want, ok = model.row[np.concatenate([[model.end + 1], ids[:-1]])][keys[phase :: a.STRIDE]], valid[phase :: a.STRIDE]
+        for rows, seen, target in trainer.waiting:
+            assert (seen == ok).all() and (rows[ok] == want[ok]).all()
+            asked = ok[:, a.CONTEXT :]
+            assert (target[asked] == model.group[ids][keys[phase :: a.STRIDE, a.CONTEXT :]][asked]).all()
+        assert len(trainer.waiting) == (len(ok) > 0)
+
+
+def test_words_of_letters_are_one_piece():
+    import base64
+
+    import public_tokenizers
+    import tiktoken
+
+    path = a.tokenizer_path()
+    with open(path, "rb") as file:
+        ranks = {base64.b64decode(x): int(y) for x, y in map(bytes.split, file)}
+    model = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for word in ("the", "zqxv", "don't", "12ab", "a" * 300, "äöü", "x y", "s", "--"):
+        assert np.frombuffer(a.subwords(path)[word.encode()], "<u2").tolist() == model.encode_ordinary(" " + word)
