@@ -52,14 +52,67 @@ class Binning:
         return out
 
 
-def fit_binning(df: DataFrame, vector: str, width: int, bins: int = 64) -> Binning:
-    """Cuts at quantiles of each predictor, from mergeable sketches in one pass."""
+POINTS = 4_096  # values by which a sketch knows a predictor; fewer distinct ones are all kept
+BUFFER = 65_536  # values that are sorted at once
+
+
+def thinned(values: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values with their weights; beyond POINTS those at even ranks, with the weight up to them."""
+    values, place = np.unique(values, return_inverse=True)
+    running = np.bincount(place, weights, len(values)).cumsum()
+    if len(values) > POINTS:
+        kept = np.unique(np.searchsorted(running, running[-1] * np.arange(1, POINTS + 1) / POINTS - 1e-6).clip(max=len(values) - 1))
+        values, running = values[kept], running[kept]
+    return values, np.diff(running, prepend=0)
+
+
+def fit_binning(df: DataFrame, vector: str, width: int, bins: int = 64, weight: Column | None = None) -> Binning:
+    """Cuts at quantiles of each predictor, a row counting ``weight`` times, from mergeable sketches in one pass."""
     if not 1 < bins <= 256:
         raise ValueError(f"2..256 bins, got {bins}")
-    values = df.select(*[F.col(vector)[i].alias(f"x{i}") for i in range(width)])
-    shares = [i / bins for i in range(1, bins)]
-    found = values.approxQuantile(values.columns, [*shares, 1.0], 0.25 / bins)
-    return Binning(tuple(tuple(sorted({v for v in q if v < q[-1]})) if q else () for q in found))
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(width)]
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def taken_in() -> None:
+            x, w = (np.concatenate(parts) for parts in zip(*waiting, strict=True))
+            waiting.clear()
+            for f, known in enumerate(held):
+                there = ~np.isnan(x[:, f])
+                known.append(thinned(x[there, f], w[there]))
+                if sum(len(v) for v, _ in known) > 16 * POINTS or len(known) > 16:
+                    known[:] = [thinned(*(np.concatenate(c) for c in zip(*known, strict=True)))]
+
+        for batch in batches:
+            if batch.num_rows:
+                flat = batch.column("x").flatten().to_numpy(zero_copy_only=False)
+                waiting.append((flat.reshape(batch.num_rows, -1)[:, :width], batch.column("w").to_numpy(zero_copy_only=False)))
+                if sum(len(w) for _, w in waiting) >= BUFFER:
+                    taken_in()
+        if waiting:
+            taken_in()
+        for f, known in enumerate(held):
+            if known:
+                values, weights = thinned(*(np.concatenate(c) for c in zip(*known, strict=True)))
+                arrays = [pa.array([f], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (values, weights)]]
+                yield pa.RecordBatch.from_arrays(arrays, ["f", "points", "weights"])
+
+    def cut(group: pd.DataFrame) -> pd.DataFrame:
+        values = np.concatenate([np.frombuffer(v, float) for v in group["points"]])
+        weights = np.concatenate([np.frombuffer(v, float) for v in group["weights"]])
+        order = np.argsort(values, kind="stable")
+        values, running = values[order], weights[order].cumsum()
+        found: list[float] = []
+        if len(values):
+            at = np.searchsorted(running, running[-1] * np.arange(1, bins) / bins - 1e-6).clip(max=len(values) - 1)
+            found = sorted({float(v) for v in values[at] if v < values[-1]})
+        return pd.DataFrame({"f": [int(group["f"].iloc[0])], "cuts": [found]})
+
+    counted = df.select(F.col(vector).alias("x"), (F.lit(1) if weight is None else weight).cast("double").alias("w"))
+    sketches = counted.mapInArrow(sketch, "f int, points binary, weights binary")
+    made = {r["f"]: tuple(r["cuts"]) for r in sketches.groupBy("f").applyInPandas(cut, "f int, cuts array<double>").collect()}
+    return Binning(tuple(made.get(f, ()) for f in range(width)))
 
 
 @dataclass(frozen=True)

@@ -11,9 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
@@ -21,9 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelspark.functions import has_item, item_numbers, pseudo_random, top_k
-from panelspark.operators import boosting, network, trajectory
+from panelspark.operators import boosting, forest, network, trajectory
 from panelspark.operators.boosting import BoostedTrees, Growth
 from panelspark.operators.encode import Predictors, preprocess_stages, ready
+from panelspark.operators.forest import Forest
 from panelspark.operators.keys import dense_ids
 from panelspark.operators.recommend import no_scores
 from panelspark.operators.reshape import explode_adds, group_candidates
@@ -145,7 +145,7 @@ class Multiclass:
     model: PipelineModel
     predictors: Predictors
     kind: str
-    trees: BoostedTrees | None = None
+    trees: BoostedTrees | Forest | None = None
 
 
 def fit_multiclass(
@@ -154,16 +154,11 @@ def fit_multiclass(
 ) -> Multiclass:
     """Which item is taken up, one train row per add; the class is the catalogue position.
 
-    ``boosted`` grows one tree per item and round from joint softmax gradients;
-    ``one_vs_rest`` fits a binary model per item instead.
+    ``boosted`` grows one tree per item and round from joint softmax gradients, ``forest`` bootstrapped trees
+    of all items; ``one_vs_rest`` fits a binary model per item instead.
     """
     ensure_checkpoint_dir(train.sparkSession)
-    if kind == "forest":
-        classifier = RandomForestClassifier(
-            featuresCol="features", labelCol="label", numTrees=trees, maxDepth=depth, maxBins=256,
-            subsamplingRate=0.7, seed=SEED,
-        )
-    elif kind == "one_vs_rest":
+    if kind == "one_vs_rest":
         one_item = GBTClassifier(
             maxIter=trees, maxDepth=depth, maxBins=256, stepSize=0.1, subsamplingRate=0.8, seed=SEED,
         )
@@ -172,7 +167,7 @@ def fit_multiclass(
         )
     elif kind == "logistic":
         classifier = LogisticRegression(featuresCol="features", labelCol="label", regParam=0.001)
-    elif kind != "boosted":
+    elif kind not in ("boosted", "forest"):
         raise ValueError(f"unknown multiclass model: {kind}")
     inputs = (*predictors.numeric, *predictors.categorical, *predictors.extra)
     carried = ("entity", "period", *[c for c in inputs if c not in ("entity", "period")])
@@ -184,15 +179,29 @@ def fit_multiclass(
         growth = Growth(rounds=trees, depth=depth, seed=SEED)
         fitted = boosting.boost(rows, binning, spec.n, boosting.softmax_gradients, growth)
         return Multiclass(prepared, predictors, kind, fitted)
+    if kind == "forest":
+        rows = train.filter(F.col("add_bits") != 0).select(*carried, item_numbers(F.col("add_bits"), spec.n).alias("labels"))
+        prepared, vectors, width = _vectors(adds, predictors, "labels", rows=rows)
+        sizes = _category_sizes(prepared)
+        binning = boosting.fit_binning(vectors, "x", width - len(sizes), 256, F.size("labels"))
+        binning = boosting.Binning((*binning.cuts, *[tuple(float(i) for i in range(n - 1)) for n in sizes]))
+        nominal = [i >= width - len(sizes) for i in range(width)]
+        fitted = forest.fit_forest(vectors, binning, nominal, spec.n, forest.Growth(trees, depth, seed=SEED))
+        return Multiclass(prepared, predictors, kind, fitted)
     stages = preprocess_stages(predictors, with_one_hot=kind == "logistic")
     return Multiclass(Pipeline(stages=[*stages, classifier]).fit(ready(adds, predictors)), predictors, kind)
 
 
-def _vectors(rows: DataFrame, predictors: Predictors, *keep: str) -> tuple[PipelineModel, DataFrame, int]:
-    """The fitted preparation, (entity, period, keep, x) written once, and the length of x."""
-    prepared = Pipeline(stages=preprocess_stages(predictors)).fit(ready(rows, predictors))
+def _category_sizes(prepared: PipelineModel) -> list[int]:
+    """Categories of the last columns of x, each with one for those unseen in train."""
+    return [len(labels) + 1 for s in prepared.stages if isinstance(s, StringIndexerModel) for labels in s.labelsArray]
+
+
+def _vectors(learnt: DataFrame, predictors: Predictors, *keep: str, rows: DataFrame | None = None) -> tuple[PipelineModel, DataFrame, int]:
+    """The preparation fitted on ``learnt``, (entity, period, keep, x) of ``rows`` written once, and the length of x."""
+    prepared = Pipeline(stages=preprocess_stages(predictors)).fit(ready(learnt, predictors))
     width = len(prepared.stages[-1].getInputCols())
-    made = prepared.transform(ready(rows, predictors))
+    made = prepared.transform(ready(learnt if rows is None else rows, predictors))
     return prepared, materialize(made.select("entity", "period", *keep, vector_to_array("features").alias("x"))), width
 
 
@@ -208,6 +217,9 @@ def score_multiclass(fitted: Multiclass, rows: DataFrame, spec: PanelSpec) -> Da
     if fitted.kind == "boosted":
         vectors = scored.select(*rows.columns, vector_to_array("features").alias("x"))
         return boosting.class_scores(fitted.trees, vectors, "x").drop("x")
+    if fitted.kind == "forest":
+        vectors = scored.select(*rows.columns, vector_to_array("features").alias("x"))
+        return forest.class_shares(fitted.trees, vectors, "x").drop("x")
     if fitted.kind == "one_vs_rest":
         margins = vector_to_array("rawPrediction")
         values = F.transform(margins, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * m)))
