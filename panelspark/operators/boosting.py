@@ -6,6 +6,8 @@ node) to a shuffle that sums the tasks' arrays and picks each node's best split.
 splits come to the driver, at most two to the power of the level for each tree.  Gradients are whole millionths, so
 the sums, and with them the trees, do not depend on partitions or re-run tasks.
 
+Of a small table every task reads all rows and grows some of the round's trees, level after level, in one job.
+
 Margins are written after every round to one of two folders in turn: a level reads one round's
 margins and applies the unfinished trees only, and the disk holds two copies of the table.
 """
@@ -29,6 +31,7 @@ from panelspark.session import new_shared_folder
 CHUNK = 50_000  # examples whose gradients a task holds at once
 PACK = 5_000  # examples of a stored row
 MOST = 500_000  # examples of a task, chunk after chunk
+ALONE = 8, 80  # chunks of examples, and of their margins, of a table that one task holds whole
 DIRECT = 64  # tasks whose arrays one sum takes; more are summed in two steps
 
 
@@ -188,12 +191,16 @@ def softmax(margins: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def softmax_gradients(margins: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and twice the second derivatives of the multiclass log loss, in millionths."""
+def softmax_gradients(margins: np.ndarray, labels: np.ndarray, sizes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """First and twice the second derivatives of the multiclass log loss, in millionths.
+
+    A row stands for ``sizes`` examples, one of each of its labels; without sizes each row has one.
+    """
     p = softmax(margins)
-    first = p.copy()
-    first[np.arange(len(p)), labels] -= 1
-    return micros(first), micros(2 * p * (1 - p))
+    times = np.ones(len(p), np.int64) if sizes is None else sizes
+    first = micros(p) * times[:, None]
+    np.subtract.at(first, (np.repeat(np.arange(len(p)), times), labels), MICRO)
+    return first, micros(2 * p * (1 - p)) * times[:, None]
 
 
 def ndcg_gradients(margins: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -238,8 +245,8 @@ EXAMPLES = "seed long, x binary, items array<int>, labels array<int>, margins bi
 def examples(df: DataFrame, binning: Binning, vector: str, labels: Column, items: Column | None = None, outputs: int = 1, start: Column | None = None) -> DataFrame:
     """Packed rows: bins of the row's predictors, its candidate items, their labels and margins.
 
-    Without ``items`` a row is one example, and ``labels`` holds its class.  ``start`` are
-    first margins in the order of the items.
+    Without ``items`` a row is an example of each of the classes in ``labels``, all with the row's margins.
+    ``start`` are first margins in the order of the items.
     """
     none = F.lit(None).cast("array<int>")
     chosen = df.select(
@@ -253,8 +260,8 @@ def examples(df: DataFrame, binning: Binning, vector: str, labels: Column, items
             if len(frame):
                 bins = binning(np.array(frame["x"].to_list(), float))
                 first = [
-                    (np.zeros((len(y), outputs)) if s is None else np.asarray(s, float)).tobytes()
-                    for y, s in zip(frame["labels"], frame["start"], strict=True)
+                    (np.zeros((1 if c is None else len(c), outputs)) if s is None else np.asarray(s, float)).tobytes()
+                    for c, s in zip(frame["items"], frame["start"], strict=True)
                 ]
                 yield pd.DataFrame({
                     "seed": frame["seed"], "x": [b.tobytes() for b in bins], "items": frame["items"],
@@ -270,7 +277,7 @@ BLOCKS = ", ".join(f"{p} binary" for p in PARTS)
 
 @dataclass(frozen=True)
 class Block:
-    """Rows of packed examples, one row of ``bins`` per candidate."""
+    """Rows of packed examples; ``bins`` and ``margins`` have a row per candidate, or per row without candidates."""
 
     bins: np.ndarray
     labels: np.ndarray
@@ -284,9 +291,8 @@ class Block:
         labels, items = (table.column(c).combine_chunks() for c in ("labels", "items"))
         sizes = pc.list_value_length(labels).to_numpy(zero_copy_only=False).astype(np.int64)
         bins = np.frombuffer(b"".join(table.column("x").to_pylist()), np.uint8).reshape(len(sizes), -1)
-        if (sizes != 1).any():
-            bins = np.repeat(bins, sizes, axis=0)
         if not items.null_count:
+            bins = np.repeat(bins, sizes, axis=0) if (sizes != 1).any() else bins
             bins = np.column_stack([bins, items.flatten().to_numpy(zero_copy_only=False).astype(np.uint8)])
         return Block(
             bins, labels.flatten().to_numpy(zero_copy_only=False).astype(np.int64), sizes,
@@ -301,13 +307,18 @@ class Block:
 
     @staticmethod
     def read(row: dict[str, bytes], outputs: int) -> Block:
-        labels = np.frombuffer(row["labels"], np.int32).astype(np.int64)
+        margins = np.frombuffer(row["margins"], float).reshape(-1, outputs)
         return Block(
-            np.frombuffer(row["bins"], np.uint8).reshape(len(labels), -1), labels,
-            np.frombuffer(row["sizes"], np.int32).astype(np.int64),
-            np.frombuffer(row["margins"], float).reshape(-1, outputs), np.frombuffer(row["seeds"], np.int64),
+            np.frombuffer(row["bins"], np.uint8).reshape(len(margins), -1), np.frombuffer(row["labels"], np.int32).astype(np.int64),
+            np.frombuffer(row["sizes"], np.int32).astype(np.int64), margins, np.frombuffer(row["seeds"], np.int64),
         )
 
+    def where(self, rows: np.ndarray) -> Block:
+        """The rows of a mask."""
+        labels = np.repeat(rows, self.sizes)
+        inside = labels if len(self.bins) == len(labels) else rows
+        return Block(self.bins[inside], self.labels[labels], self.sizes[rows], self.margins[inside], self.seeds[rows])
+
     @staticmethod
     def joined(blocks: list[Block]) -> Block:
         return blocks[0] if len(blocks) == 1 else Block(*[np.concatenate([getattr(b, p) for b in blocks]) for p in PARTS])
@@ -320,11 +331,13 @@ def blocked(rows: DataFrame, outputs: int) -> DataFrame:
             if batch.num_rows:
                 block = Block.of(pa.Table.from_batches([batch]), outputs)
                 ends, at = np.cumsum(block.sizes), 0
+                candidates = len(block.bins) == len(block.labels)
                 while at < len(ends):
                     start = ends[at - 1] if at else 0
                     to = max(int(np.searchsorted(ends, start + PACK, side="right")), at + 1)
                     part, row = slice(start, ends[to - 1]), slice(at, to)
-                    yield Block(block.bins[part], block.labels[part], block.sizes[row], block.margins[part], block.seeds[row]).stored()
+                    inside = part if candidates else row
+                    yield Block(block.bins[inside], block.labels[part], block.sizes[row], block.margins[inside], block.seeds[row]).stored()
                     at = to
 
     return rows.mapInArrow(pack, BLOCKS)
@@ -337,7 +350,7 @@ def chunks(batches: Iterator[pa.RecordBatch], outputs: int) -> Iterator[Block]:
         for i in range(batch.num_rows):
             block = Block.read({p: batch.column(p)[i].as_buffer() for p in PARTS}, outputs)
             waiting.append(block)
-            size += len(block.labels)
+            size += len(block.bins)
             if size >= CHUNK:
                 yield Block.joined(waiting)
                 waiting, size = [], 0
@@ -395,11 +408,11 @@ def node_sums(bins: np.ndarray, node: np.ndarray, nodes: int, grads: np.ndarray,
     size = int(starts[-1])
     out = np.zeros((nodes, 2, size))
     order = np.argsort(node.astype(np.uint16), kind="stable") if nodes > 1 else np.arange(len(node))
-    node, grads = node[order], np.ascontiguousarray(grads[order].T)
+    node, bins, grads = node[order], bins.take(order, axis=0) if nodes > 1 else bins, np.ascontiguousarray(grads[order].T)
     ends = np.searchsorted(node, np.arange(nodes + 1))
     flags, wide = np.flatnonzero(widths <= 2), np.flatnonzero(widths > 2)
     upper = flags[widths[flags] == 2]
-    seen = bins[:, upper].astype(float)[order] if len(upper) else None
+    seen = bins.take(upper, axis=1).astype(float) if len(upper) else None
     for i, (low, high) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
         all_ = grads[:, low:high].sum(1)
         out[i][:, starts[flags]] = all_[:, None]
@@ -409,7 +422,7 @@ def node_sums(bins: np.ndarray, node: np.ndarray, nodes: int, grads: np.ndarray,
     base = node.astype(np.int64)
     for f in wide:
         width = int(widths[f])
-        index = base * width + bins[:, f][order]
+        index = base * width + bins[:, f]
         for side in range(2):
             found = np.bincount(index, grads[side], nodes * width)
             out[:, side, starts[f] : starts[f] + width] = found.reshape(nodes, width)
@@ -439,11 +452,8 @@ def gradient_sums(rows: DataFrame, trees: Round, level: int, cells: Cells, gradi
             held.clear()
 
         for block in chunks(batches, trees.outputs):
-            drawn_rows = drawn(block.seeds, growth, number)
-            chosen = np.repeat(drawn_rows, block.sizes)
-            bins = block.bins[chosen]
-            found = gradients(block.margins[chosen], block.labels[chosen], block.sizes[drawn_rows])
-            grads = np.stack(found, axis=2).astype(float)
+            block = block.where(drawn(block.seeds, growth, number))
+            bins, grads = block.bins, np.stack(gradients(block.margins, block.labels, block.sizes), axis=2).astype(float)
             node = trees.places(bins, level)
             for k in range(trees.outputs):
                 local = node[:, k] - first_node
@@ -517,80 +527,156 @@ def summed(sums: DataFrame, parts: int) -> DataFrame:
 SPLITS = "tree int, node int, feature int, cut int, gain double, left_first double, left_second double, first double, second double"
 
 
-def best_splits(sums: DataFrame, cells: Cells, growth: Growth, number: int) -> DataFrame:
-    """The best split of every node; ties go to the earlier predictor, then the lower cut."""
+def chosen_splits(found: dict[tuple[int, int, int], np.ndarray], cells: Cells, growth: Growth, number: int) -> Iterator[list[tuple]]:
+    """Rows of SPLITS, 64 nodes at once; ties go to the earlier predictor, then the lower cut."""
     bins, width = cells.bins, len(cells.widths)
-    names = [c.split()[0] for c in SPLITS.split(", ")]
-    kinds = [{"int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in SPLITS.split(", ")]
 
     def worth(a, b):
         return a * a / (b + growth.ridge)
 
+    keys, left_out = list(found), {}
+    for at in range(0, len(keys), 64):
+        some = keys[at : at + 64]
+        both = np.stack([found[key] for key in some]).reshape(len(some), 2, -1)
+        first, second = np.moveaxis(cells.spread(both, bins) / MICRO, 1, 0)
+        left, weight = first.cumsum(2)[:, :, :-1], second.cumsum(2)[:, :, :-1]
+        all_first, all_second = (np.array([node[0].sum() for node in side]) for side in (first, second))
+        whole_first, whole_second = all_first[:, None, None], all_second[:, None, None]
+        gain = worth(left, weight) + worth(whole_first - left, whole_second - weight) - worth(whole_first, whole_second)
+        gain = np.where((weight >= growth.least) & (whole_second - weight >= growth.least), gain, -np.inf)
+        rows = []
+        for i, (tree, node, _) in enumerate(some):
+            if growth.columns < 1:
+                if tree not in left_out:
+                    draw = np.random.default_rng((growth.seed, number, tree))
+                    left_out[tree] = draw.permutation(width)[max(1, math.ceil(growth.columns * width)) :]
+                gain[i, left_out[tree]] = -np.inf
+            feature, cut = divmod(int(gain[i].argmax()), bins - 1) if gain[i].size else (0, 0)
+            top = float(gain[i].max(initial=-np.inf))
+            good = top > 1e-6
+            chosen = (left[i, feature, cut], weight[i, feature, cut]) if good else (0.0, 0.0)
+            rows.append((tree, node, feature if good else -1, cut, top if good else 0.0, *chosen, all_first[i], all_second[i]))
+        yield rows
+
+
+def best_splits(sums: DataFrame, cells: Cells, growth: Growth, number: int) -> DataFrame:
+    """The best split of every node."""
+    names = [c.split()[0] for c in SPLITS.split(", ")]
+    kinds = [{"int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in SPLITS.split(", ")]
+
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = totals(batches)
-        keys, left_out = list(found), {}
-        for at in range(0, len(keys), 64):
-            some = keys[at : at + 64]
-            both = np.stack([found[key] for key in some]).reshape(len(some), 2, -1)
-            first, second = np.moveaxis(cells.spread(both, bins) / MICRO, 1, 0)
-            left, weight = first.cumsum(2)[:, :, :-1], second.cumsum(2)[:, :, :-1]
-            all_first, all_second = (np.array([node[0].sum() for node in side]) for side in (first, second))
-            whole_first, whole_second = all_first[:, None, None], all_second[:, None, None]
-            gain = worth(left, weight) + worth(whole_first - left, whole_second - weight) - worth(whole_first, whole_second)
-            gain = np.where((weight >= growth.least) & (whole_second - weight >= growth.least), gain, -np.inf)
-            rows = []
-            for i, (tree, node, _) in enumerate(some):
-                if growth.columns < 1:
-                    if tree not in left_out:
-                        draw = np.random.default_rng((growth.seed, number, tree))
-                        left_out[tree] = draw.permutation(width)[max(1, math.ceil(growth.columns * width)) :]
-                    gain[i, left_out[tree]] = -np.inf
-                feature, cut = divmod(int(gain[i].argmax()), bins - 1) if gain[i].size else (0, 0)
-                top = float(gain[i].max(initial=-np.inf))
-                good = top > 1e-6
-                chosen = (left[i, feature, cut], weight[i, feature, cut]) if good else (0.0, 0.0)
-                rows.append((tree, node, feature if good else -1, cut, top if good else 0.0, *chosen, all_first[i], all_second[i]))
+        for rows in chosen_splits(totals(batches), cells, growth, number):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     one = sums.withColumn("part", F.lit(0))
     return one.repartition("tree", "node").mapInArrow(choose, SPLITS)
 
 
-def grow(rows: DataFrame, outputs: int, cells: Cells, gradients: Gradients, growth: Growth, number: int, parts: int) -> Round:
-    """The trees of one round: one job per level."""
-    trees = Round(outputs, growth.depth)
-
+def settled(trees: Round, splits: Sequence[dict], closed: dict[tuple[int, int], float], growth: Growth) -> bool:
+    """Take over a level's splits; whether any child can be split."""
     def leaf(first: float, second: float) -> float:
         return -growth.step * first / (second + growth.ridge)
 
+    any_open = False
+    for s in splits:
+        k, node = s["tree"], s["node"]
+        if s["feature"] < 0:
+            trees.value[k, node] = leaf(s["first"], s["second"])
+            continue
+        trees.feature[k, node], trees.cut[k, node] = s["feature"], s["cut"]
+        for side, first, second in (
+            (1, s["left_first"], s["left_second"]),
+            (2, s["first"] - s["left_first"], s["second"] - s["left_second"]),
+        ):
+            child = 2 * node + side
+            trees.value[k, child] = leaf(first, second)
+            if second < 2 * growth.least:
+                closed[k, child], trees.value[k, child] = trees.value[k, child], CLOSED
+            else:
+                any_open = True
+    return any_open
+
+
+def grow(rows: DataFrame, outputs: int, cells: Cells, gradients: Gradients, growth: Growth, number: int, parts: int) -> Round:
+    """The trees of one round: one job per level."""
+    trees = Round(outputs, growth.depth)
     closed: dict[tuple[int, int], float] = {}
     for level in range(growth.depth):
         sums = gradient_sums(rows, trees, level, cells, gradients, growth, number)
         splits = best_splits(summed(sums, parts), cells, growth, number).collect()
-        any_open = False
-        for s in splits:
-            k, node = s["tree"], s["node"]
-            if s["feature"] < 0:
-                trees.value[k, node] = leaf(s["first"], s["second"])
-                continue
-            trees.feature[k, node], trees.cut[k, node] = s["feature"], s["cut"]
-            for side, first, second in (
-                (1, s["left_first"], s["left_second"]),
-                (2, s["first"] - s["left_first"], s["second"] - s["left_second"]),
-            ):
-                child = 2 * node + side
-                trees.value[k, child] = leaf(first, second)
-                if second < 2 * growth.least:
-                    closed[k, child], trees.value[k, child] = trees.value[k, child], CLOSED
-                else:
-                    any_open = True
-        if not any_open:
+        if not settled(trees, splits, closed, growth):
             break
     for (k, node), value in closed.items():
         trees.value[k, node] = value
     return trees
 
 
+def grown_alone(bins: np.ndarray, grads: np.ndarray, tree: int, cells: Cells, growth: Growth, number: int) -> Round:
+    """One tree from rows that lie in memory, as ``grow`` makes it.
+
+    Only the smaller child of a split is added up: the other one is what it leaves of its parent, exactly.
+    """
+    names = [c.split()[0] for c in SPLITS.split(", ")]
+    out, closed, known = Round(1, growth.depth), {}, {}
+    place, size = np.zeros(len(bins), np.int64), int(cells.starts[-1])
+    for level in range(growth.depth):
+        first_node = 2**level - 1
+        counts = np.bincount(np.maximum(place - first_node, -1) + 1, minlength=2**level + 1)[1:]
+        open_ = [n for n in (np.flatnonzero(counts) + first_node).tolist() if out.value[0, n] != CLOSED]
+        if not open_:
+            break
+        alone = [n for n in open_ if not (level and n + (1 if n % 2 else -1) in open_ and (counts[n - first_node], n) > (counts[n - first_node + (1 if n % 2 else -1)], n + (1 if n % 2 else -1)))]
+        number_of = np.full(2 ** (level + 1), -1)
+        number_of[alone] = np.arange(len(alone))
+        at = np.flatnonzero(number_of[place] >= 0) if level else np.arange(len(bins))
+        made = node_sums(bins[at], number_of[place[at]], len(alone), grads[at], cells).astype(np.int64)
+        sums = dict(zip(alone, made, strict=True))
+        for n in open_:
+            if n not in sums:
+                sums[n] = known[(n - 1) // 2] - sums[n + (1 if n % 2 else -1)]
+        keyed = {(tree, n, 0): sums[n].reshape(2 * size) for n in open_}
+        splits = [dict(zip(names, row, strict=True)) | {"tree": 0} for rows in chosen_splits(keyed, cells, growth, number) for row in rows]
+        known = sums
+        if not settled(out, splits, closed, growth):
+            break
+        feature = out.feature[0].astype(np.int64)[place]
+        right = bins.ravel().take(np.arange(len(bins)) * bins.shape[1] + np.maximum(feature, 0)) > out.cut[0][place]
+        place = np.where(feature >= 0, 2 * place + 1 + right, place)
+    for (k, node), value in closed.items():
+        out.value[k, node] = value
+    return out
+
+
+def grow_alone(rows: DataFrame, outputs: int, cells: Cells, gradients: Gradients, growth: Growth, number: int) -> Round:
+    """The trees of one round in one job: every task reads all rows and grows some of the trees."""
+    spark = rows.sparkSession
+    tasks = min(outputs, spark.sparkContext.defaultParallelism)
+
+    def grow_some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, group = [], None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                group = batch.column("group")[i].as_py()
+                block = Block.read({p: batch.column(p)[i].as_buffer() for p in PARTS}, outputs)
+                blocks.append(block.where(drawn(block.seeds, growth, number)))
+        if group is None:
+            return
+        every = Block.joined(blocks)
+        first, second = gradients(every.margins, every.labels, every.sizes)
+        for k in range(group, outputs, tasks):
+            made = grown_alone(every.bins, np.stack([first[:, k], second[:, k]], axis=1).astype(float), k, cells, growth, number)
+            arrays = [pa.array([k], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in (made.feature, made.cut, made.value)]]
+            yield pa.RecordBatch.from_arrays(arrays, ["tree", "feature", "cut", "value"])
+
+    groups = spark.range(0, tasks, 1, tasks).select(F.col("id").alias("group"))
+    grown = groups.crossJoin(rows.coalesce(1).hint("shuffle_replicate_nl")).mapInArrow(grow_some, "tree int, feature binary, cut binary, value binary")
+    trees = Round(outputs, growth.depth)
+    for row in grown.collect():
+        for to, name in ((trees.feature, "feature"), (trees.cut, "cut"), (trees.value, "value")):
+            to[row["tree"]] = np.frombuffer(row[name], to.dtype)
+    return trees
+
+
 def advanced(rows: DataFrame, trees: Round, path: str) -> DataFrame:
     """The rows with the round's margins added, written to ``path``."""
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -618,9 +704,14 @@ def boost(rows: DataFrame, binning: Binning, outputs: int, gradients: Gradients,
     now = stored(blocked(now.repartition(max(tasks, 1), "seed"), outputs), folders[1])
     folders.reverse()
     parts = now.select(F.spark_partition_id()).distinct().count()
+    margins = (now.agg(F.sum(F.length("margins"))).first()[0] or 0) // 8
+    alone = margins <= ALONE[0] * CHUNK * outputs and margins <= ALONE[1] * CHUNK
     cells, done = cells_of(binning, items), []
     for number in range(growth.rounds):
-        trees = grow(now, outputs, cells, gradients, growth, number, parts)
+        if alone:
+            trees = grow_alone(now, outputs, cells, gradients, growth, number)
+        else:
+            trees = grow(now, outputs, cells, gradients, growth, number, parts)
         done.append(trees)
         if number + 1 < growth.rounds:
             now = advanced(now, trees, folders[(number + 1) % 2])

@@ -172,16 +172,16 @@ def fit_multiclass(
     inputs = (*predictors.numeric, *predictors.categorical, *predictors.extra)
     carried = ("entity", "period", *[c for c in inputs if c not in ("entity", "period")])
     adds = explode_adds(train, spec, keep=carried).withColumn("label", F.col("idx").cast("double"))
+    if kind in ("boosted", "forest"):  # a row with all its adds, prepared as its adds are
+        rows = train.filter(F.col("add_bits") != 0).select(*carried, item_numbers(F.col("add_bits"), spec.n).alias("labels"))
+        prepared, vectors, width = _vectors(adds, predictors, "labels", rows=rows)
     if kind == "boosted":
-        prepared, vectors, width = _vectors(adds, predictors, "idx")
-        binning = boosting.fit_binning(vectors, "x", width, bins)
-        rows = boosting.examples(vectors, binning, "x", F.array("idx"), outputs=spec.n)
+        binning = boosting.fit_binning(vectors, "x", width, bins, F.size("labels"))
+        rows = boosting.examples(vectors, binning, "x", F.col("labels"), outputs=spec.n)
         growth = Growth(rounds=trees, depth=depth, seed=SEED)
         fitted = boosting.boost(rows, binning, spec.n, boosting.softmax_gradients, growth)
         return Multiclass(prepared, predictors, kind, fitted)
     if kind == "forest":
-        rows = train.filter(F.col("add_bits") != 0).select(*carried, item_numbers(F.col("add_bits"), spec.n).alias("labels"))
-        prepared, vectors, width = _vectors(adds, predictors, "labels", rows=rows)
         sizes = _category_sizes(prepared)
         binning = boosting.fit_binning(vectors, "x", width - len(sizes), 256, F.size("labels"))
         binning = boosting.Binning((*binning.cuts, *[tuple(float(i) for i in range(n - 1)) for n in sizes]))

@@ -217,3 +217,48 @@ def test_root_sums_equal_a_plain_loop(spark, plain):
     }
     found = boosting.root_sums(rows, binning, 3, boosting.softmax_gradients).collect()
     assert {(r.tree, r.feature, r.bin): (r.gradient, r.hessian) for r in found} == want
+
+
+@pytest.mark.parametrize("growth", [GROWTH, Growth(rounds=3, depth=5, least=3.0)])
+def test_a_task_alone_grows_the_same_trees(spark, plain, monkeypatch, growth):
+    x, y = plain
+    rows, binning = packed(spark, x, y, 3)
+    found, grow, jobs = [], boosting.grow_alone, []
+    monkeypatch.setattr(boosting, "grow_alone", lambda *a: (jobs.append(a[-1]), grow(*a))[1])
+    for limits in ((8, 80), (0, 0)):
+        monkeypatch.setattr(boosting, "ALONE", limits)
+        found.append(boosting.boost(rows, binning, 3, boosting.softmax_gradients, growth))
+    assert jobs == [0, 1, 2]  # one job a round
+    for one, two in zip(*[m.rounds for m in found], strict=True):
+        assert (one.feature == two.feature).all() and (one.cut == two.cut).all() and (one.value == two.value).all()
+
+
+def test_a_row_of_several_classes_is_as_many_examples(spark, plain, monkeypatch):
+    x, y = plain
+    also = (y + x[:, 3] % 2) % 3
+    wide = [(i, 0, [float(v) for v in r], sorted({int(a), int(b)})) for i, (r, a, b) in enumerate(zip(x, y, also, strict=True))]
+    together = spark.createDataFrame(wide, "entity long, period int, x array<double>, idx array<int>")
+    binning = Binning(((0.0, 1.0, 2.0),) * x.shape[1])
+    found = []
+    for df, labels in ((together, F.col("idx")), (together.withColumn("idx", F.explode("idx")), F.array("idx"))):
+        rows = boosting.examples(df, binning, "x", labels, outputs=3)
+        assert rows.select(F.sum(F.length("margins"))).first()[0] == 24 * df.count()
+        for limits in ((8, 80), (0, 0)):
+            monkeypatch.setattr(boosting, "ALONE", limits)
+            found.append(boosting.boost(rows, binning, 3, boosting.softmax_gradients, Growth(rounds=2, depth=4)).margins(binning(x)))
+    assert all((found[0] == f).all() for f in found[1:])
+
+
+def test_sketches_of_many_values_keep_their_ranks():
+    values = np.random.default_rng(2).lognormal(size=300_000)
+    kept, weights = boosting.thinned(values, np.ones(len(values)))
+    assert len(kept) == boosting.POINTS and weights.sum() == len(values)
+    for share in (0.01, 0.5, 0.99):
+        at = np.searchsorted(weights.cumsum(), share * len(values))
+        assert (values <= kept[at]).mean() == pytest.approx(share, abs=0.0005)
+
+
+def test_cuts_count_a_row_by_its_weight(spark):
+    df = spark.range(1000).select(F.array(F.col("id") * 1.0).alias("x"), F.when(F.col("id") < 500, 3).otherwise(1).alias("n")).repartition(4)
+    cuts = boosting.fit_binning(df, "x", 1, bins=4, weight=F.col("n")).cuts
+    assert cuts == ((166.0, 333.0, 499.0),)
