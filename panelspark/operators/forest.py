@@ -13,6 +13,8 @@ shuffle sums the tasks' counts and picks the splits, and only splits reach the d
 
 from __future__ import annotations
 
+import base64
+import io
 import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -21,10 +23,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml import Transformer
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.param import Param, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelspark.operators.boosting import Binning, scored
+from panelspark.operators.boosting import Binning
 from panelspark.session import materialize
 
 ROWS = 32_768  # rows of a stored block
@@ -548,9 +554,40 @@ def fit_forest(vectors: DataFrame, binning: Binning, nominal: Sequence[bool], cl
     return Forest(binning, trees)
 
 
-def class_shares(model: Forest, rows: DataFrame, vector: str) -> DataFrame:
-    """Rows with ``scores``: the share of every class."""
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(list(model.shares(model.binning(np.array(x.to_list(), float)))))
+SHARES = "forest_shares"
 
-    return scored(rows, vector, score)
+
+class ForestScorer(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """A pipeline's last stage, saved and loaded with it: SHARES of every class from the vector ``features``."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.packed = Param(self, "packed", "the forest's arrays", TypeConverters.toString)
+
+    @staticmethod
+    def of(model: Forest) -> ForestScorer:
+        file, trees = io.BytesIO(), model.trees
+        np.savez_compressed(
+            file, cuts=np.concatenate([np.array(c, float) for c in model.binning.cuts]), sizes=[len(c) for c in model.binning.cuts],
+            widths=trees.layout.widths, nominal=trees.layout.nominal, shape=(trees.number, trees.depth, trees.layout.classes),
+            feature=trees.feature, right=trees.right, counts=trees.counts,
+        )
+        made = ForestScorer()
+        made._set(packed=base64.b64encode(file.getvalue()).decode())
+        return made
+
+    def forest(self) -> Forest:
+        read = np.load(io.BytesIO(base64.b64decode(self.getOrDefault(self.packed))))
+        number, depth, classes = (int(n) for n in read["shape"])
+        cuts = np.split(read["cuts"], np.cumsum(read["sizes"])[:-1])
+        trees = Trees(number, depth, Layout(read["widths"], read["nominal"], classes))
+        trees.feature, trees.right, trees.counts = read["feature"], read["right"], read["counts"]
+        return Forest(Binning(tuple(tuple(c.tolist()) for c in cuts)), trees)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        model = self.forest()
+
+        def score(x: pd.Series) -> pd.Series:
+            return pd.Series(list(model.shares(model.binning(np.array(x.to_list(), float)))))
+
+        return dataset.withColumn(SHARES, F.pandas_udf(score, "array<double>")(vector_to_array("features")))

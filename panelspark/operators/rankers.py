@@ -23,7 +23,6 @@ from panelspark.functions import has_item, item_numbers, pseudo_random, top_k
 from panelspark.operators import boosting, forest, network, trajectory
 from panelspark.operators.boosting import BoostedTrees, Growth
 from panelspark.operators.encode import Predictors, preprocess_stages, ready
-from panelspark.operators.forest import Forest
 from panelspark.operators.keys import dense_ids
 from panelspark.operators.recommend import no_scores
 from panelspark.operators.reshape import explode_adds, group_candidates
@@ -145,7 +144,7 @@ class Multiclass:
     model: PipelineModel
     predictors: Predictors
     kind: str
-    trees: BoostedTrees | Forest | None = None
+    trees: BoostedTrees | None = None
 
 
 def fit_multiclass(
@@ -187,7 +186,7 @@ def fit_multiclass(
         binning = boosting.Binning((*binning.cuts, *[tuple(float(i) for i in range(n - 1)) for n in sizes]))
         nominal = [i >= width - len(sizes) for i in range(width)]
         fitted = forest.fit_forest(vectors, binning, nominal, spec.n, forest.Growth(trees, depth, seed=SEED))
-        return Multiclass(prepared, predictors, kind, fitted)
+        return Multiclass(PipelineModel([*prepared.stages, forest.ForestScorer.of(fitted)]), predictors, kind)
     stages = preprocess_stages(predictors, with_one_hot=kind == "logistic")
     return Multiclass(Pipeline(stages=[*stages, classifier]).fit(ready(adds, predictors)), predictors, kind)
 
@@ -217,12 +216,11 @@ def score_multiclass(fitted: Multiclass, rows: DataFrame, spec: PanelSpec) -> Da
     if fitted.kind == "boosted":
         vectors = scored.select(*rows.columns, vector_to_array("features").alias("x"))
         return boosting.class_scores(fitted.trees, vectors, "x").drop("x")
-    if fitted.kind == "forest":
-        vectors = scored.select(*rows.columns, vector_to_array("features").alias("x"))
-        return forest.class_shares(fitted.trees, vectors, "x").drop("x")
     if fitted.kind == "one_vs_rest":
         margins = vector_to_array("rawPrediction")
         values = F.transform(margins, lambda m: F.lit(1.0) / (F.lit(1.0) + F.exp(-2.0 * m)))
+    elif fitted.kind == "forest":
+        values = F.col(forest.SHARES)
     else:
         values = vector_to_array("probability")
     return scored.select(*rows.columns, _aligned(values, spec).alias("scores"))
